@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from confluence.llm import fingerprint, ngram_join, repetition, url_filter
+from confluence.llm import bpe, fingerprint, ngram_join, packing, repetition, url_filter, warc
 from confluence.llm.common import table
 
 
@@ -18,14 +18,29 @@ def op3_url_filters(spark, sf_dir):
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def op4_best_fit_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark, sf_dir):
     return repetition.measured(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_byte_level_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    own = (op1_ngram_jaccard_join, op2_document_fingerprints, op3_url_filters, op6_quality_rules)
+    own = (
+        op1_ngram_jaccard_join, op2_document_fingerprints, op3_url_filters, op4_best_fit_packing, op6_quality_rules, op8_warc,
+        op10_byte_level_bpe,
+    )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql():
-    return {"op3_url_filters": url_filter.sql()}
+    return {"op3_url_filters": url_filter.sql(), "op8_warc": warc.sql()}
