@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from confluence.llm import bpe, fingerprint, ngram_join, packing, repetition, url_filter, warc
+from confluence.llm import bpe, fingerprint, lm, ngram_join, packing, repetition, toxicity, url_filter, warc
 from confluence.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_best_fit_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark, sf_dir):
     return repetition.measured(table(spark, sf_dir, "documents"))
 
@@ -30,14 +34,18 @@ def op8_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_lm_scoring(spark, sf_dir):
+    return lm.judged(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_level_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
 def queries():
     own = (
-        op1_ngram_jaccard_join, op2_document_fingerprints, op3_url_filters, op4_best_fit_packing, op6_quality_rules, op8_warc,
-        op10_byte_level_bpe,
+        op1_ngram_jaccard_join, op2_document_fingerprints, op3_url_filters, op4_best_fit_packing, op5_toxicity, op6_quality_rules,
+        op8_warc, op9_lm_scoring, op10_byte_level_bpe,
     )
     return {f.__name__: f for f in own}
 
