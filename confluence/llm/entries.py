@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from confluence.llm import bpe, fingerprint, lm, ngram_join, packing, repetition, toxicity, url_filter, warc
+from confluence.llm import bpe, fingerprint, lm, ngram_join, packing, pii, repetition, toxicity, url_filter, warc
 from confluence.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_quality_rules(spark, sf_dir):
     return repetition.measured(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark, sf_dir):
+    return pii.judged(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -42,13 +46,22 @@ def op10_byte_level_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     own = (
         op1_ngram_jaccard_join, op2_document_fingerprints, op3_url_filters, op4_best_fit_packing, op5_toxicity, op6_quality_rules,
-        op8_warc, op9_lm_scoring, op10_byte_level_bpe,
+        op7_pii, op8_warc, op9_lm_scoring, op10_byte_level_bpe, pipeline,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql():
-    return {"op3_url_filters": url_filter.sql(), "op8_warc": warc.sql()}
+    import corpus_pipeline
+
+    sql = {"op3_url_filters": url_filter.sql(), "op8_warc": warc.sql(), "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: text for name, text in sql.items() if text}
