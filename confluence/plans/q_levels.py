@@ -19,10 +19,13 @@ EARNINGS = ("1995-02-10", "1996-02-09", "1997-02-14", "1998-02-13", "1999-02-12"
 
 
 def inputs(spark, sf_dir):
-    """(bars, weeks, pivots): everything that levels need, from one exchange by symbol."""
+    """(bars, weeks, pivots): everything that levels need, from one exchange by symbol.
+
+    They are cached, as every generator and detector reads them; a lost block is computed again.
+    """
     raw = tape.bars(spark, sf_dir)
-    bars = L.context(S.with_macd(S.with_rsi(S.with_atr(S.recent(raw)))))
-    return bars, S.recent(S.weekly(raw)), P.pivots(bars)
+    bars = L.context(S.with_macd(S.with_rsi(S.with_atr(S.recent(raw))))).cache()
+    return bars, S.recent(S.weekly(bars.select("symbol", "date", "open", "high", "low", "close", "volume"))).cache(), P.pivots(bars).cache()
 
 
 def earnings(spark, sf_dir):
