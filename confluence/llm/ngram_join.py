@@ -250,7 +250,7 @@ def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def set_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, n, members, bits) of the sets named by ``ids``; those bits only spare most other rows."""
+    """(id, n, members, bits) of the sets that ``ids`` name, and of few others; nothing is shuffled for it."""
     kept = np.frombuffer(id_set_bits(ids, "id"), np.uint64)
     share = docs.sparkSession.sparkContext.broadcast(kept)
     near = docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(len(kept) * 64)))
@@ -267,14 +267,21 @@ def set_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             own = [values[a:b] for a, b in zip(first[:-1], first[1:])]
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(np.diff(first)), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([parity_bits(x) for x in own], pa.binary())], ["id", "n", "members", "bits"])
 
-    found = near.mapInArrow(run, "id long, n long, members binary, bits binary")
-    return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return near.mapInArrow(run, "id long, n long, members binary, bits binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+    """The pairs (a, b) whose whole sets link; sizes and bitmaps alone refuse most others first."""
 
-    def run(source):
+    def possible(source):
+        for batch in source:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "x", "y"))):
+                small, large = min(n, m), max(n, m)
+                keep.append(small * 100 >= large * percent and _differ(x, [y])[0] <= (n + m) * (100 - percent) // (100 + percent))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def exact(source):
         for batch in source:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
@@ -282,12 +289,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(linked_sizes(_common(x, y), len(x), len(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("members").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("members").alias("y"))
-    sized = pairs.join(left.drop("x"), "a").join(right.drop("y"), "b").filter(
-        (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    )
-    return sized.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def beside(pairs, column):
+        return pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col(column).alias("x")), "a").join(
+            sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col(column).alias("y")), "b"
+        )
+
+    left = beside(pairs, "bits").select("a", "b", "na", "nb", "x", "y").mapInArrow(possible, "a long, b long")
+    return beside(left, "members").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -424,8 +432,8 @@ def linked_components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: st
     component_id is the smallest doc_id reachable by links, the row's own included.
 
     Null and empty texts have no shingles and link with nothing.  Rows of equal texts are linked.
-    A null doc_id gets a null component and links nothing; rows that share a doc_id keep their own
-    set each.  An empty table gives an empty result; other columns are ignored.
+    A null doc_id gets a null component and links nothing; of rows that share a doc_id the smallest
+    set stands for the id in links.  An empty table gives an empty result; other columns are ignored.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     own = written(profiles(docs, k))
@@ -445,7 +453,10 @@ def linked_components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: st
     )
     stars = written(stars)
     met = written(shared.select("key", "id").join(names, "id").select("key", F.col("rep").alias("id")).distinct())
-    sets = written(set_table(docs, met.select("id").distinct(), k))
+    sets = set_table(docs, met.select("id").distinct(), k)
+    if not own.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
+        sets = sets.groupBy("id").agg(F.min(F.struct("n", "members", "bits")).alias("s")).select("id", "s.*")
+    sets = written(sets)
     links = written(verified(stars, sets, percent))
     found = components(links)
 
