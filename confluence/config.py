@@ -53,6 +53,11 @@ TRIGGERS = (
     ("divergence", 0.0, ("uptrend", "downtrend", "lateral", "reversal")),
 )
 
+# the first generation of types
+T2_DROP, T2_MIN_BARS = -0.10, 6
+T3_TOLERANCE, T3_BARS, T3_COMPACT, T3_FLOOR = 0.03, 60, 0.15, 0.3
+T4_DAYS, T4_DROP, T4_TREND, T4_RSI = 60, -0.05, 0.97, 55.0
+
 # events, strikes, reports
 EVENT_DAYS = 45
 GRIDS = {

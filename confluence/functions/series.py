@@ -68,10 +68,12 @@ def with_macd(df: DataFrame, close: str = "close", name: str = "macd_hist") -> D
     df = df.withColumn(name, F.col("_line") - ewm(F.col("_line"), 2.0 / (C.MACD_SIGNAL + 1))).drop("_line")
     before = F.lag(name, C.MACD_LOOKBACK).over(by())
     now = F.col(name)
-    change = F.abs(now - before) / F.greatest(F.abs(before), F.lit(C.EPSILON))
+    still = F.abs(before) < C.EPSILON  # then the sign of today's value says the way
+    flat = F.when(still, F.abs(now) < C.EPSILON).otherwise(F.abs(now - before) < C.MACD_NEUTRAL * F.abs(before))
+    rises = F.when(still, now > 0).otherwise(now > before)
     sign = F.when(now >= 0, "positivo").otherwise("negativo")
-    way = F.when(now > before, F.concat(F.lit("subiendo_"), sign)).otherwise(F.concat(F.lit("bajando_"), sign))
-    return df.withColumn("macd_state", F.when(before.isNull() | (change < C.MACD_NEUTRAL), "neutral").otherwise(way))
+    way = F.concat(F.when(rises, "subiendo_").otherwise("bajando_"), sign)
+    return df.withColumn("macd_state", F.when(before.isNull() | flat, "neutral").otherwise(way))
 
 
 def with_atr(df: DataFrame, n: int = C.ATR_LENGTH, name: str = "atr") -> DataFrame:

@@ -141,3 +141,22 @@ def classify(spark, sf_dir):
   upper(regime[1]) || regime[2:] || ': ' || coalesce(replace(primary_trigger, '_', ' ') || case when triggers like '%divergence%' then ' + divergence' else '' end, 'no trigger') as label from classes""")
 def primary_trigger(spark, sf_dir):
     return R.classified(facts(spark, sf_dir)).select("symbol", "primary_trigger", "legacy", "label")
+
+
+LEGACY_SQL = f"""{EARNINGS_SQL}, lg_week as (select symbol, {SMA_SQL(50)} as a, {SMA_SQL(200)} as b from weeks qualify row_number() over (partition by symbol order by rn desc) = 1),
+lg_last as (select symbol, spot, top, rsi, date as today, (select max(close) from bars p where p.symbol = f.symbol and p.rn between f.rn - 5 and f.rn - 1) as peak from full_bars f where rn = top),
+lg_span as (select symbol, min(close) as low, max(close) as high, avg(close) as mean, count(*) as n from full_bars where rn > top - 60 group by symbol),
+lg_ev as (select l.symbol, (select max(e.date) from earnings e where e.symbol = l.symbol and e.date <= l.today and e.date >= l.today - 60) as event from lg_last l),
+lg_near as (select symbol, (select arg_max(close, date) from bars b where b.symbol = v.symbol and b.date < v.event) as before, (select arg_min(close, date) from bars b where b.symbol = v.symbol and b.date > v.event) as after from lg_ev v),
+lg as (select w.symbol, a > b and spot > b as t1, coalesce(top >= 5 and spot / peak - 1 <= -0.10 and (a > b or abs(a - b) / b <= 0.03), false) as t2,
+  coalesce(abs(a - b) / b <= 0.03 and n >= 60 and (high - low) / mean <= 0.15 and spot < low + 0.3 * (high - low), false) as t3, coalesce(after / before - 1 <= -0.05 and a >= b * 0.97 and rsi < 55, false) as t4
+  from lg_week w join lg_last using (symbol) join lg_span using (symbol) join lg_near using (symbol) where b > 0 and a is not null)"""
+
+
+@query(f"""{PIVOT_SQL}, {LEGACY_SQL} select symbol, t1, t2, t3, t4, case when t1 then 'T1' when t2 then 'T2' when t4 then 'T4' when t3 then 'T3' end as kind,
+  concat_ws(',', case when t2 and t1 then 'T2' end, case when t4 and (t1 or t2) then 'T4' end, case when t3 and (t1 or t2 or t4) then 'T3' end) as others from lg""")
+def legacy_classify(spark, sf_dir):
+    from confluence.operators import legacy
+
+    bars, weeks, _ = inputs(spark, sf_dir)
+    return legacy.types(bars, weeks, earnings(spark, sf_dir))

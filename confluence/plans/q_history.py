@@ -83,3 +83,21 @@ FILES = ("screening_2026-05-21_2218.html", "screening_2026-05-21_2218.csv", "scr
 @query("select * from (values ('2026-05-22', '0859', 'screening_2026-05-22_0859.html', null), ('2026-05-21', '2218', 'screening_2026-05-21_2218.html', 'screening_2026-05-21_2218.csv')) as t(date, hhmm, html, csv)")
 def history_pairs(spark, sf_dir):
     return H.report_files(spark.createDataFrame([(f,) for f in FILES], "name string"))
+
+
+@query()
+def report_csv_rows(spark, sf_dir):
+    """The report's 48 columns.  Step 1 is lenient here, as the derived universe has few symbols."""
+    from confluence.plans import q_filters, q_levels, screen
+
+    z, spots = zones_of(spark, sf_dir)
+    lenient = q_filters.candidates(spark, sf_dir).withColumns({"market_cap": F.lit(2e10), "avg_volume": F.lit(2e6), "free_cash_flow": F.lit(1.0), "upside": F.lit(0.1), "buy_ratio": F.lit(0.5), "hv_percentile": F.lit(50.0)})
+    nearest = z.withColumns({"is_best": F.col("zone_id") == 0})
+    return screen.report_rows(lenient, nearest, classified(facts(spark, sf_dir)), q_filters.binary_events(spark, sf_dir), spots.select("symbol", "atr"))
+
+
+@query(f"with {BEST_SQL} select run_id, sector, score from cb where sector = '1-URGENT'")
+def run_candidates(spark, sf_dir):
+    """One run's candidates, best first."""
+    rows = best(spark, sf_dir).filter("sector = '1-URGENT'").select("run_id", "sector", "score")
+    return H.by_score(rows, "run_id")
