@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 Merges of one pre-token wait in buckets, one per merge rank, that hold positions of a linked
-list.  A three-level bitmap says which buckets have entries; find-first-set gives the next
-rank.  An entry whose pair has changed meanwhile is stale and skipped.  A pre-token of n bytes
+list.  A two-level bitmap (words of 256 ranks, and which of those have any) says which buckets
+have entries; find-first-set on both gives the next rank.  An entry whose pair has changed meanwhile is stale and skipped.  A pre-token of n bytes
 costs O(n), so very long ones are no special case.
 
 Ids of short runs between spaces are kept in bounded caches.
@@ -24,7 +24,8 @@ from confluence.llm.words import batches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Entries of a cache, and the longest string that one holds.
-CACHE, CACHED = 600_000, 48
+CACHE, CACHED = 1_000_000, 48
+_BIT = [1 << i for i in range(1024)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,7 +47,13 @@ class _Runs(dict):
     def __missing__(self, run: str) -> tuple[int, ...]:
         if not run or run[-1].isspace() or (not self.lead and run[0].isspace()):
             raise Irregular
-        pieces = self.codec.pattern.findall(self.lead + run)
+        # the usual pattern takes letters, and signs behind them, as one piece each
+        if self.codec.newline is not None and run.isalpha():
+            pieces = [self.lead + run]
+        elif self.codec.newline is not None and run[-1] in ",.;:!?" and run[:-1].isalpha():
+            pieces = [self.lead + run[:-1], run[-1]]
+        else:
+            pieces = self.codec.pattern.findall(self.lead + run)
         if len(pieces) == 1:
             return self.kept(run, self.codec.merged(pieces[0].encode()))
         return self.kept(run, tuple(chain.from_iterable(map(self.codec.piece, pieces))))
@@ -66,9 +73,10 @@ class Codec:
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        # the queue, empty between pre-tokens: bits of ranks, of words of those, of words of these
-        self.low = [0] * ((max(self.tokens) >> 6) + 1)
-        self.middle = [0] * ((max(self.tokens) >> 12) + 1)
+        # the queue's lower level, empty between pre-tokens: bits of ranks by 256
+        self.low = [0] * ((max(self.tokens) >> 8) + 1)
+        self.single = [self.ranks[bytes([a])] for a in range(256)]
+        self.double = [self.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
         self.spaced, self.bare = _Runs(self, " "), _Runs(self, "")
         self.newline = self.ranks.get(b"\n") if pattern == public_tokenizers.PATTERN else None
 
@@ -81,39 +89,35 @@ class Codec:
         return ids
 
     def merged(self, data: bytes) -> tuple[int, ...]:
-        ranks = self.ranks
-        known = ranks.get(data)
+        find = self.ranks.get
+        known = find(data)
         if known is not None:
             return (known,)
-        n, find, low, middle = len(data), ranks.get, self.low, self.middle
+        n, low, double = len(data), self.low, self.double
         top, buckets = 0, {}
-        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [find(data[i : i + 2]) for i in range(n)]  # rank of the token at a position with the next one
-        pair[-1] = None
+        # rank of the token at a position with the next one; a merged token's id is its merge's rank
+        pair = [double[a << 8 | b] for a, b in zip(data, data[1:])]
+        pair.append(-1)
+        token, end, before = [self.single[a] for a in data], list(range(1, n + 1)), list(range(-1, n - 1))
         fresh = zip(pair, range(n))
         while True:
             for rank, i in fresh:
-                if rank is not None and pair[i] == rank:
+                if rank >= 0 and pair[i] == rank:
                     if rank in buckets:
                         buckets[rank].append(i)
                     else:
                         buckets[rank] = [i]
-                        word = rank >> 6
-                        low[word] |= 1 << (rank & 63)
-                        middle[word >> 6] |= 1 << (word & 63)
-                        top |= 1 << (word >> 6)
+                        word = rank >> 8
+                        low[word] |= _BIT[rank & 255]
+                        top |= _BIT[word]
             if not top:
                 break
-            first = (top & -top).bit_length() - 1  # find-first-set, level by level
-            bits = middle[first]
-            word = (first << 6) + (bits & -bits).bit_length() - 1
-            left = low[word]
-            now = (word << 6) + (left & -left).bit_length() - 1
-            low[word] = left = left & (left - 1)
-            if not left:
-                middle[first] = bits = bits & (bits - 1)
-                if not bits:
-                    top &= top - 1
+            word = (top & -top).bit_length() - 1  # find-first-set, level by level
+            bits = low[word]
+            now = (word << 8) + (bits & -bits).bit_length() - 1
+            low[word] = bits = bits & (bits - 1)
+            if not bits:
+                top &= top - 1
             waiting = buckets.pop(now)
             fresh = []
             if len(waiting) > 1:
@@ -121,28 +125,32 @@ class Codec:
             for place, i in enumerate(waiting):
                 if pair[i] != now:
                     continue  # stale
+                token[i] = now
                 j = end[i]
                 stop = end[i] = end[j]
-                pair[j] = pair[i] = None
+                pair[j] = -1
                 least = now + 1
                 if stop < n:
                     before[stop] = i
-                    rank = pair[i] = find(data[i : end[stop]])
-                    if rank is not None:
+                    rank = pair[i] = find(data[i : end[stop]], -1)
+                    if rank >= 0:
                         fresh.append((rank, i))
                         least = rank
+                else:
+                    pair[i] = -1
                 p = before[i]
                 if p >= 0:
-                    rank = pair[p] = find(data[p:stop])
-                    if rank is not None:
+                    rank = pair[p] = find(data[p:stop], -1)
+                    if rank >= 0:
                         fresh.append((rank, p))
-                        least = min(least, rank)
+                        if rank < least:
+                            least = rank
                 if least <= now:  # only where a vocabulary isn't in the order of its merges
                     fresh += [(now, later) for later in waiting[place + 1 :] if pair[later] == now]
                     break
         out, i = [], 0
         while i < n:
-            out.append(ranks[data[i : end[i]]])
+            out.append(token[i])
             i = end[i]
         return tuple(out)
 
@@ -213,10 +221,25 @@ def decoded(coded: DataFrame, path: str = VOCABULARY, pattern: str = public_toke
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, data binary")
 
 
+def coded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """(doc_id, ids, data): each row encoded, and its ids decoded again, by one worker."""
+
+    def run(source):
+        own = codec(path, pattern)
+        for batch in batches(source, 2 << 20):
+            lists = [own.encode(t or "") for t in batch.column(1).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+            flat = np.fromiter(chain.from_iterable(lists), np.int32, int(offsets[-1]))
+            data = pa.array([own.decode(x) for x in lists], pa.binary())
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), data], ["doc_id", "ids", "data"])
+
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return docs.mapInArrow(run, "doc_id long, ids array<int>, data binary")
+
+
 def round_trip(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
-    both = decoded(encoded(docs))
-    return both.select(
+    return coded(docs).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
