@@ -24,7 +24,10 @@ def near_copies(seed):
     return rows + [" ".join(word() for _ in range(60)) for _ in range(20)]
 
 
-def test_join_finds_exactly_the_components(spark):
+@pytest.mark.parametrize("block", [512, 4])
+def test_join_finds_exactly_the_components(spark, monkeypatch, block):
+    """The small block size makes groups span several comparison blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = near_copies(7)
     sets = []
     for t in rows:
