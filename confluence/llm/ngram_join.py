@@ -49,35 +49,47 @@ class Band:
     slack: int
 
 
+def _poisson(mean: float, most: int) -> list[float]:
+    """Chances of 0 .. most."""
+    out = [math.exp(-mean)]
+    for i in range(1, min(most, 900) + 1):
+        out.append(out[-1] * mean / i)
+    return out
+
+
 def _thin(exact: float, deletion: float, slack: int) -> float:
     """Chance that empty segments weigh more than the slack (Poisson occupancy)."""
-    total = 0.0
-    for d in range(slack // 2 + 1):
-        for e in range(slack - 2 * d + 1):
-            total += math.exp(-exact - deletion) * exact**e / math.factorial(e) * deletion**d / math.factorial(d)
-    return max(0.0, 1 - total)
+    one, two = _poisson(exact, slack), _poisson(deletion, slack // 2)
+    return max(0.0, 1 - sum(two[d] * sum(one[: slack - 2 * d + 1]) for d in range(len(two))))
 
 
-def allocation(low: int, top: int, distance: int) -> Band:
-    """The cheapest segments for a band: keys indexed, weak keys of one shingle, and thin sets."""
+def allocation(low: int, top: int, distance: int, percent: int) -> Band:
+    """The cheapest segments for a band: keys indexed, weak keys of one shingle, and thin sets.
+
+    Half of the sets are thought to be of the band, half smaller ones that may link into it.
+    """
+    if distance > 20_000:  # a spare 64th is far more than the empty segments of so many
+        return Band(low, top, distance, distance + 1 + distance // 64, 0, distance // 64)
     best, at = None, math.inf
-    mean = math.sqrt(low * top)
-    for weight in range(distance + 1, distance + 9):
-        for deletion in {0, weight // 4, weight // 2, (weight + 1) // 2}:
+    for spare in sorted({*range(9), *(distance // part for part in (100, 80, 64, 48, 40, 32, 24, 20, 16, 12, 10, 8))}):
+        weight = distance + 1 + spare
+        for deletion in {0, weight // 4, weight // 2, (weight + 1) // 2} if distance < 100 else {0}:
             exact = max(0, weight - 2 * deletion)
-            units = exact + 2 * deletion
-            load = mean / units
-            keys = exact * (1 - math.exp(-load)) + deletion * (1 + 2 * load)
-            weak = exact * load * math.exp(-load) + deletion * (2 * load) ** 2 * math.exp(-2 * load)
+            units, cost = exact + 2 * deletion, 0.0
             slack = units - distance - 1
-            thin = _thin(exact * math.exp(-load), deletion * math.exp(-2 * load) * (1 + 2 * load), slack)
-            cost = keys + 5 * weak + 3 * thin * keys
+            spared = distance - (low - 1 + top) * (100 - percent) // (100 + percent)
+            for mean, room in ((math.sqrt(low * top), slack), (low * math.sqrt(percent / 100), slack + spared)):
+                load = mean / units
+                keys = exact * (1 - math.exp(-load)) + deletion * (1 + 2 * load)
+                weak = exact * load * math.exp(-load) + deletion * (2 * load) ** 2 * math.exp(-2 * load)
+                thin = _thin(exact * math.exp(-load), deletion * math.exp(-2 * load) * (1 + 2 * load), room)
+                cost += keys + weak + 2 * thin * keys
             if cost < at:
                 best, at = Band(low, top, distance, exact, deletion, slack), cost
     return best
 
 
-def bands(percent: int, ratio: float = 1.5, largest: int = 1 << 40) -> list[Band]:
+def bands(percent: int, ratio: float = 1.35, largest: int = 1 << 40) -> list[Band]:
     out, low = [], 1
     while low <= largest:
         top = max(low, math.ceil(low * max(ratio, 100 / percent)) - 1)
@@ -87,7 +99,7 @@ def bands(percent: int, ratio: float = 1.5, largest: int = 1 << 40) -> list[Band
             while top > 1 and 2 * top * (100 - percent) // (100 + percent) > 0:
                 top -= 1
         distance = 2 * top * (100 - percent) // (100 + percent)
-        out.append(allocation(low, top, distance) if distance else Band(low, top, 0, 0, 0, 0))
+        out.append(allocation(low, top, distance, percent) if distance else Band(low, top, 0, 0, 0, 0))
         low = top + 1
     return out
 
@@ -112,20 +124,25 @@ def set_names(first: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
     return _sums(first, mix(values)), _sums(first, mix(values ^ np.uint64(0xD1B54A32D192ED03)))
 
 
-def keys_of(first: np.ndarray, values: np.ndarray, plan: list[Band], percent: int, seed: int = 0):
-    """(row, key) of every indexed segment, and the rows that are thin under this seed."""
+def keys_of(first: np.ndarray, values: np.ndarray, plan: list[Band], percent: int, seed: int = 0, roles: np.ndarray | None = None):
+    """(row, key) of every indexed segment, and which sets are thin under this seed, [row, role].
+
+    A set has two roles: in its own band, and, if it may link to larger sets, in the next one.
+    ``roles`` says which of them to index.
+    """
     n = np.diff(first)
+    roles = np.ones((len(n), 2), bool) if roles is None else roles
     lows = np.array([b.low for b in plan])
     if seed:
         values = mix(values ^ mix(np.full(1, seed, np.uint64)))
         doc = np.repeat(np.arange(len(n)), n)
         _, values = distinct(doc, values)
     own = np.searchsorted(lows, n, "right") - 1
-    rows, keys, thin = [], [], np.zeros(len(n), bool)
+    rows, keys, thin = [], [], np.zeros((len(n), 2), bool)
     up = np.minimum(own + 1, len(plan) - 1)
-    for band_of, here in ((own, n > 0), (up, (n > 0) & (n * 100 >= percent * lows[up]) & (up > own))):
+    for role, (band_of, here) in enumerate(((own, n > 0), (up, (n > 0) & (n * 100 >= percent * lows[up]) & (up > own)))):
         exact, deletion, slack = (np.array([getattr(b, a) for b in plan])[band_of] for a in ("exact", "deletion", "slack"))
-        here = np.flatnonzero(here & (exact + deletion > 0))
+        here = np.flatnonzero(here & roles[:, role] & (exact + deletion > 0))
         if not len(here):
             continue
         count = n[here]
@@ -155,9 +172,11 @@ def keys_of(first: np.ndarray, values: np.ndarray, plan: list[Band], percent: in
         safe = np.bincount(d[near & (size > 1)], minlength=len(n))
         empty = np.zeros(len(n), np.int64)
         empty[here] = (exact - plain)[here] + 2 * (deletion - safe)[here]
-        thin |= empty > slack
+        if role:  # such a set is smaller than the band, so its pairs there differ less
+            slack = slack + np.array([max(0, b.distance - (b.low - 1 + b.top) * (100 - percent) // (100 + percent)) for b in plan])[band_of]
+        thin[:, role] = empty > slack
         if seed == SEEDS - 1:  # the exact way for the rest: index empty segments as well
-            for r in np.flatnonzero(empty > slack):
+            for r in np.flatnonzero(thin[:, role]):
                 held = {int(x): int(c) for x, c in zip(s[d == r], size[d == r])}
                 lone = [x for x in range(exact[r] + deletion[r]) if held.get(x, 0) <= (x >= exact[r])]
                 rows.append(np.full(len(lone), r))
@@ -174,21 +193,20 @@ def index_keys(first, values, plan, percent):
     rows, keys, thin = keys_of(first, values, plan, percent)
     out, names = [(rows, keys)], np.arange(len(thin))
     for seed in range(1, SEEDS):
-        chosen = np.flatnonzero(thin)
+        chosen = np.flatnonzero(thin.any(axis=1))
         if not len(chosen):
             break
-        names = names[chosen]
+        names, roles = names[chosen], thin[chosen]
         values = np.concatenate([values[first[r] : first[r + 1]] for r in chosen])
         first = np.concatenate([[0], np.cumsum(np.diff(first)[chosen])])
-        rows, keys, thin = keys_of(first, values, plan, percent, seed)
+        rows, keys, thin = keys_of(first, values, plan, percent, seed, roles)
         out.append((names[rows], keys))
     return np.concatenate([r for r, _ in out]), np.concatenate([k for _, k in out])
 
 
 def parity_bits(values: np.ndarray) -> bytes:
     """Bitmap of value counts modulo 2; bits that differ between two sets never exceed their distance."""
-    width = 64 << max(0, (2 * len(values) - 1).bit_length() - 6) if len(values) else 64
-    width = min(width, 1 << 15)
+    width = min(64 << max(0, len(values).bit_length() - 6), 1 << 14)
     bits = np.bincount((mix(values ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
@@ -354,6 +372,12 @@ def _differ(x: bytes, others: list[bytes]) -> np.ndarray:
     return out
 
 
+def _folded(bits: bytes, width: int) -> np.ndarray:
+    """A bitmap folded to ``width`` bytes, as 64-bit words; folding keeps parities."""
+    words = np.frombuffer(bits, np.uint64).reshape(-1, width // 8)
+    return np.bitwise_xor.reduce(words, axis=0)
+
+
 def remaining_pairs(spanning: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that an exact prefix filter and the bitmaps leave.
 
@@ -403,22 +427,33 @@ def remaining_pairs(spanning: DataFrame, sets: DataFrame, percent: int) -> DataF
             return
         _, i, j = name
         part, ids, component, n = (np.array([x[c] for x in held]) for c in range(4))
-        bits, a, b = [x[4] for x in held], [], []
-        for r in range(len(held)):
-            if i != j and part[r] != i:
-                continue
-            over = (component != component[r]) & ((ids > ids[r]) if i == j else (part == j))
-            over &= (np.minimum(n, n[r]) * 100 >= np.maximum(n, n[r]) * percent)
-            over = np.flatnonzero(over)
-            if not len(over):
-                continue
-            bound = (n[over] + n[r]) * (100 - percent) // (100 + percent)
-            over = over[_differ(bits[r], [bits[x] for x in over]) <= bound]
-            a.append(np.minimum(ids[r], ids[over]))
-            b.append(np.maximum(ids[r], ids[over]))
-        if a:
-            a, b = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+        width = np.array([len(x[4]) for x in held])
+        out = []
+        for wide in np.unique(width):
+            for narrow in (wide, wide // 2) if wide > 8 else (wide,):  # partners' sizes, and so their widths, are near
+                left, right = np.flatnonzero(width == wide), np.flatnonzero(width == narrow)
+                if i != j:
+                    left, right = (np.concatenate([left[part[left] == q], right[part[right] == q]]) for q in (i, j))
+                    left, right = (x[np.isin(width[x], (wide, narrow))] for x in (np.unique(left), np.unique(right)))
+                if not len(left) or not len(right):
+                    continue
+                x, y = (np.stack([_folded(held[r][4], narrow) for r in side]) for side in (left, right))
+                for at in range(0, len(left), 64):
+                    row = left[at : at + 64]
+                    ok = (component[row][:, None] != component[right]) & (ids[row][:, None] != ids[right])
+                    both = n[row][:, None] + n[right]
+                    ok &= np.minimum(n[row][:, None], n[right]) * 100 >= np.maximum(n[row][:, None], n[right]) * percent
+                    if not ok.any():
+                        continue
+                    a, b = np.nonzero(ok)
+                    differ = np.bitwise_count(x[at + a] ^ y[b]).sum(axis=1)
+                    near = differ <= both[a, b] * (100 - percent) // (100 + percent)
+                    a, b = ids[row[a[near]]], ids[right[b[near]]]
+                    out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        if out:
+            a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+            if len(a):
+                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     found = mixed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(compared, "a long, b long")
     return found.distinct()
@@ -444,25 +479,26 @@ def linked_components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: st
     group = W.partitionBy("key")
     keyed = index(docs, k, percent).withColumns({"low": F.min("id").over(group), "high": F.max("id").over(group)})
     shared = written(keyed.filter("low <> high").select("key", "id", "low"))
-    names = rep.groupBy("id").agg(F.min("rep").alias("rep"))
+    # an id is the first of its set that a task met; ``names`` gives the set's one id over all tasks
+    names = written(rep.groupBy("id").agg(F.min("rep").alias("rep")))
     stars = (
         shared.select("id", "low").distinct()
         .join(names, "id").select(F.col("rep").alias("b"), F.col("low").alias("id"))
         .join(names, "id").select(F.col("rep").alias("a"), "b")
         .filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
+    )
     stars = written(stars)
-    met = written(shared.select("key", "id").join(names, "id").select("key", F.col("rep").alias("id")).distinct())
-    sets = set_table(docs, met.select("id").distinct(), k)
+    sets = set_table(docs, shared.select("id").distinct().join(names, "id").select(F.col("rep").alias("id")), k)
     if not own.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
         sets = sets.groupBy("id").agg(F.min(F.struct("n", "members", "bits")).alias("s")).select("id", "s.*")
     sets = written(sets)
     links = written(verified(stars, sets, percent))
     found = components(links)
 
-    labelled = met.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    spans = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    spanning = labelled.join(spans, "key").select("id", "component").distinct()
+    by_name = names.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "rep", F.coalesce("component", "rep").alias("component"))
+    labelled = shared.select("key", "id").join(by_name, "id").select("key", F.col("rep").alias("id"), "component")
+    labelled = labelled.withColumns({"lo": F.min("component").over(group), "hi": F.max("component").over(group)})
+    spanning = labelled.filter("lo <> hi").select("id", "component").distinct()
     more = remaining_pairs(spanning, sets, percent).join(stars, ["a", "b"], "left_anti")
     more = written(verified(more, sets, percent))
     if not more.isEmpty():
