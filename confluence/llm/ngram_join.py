@@ -206,7 +206,7 @@ def index_keys(first, values, plan, percent):
 
 def parity_bits(values: np.ndarray) -> bytes:
     """Bitmap of value counts modulo 2; bits that differ between two sets never exceed their distance."""
-    width = min(64 << max(0, len(values).bit_length() - 6), 1 << 14)
+    width = min(64 << max(0, (4 * len(values)).bit_length() - 6), 1 << 16)
     bits = np.bincount((mix(values ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
