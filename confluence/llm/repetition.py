@@ -151,3 +151,15 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return docs.mapInArrow(run, SCHEMA)
+
+
+def passing(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, each by its own text, with all columns; ids aren't looked at."""
+    others = [c for c in docs.columns if c != text]
+
+    def run(source):
+        for batch in batches(source):
+            yield batch.filter(pa.array(counts(batch.column(1))["kept"]))
+
+    own = docs.select(*others[:1], text, *others[1:])  # the text second, as ``batches`` takes it
+    return own.mapInArrow(run, own.schema).select(docs.columns)

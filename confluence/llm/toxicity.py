@@ -125,8 +125,8 @@ def features(texts: pa.Array, learnt: np.ndarray, strong: np.ndarray) -> np.ndar
     return np.stack(columns, axis=1)
 
 
-def _plain(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def _plain(docs: DataFrame, doc_id: str, text: str, *more) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more)
 
 
 def learnt_stems(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -163,23 +163,38 @@ class Scorer:
 
     def scored(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, score, predicted) of each row."""
-        raw = self._raw(_plain(docs, doc_id, text))
+        return self._calibrated(_plain(docs, doc_id, text), [])
+
+    def passing(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+        """The rows of ``docs`` that aren't predicted toxic, with all columns.
+
+        Each row goes or stays by its own text: its columns travel with its score, so rows with null or
+        repeated ids don't decide about each other.
+        """
+        own = {c: f"in_{i}" for i, c in enumerate(docs.columns) if c != text}
+        plain = _plain(docs, doc_id, text, *[F.col(c).alias(name) for c, name in own.items()])
+        clean = self._calibrated(plain, ["text", *own.values()]).filter("predicted = 0")
+        return clean.select([F.col(own.get(c, "text")).alias(c) for c in docs.columns])
+
+    def _calibrated(self, docs: DataFrame, carried: list[str]) -> DataFrame:
+        """(doc_id, carried columns, score, predicted) of each row."""
+        raw = self._raw(docs, carried)
         if self.calibration is not None:
             raw = self.calibration.transform(raw).withColumn("raw", F.col("score") * 0.999 + F.col("raw") * 0.001).drop("score")
         score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("raw", F.lit(0.0))))
-        return raw.select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        return raw.select("doc_id", *carried, score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
-    def _raw(self, docs: DataFrame) -> DataFrame:
-        dense = with_features(docs, *self.stems)
+    def _raw(self, docs: DataFrame, carried: list[str]) -> DataFrame:
+        dense = with_features(docs, *self.stems, carried)
         if self.trees is None:
-            return dense.select("doc_id", F.lit(0.0).alias("raw"))
+            return dense.select("doc_id", *carried, F.lit(0.0).alias("raw"))
         chance = vector_to_array("probability")[1]
-        return self.trees.transform(dense.withColumn("features", array_to_vector("dense"))).select("doc_id", chance.alias("raw"))
+        return self.trees.transform(dense.withColumn("features", array_to_vector("dense"))).select("doc_id", *carried, chance.alias("raw"))
 
 
-def with_features(docs: DataFrame, learnt: np.ndarray, strong: np.ndarray) -> DataFrame:
-    """(doc_id, dense) and the columns behind the first two of ``docs``."""
-    kept = docs.columns[2:]
+def with_features(docs: DataFrame, learnt: np.ndarray, strong: np.ndarray, carried: list[str] | None = None) -> DataFrame:
+    """(doc_id, dense) and the ``carried`` columns, or those behind the first two of ``docs``."""
+    kept = docs.columns[2:] if carried is None else carried
 
     def run(source):
         for batch in batches(source):

@@ -1,7 +1,8 @@
 """A corpus from ``documents`` to packed sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``.  Every row is judged by itself: rows with null ids or with ids that
+other rows have too are neither dropped nor kept for the sake of those.
 """
 
 from __future__ import annotations
@@ -16,24 +17,33 @@ SHINGLE, PERCENT = 5, 80
 
 
 def drop_toxic(spark, docs, sf_dir):
-    """Documents that the toxicity model predicts toxic go."""
+    """Rows whose text the toxicity model predicts toxic go, and no others."""
     labels = table(spark, sf_dir, "labels").filter(crc_mod5() != 0)
-    scorer = toxicity.fitted(docs, labels)
-    bad = scorer.scored(docs).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti").select(docs.columns)
+    return toxicity.fitted(docs, labels).passing(docs)
 
 
 def drop_low_quality(spark, docs, sf_dir):
-    """Documents that fail the quality rules go."""
-    bad = repetition.measured(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti").select(docs.columns)
+    """Rows whose text fails the quality rules go, and no others."""
+    return repetition.passing(docs)
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """One document of each linked group stays: that with the smallest doc_id."""
-    groups = ngram_join.linked_components(docs, k=SHINGLE, percent=PERCENT)
-    extra = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    """One row of each linked group stays: that with the smallest doc_id, nulls last; of equal ids any one.
+
+    Rows are told apart by doc_id where it is a key, else by a row key written with the stage's input.  So
+    copies with null ids or with one id are linked as others are, and a different text under a copy's id
+    stays.  Texts without words link with nothing and stay.
+    """
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        groups = ngram_join.linked_components(docs, k=SHINGLE, percent=PERCENT)
+        extra = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id")
+        return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    own = written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    groups = ngram_join.linked_components(own.select("row", "doc.text"), k=SHINGLE, percent=PERCENT, doc_id="row")
+    members = written(groups.select(F.col("doc_id").alias("row"), "component_id").join(own.select("row", "doc.doc_id"), "row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
+    stays = members.groupBy("component_id").agg(first).select(F.col("first.row").alias("row"))
+    return own.join(stays, "row", "left_semi").select("doc.*")
 
 
 def replace_personal_data(spark, docs, sf_dir):

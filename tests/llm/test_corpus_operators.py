@@ -159,3 +159,55 @@ def test_pipeline_keeps_what_each_stage_should(spark, data):
     assert not any(100 * (n := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - n) for i, a in enumerate(names) for b in names[:i])
     packed = C.pack(spark, seen[4], data).toPandas()
     assert set(packed.doc_id) == ids[4] and packed.groupby("sequence_id").length.sum().max() <= packing.SEQUENCE
+
+
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def as_documents(spark, rows):
+    return spark.createDataFrame([(i, t, "en", f"row{r}", len(t)) for r, (i, t) in enumerate(rows)], DOCUMENT).repartition(3)
+
+
+def rows_left(df):
+    assert df.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    return sorted(int(r.source.removeprefix("row")) for r in df.collect())
+
+
+def test_pipeline_judges_toxicity_row_by_row(spark):
+    """Toxic rows take no other row of their (null or repeated) id with them."""
+    import corpus_pipeline as C
+
+    folder = "/root/testdata/sf0.01"
+    docs = table(spark, folder, "documents")
+    part = F.col("doc_id") % 10
+    odd = docs.withColumn("doc_id", F.when(part == 7, -1).when(part != 3, F.col("doc_id"))).cache()
+    labels = table(spark, folder, "labels").filter(C.crc_mod5() != 0)
+    scored = toxicity.fitted(odd, labels).scored(odd).filter("predicted = 0").groupBy("doc_id").count()
+    left = C.drop_toxic(spark, odd, folder)
+    assert left.columns == docs.columns
+    kept = {r.doc_id: r["count"] for r in left.groupBy("doc_id").count().collect()}
+    assert kept == {r.doc_id: r["count"] for r in scored.collect()}
+    assert 0 < kept[None] < odd.filter("doc_id is null").count() and 0 < kept[-1] < odd.filter("doc_id = -1").count()
+
+
+def test_pipeline_judges_quality_row_by_row(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(11)
+    prose = lambda: " ".join(f"w{rng.randrange(9999)}" for _ in range(40))
+    rows = [(None, prose()), (None, "short"), (None, prose()), (7, prose()), (7, "one two " * 40), (8, ""), (9, prose())]
+    assert rows_left(C.drop_low_quality(spark, as_documents(spark, rows), None)) == [0, 2, 3, 6]
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Null ids, repeated rows, and a different text under a copy's id."""
+    import corpus_pipeline as C
+
+    rng = random.Random(12)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(9999)}" for _ in range(60)) for _ in range(5))
+    near = a + " more"
+    rows = [(None, a), (None, near), (5, b), (5, b), (9, b), (9, c), (None, d), (None, d), (3, near), (1, e)]
+    left = rows_left(C.drop_near_duplicates(spark, as_documents(spark, rows), None))
+    assert left in (sorted([x, 5, y, 8, 9]) for x in (2, 3) for y in (6, 7))
+    keyed = [(4, a), (2, near), (6, b)]
+    assert rows_left(C.drop_near_duplicates(spark, as_documents(spark, keyed), None)) == [1, 2]
