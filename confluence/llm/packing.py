@@ -10,6 +10,7 @@ so a length that a third of all pieces have is no hot spot.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -30,13 +31,28 @@ FIT_ROUNDS = 150
 _ENCODINGS: dict[str, tiktoken.Encoding] = {}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of the tokenizer file beside a rank file: texts are cut at these before anything else."""
+    with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    for token in added:
+        if any(token[flag] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added token {token['content']!r} isn't matched literally")
+    return {token["content"]: token["id"] for token in added}
+
+
 def encoding(path: str = VOCABULARY) -> tiktoken.Encoding:
-    """The encoder of this Python worker: the ranks of ``byte_bpe_50k.json``'s vocabulary, so the same ids."""
+    """The encoder of this Python worker: the ranks and added tokens of ``byte_bpe_50k.json``."""
     if path not in _ENCODINGS:
-        _ENCODINGS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+        _ENCODINGS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens=added_tokens(path))
     return _ENCODINGS[path]
 
 
+def ids_of(text: str, own: tiktoken.Encoding) -> list[int]:
+    """The ids that the tokenizer file gives ``text``, added tokens within it included."""
+    return own.encode(text, allowed_special="all")
+
+
 def pieces(docs: DataFrame, sequence: int = SEQUENCE, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids with END behind them, cut only beyond ``sequence``.
 
@@ -48,7 +64,7 @@ def pieces(docs: DataFrame, sequence: int = SEQUENCE, doc_id: str = "doc_id", te
         for batch in batches(source, 2 << 20):
             row, piece, start, length, crc = [], [], [], [], []
             for r, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.array(own.encode_ordinary(text or "") + [END], "<u4")
+                ids = np.array(ids_of(text or "", own) + [END], "<u4")
                 lead = len(ids) % sequence
                 edges = ([0] if lead else []) + list(range(lead, len(ids), sequence)) + [len(ids)]
                 for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])):

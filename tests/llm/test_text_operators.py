@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -104,6 +105,19 @@ def test_packing_ids_are_those_of_the_tokenizer_file():
         assert packing.encoding().encode_ordinary(t) == file.encode(t, add_special_tokens=False).ids
 
 
+def test_packing_ids_of_added_tokens(spark):
+    """The literal at the start, in the middle, at the end, doubled, cut short and beside spaces."""
+    file = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    rng = random.Random(6)
+    rows = [end, f"{end} a b", f"a {end} b", f"a b{end}", f"a  \n{end}\n  b", end * 2, f"<{end}>", end[:-1], f"x {end.upper()}", f"é{end}漢"]
+    rows += ["".join(rng.choice([end, "<|", "|>", "endoftext", " ", "\n", "a", "é", "1", "."]) for _ in range(12)) for _ in range(300)]
+    expected = [file.encode(t, add_special_tokens=False).ids for t in rows]
+    assert [packing.ids_of(t, packing.encoding()) for t in rows] == expected and expected[2] == [64, 220, 50256, 275]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pieces(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == {i: (len(x) + 1, zlib.crc32(np.array([*x, packing.END], "<u4").tobytes())) for i, x in enumerate(expected)}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_plans_place_every_piece_once(seed):
     rng = np.random.default_rng(seed)
