@@ -47,6 +47,18 @@ def test_repetition_follows_brute_force():
         assert got["base_failed"][i] == (len(w) < 10 or 100 * len(spans) > 20 * len(w))
 
 
+def test_long_repeats_have_their_own_limit():
+    """15 % of the words in repeats: a text goes for one of 12 words, but stays for repeats of eight."""
+    word = [f"w{i}" for i in range(200)]
+    long = word[:136] + word[10:22]
+    long += word[150:162]
+    short = word[:184] + [w for a in (0, 20) for w in [*word[a : a + 8], f"x{a}"]]
+    got = repetition.counts(pa.array([" ".join(long), " ".join(short), " ".join(word[:136])]))
+    assert got["n_words"].tolist() == [160, 202, 136] and got["longest_repeat"].tolist() == [12, 8, 0]
+    assert got["n_repeat_words"].tolist() == [24, 32, 0] and got["n_long_words"].tolist() == [24, 0, 0]
+    assert got["base_failed"].tolist() == [False] * 3 and got["kept"].tolist() == [False, True, True]
+
+
 def test_fingerprints_estimate_similarity():
     rng = random.Random(3)
     base = [f"w{rng.randrange(9999)}" for _ in range(600)]
