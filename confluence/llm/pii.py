@@ -20,18 +20,20 @@ KEY = "confluence-pii"
 ROUNDS = 8
 # Days from 1900-01-01 on that dates are permuted within (200 * 365), and patterns.
 FIRST_DAY, DAY_FACTORS = "1900-01-01", (200, 365)
+# Month-first dates, whose day is over 12, are permuted among such days of 1900 to 2102 (112 * 401).
+LATE_FACTORS, LATE_MONTHS = (112, 401), 203 * 12
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}\b"
 SECRET = r"\bAKIA[A-Z0-9]{16}\b|\b(?:ghp_|sk-|xox[abp]-)[A-Za-z0-9-]{16,80}|(?i:\b(?:password|passwd|pwd|token|secret|api_?key))\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_.~+/-]{5,127}[A-Za-z0-9_+/]={0,2}"
-DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\w/-])"
+DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}(?=T\d{2}|(?![\w/-]))|\d{1,2}[./]\d{1,2}[./]\d{4}(?![\w/-]))"
 IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)"
+PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.+-])(?<!\d )[2-9]\d{2}(?:-\d{3}-|\.\d{3}\.| [2-9]\d{2} )\d{4}(?![\w-]|[ .]\d)"
 CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
 KINDS = {"email": EMAIL, "secret": SECRET, "date": DATE, "ip": IPV4, "iban": IBAN, "ssn": SSN, "phone": PHONE, "card": CARD}
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without any of these holds nothing to find.
-HINT = r"[0-9@]|(?i:passw|pwd|token|secret|api_?key|ghp_|sk-|xox)"
+HINT = r"[0-9@]|AKIA|(?i:passw|pwd|token|secret|api_?key|ghp_|sk-|xox)"
 
 
 def _hashed(key: str, *parts: Column) -> Column:
@@ -124,11 +126,11 @@ def kind_of(value: Column) -> Column:
     number = _digits(value)
     octets = F.split(value, r"\.")
     iban = F.replace(value, F.lit(" "), F.lit(""))
-    day = _day(value)
+    day, late = _day(value), _late(value)
     return (
         F.when(whole("email"), "email")
         .when(whole("secret"), "secret")
-        .when(whole("date"), F.when(day.between(0, DAY_FACTORS[0] * DAY_FACTORS[1] - 1), "date"))
+        .when(whole("date"), F.when(day.between(0, DAY_FACTORS[0] * DAY_FACTORS[1] - 1) | late.between(0, LATE_FACTORS[0] * LATE_FACTORS[1] - 1), "date"))
         .when(whole("ip"), F.when(F.forall(octets, lambda o: o.cast("int") <= 255), "ip"))
         .when(whole("iban"), F.when(_mod97(F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))) == 1, "iban"))
         .when(whole("ssn"), F.when(value.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), "ssn"))
@@ -144,6 +146,21 @@ def _day(value: Column) -> Column:
     return F.datediff(F.coalesce(F.when(value.rlike("^[0-9]{4}-"), iso).otherwise(local)), F.lit(FIRST_DAY).cast("date")).cast("long")
 
 
+def _late(value: Column) -> Column:
+    """The place of a month-first date among all days over 12 since FIRST_DAY; null where it can be day-first, or isn't one."""
+    date = F.when(_day(value).isNull(), F.try_to_date(value, "M/d/yyyy"))
+    return (F.datediff(date, F.lit(FIRST_DAY).cast("date")) - 12 * ((F.year(date) - 1900) * 12 + F.month(date))).cast("long")
+
+
+def _late_date(place: Column) -> Column:
+    """The date at a place of ``_late``: the last month that begins at or before it, and what is left."""
+    first = F.lit(FIRST_DAY).cast("date")
+    guess = F.floor(place * LATE_MONTHS / (LATE_FACTORS[0] * LATE_FACTORS[1])).cast("int")
+    begun = lambda m: F.datediff(F.add_months(first, m), first) - 12 * m <= place
+    month = F.greatest(*[F.when(begun(guess + i), guess + i) for i in (-2, -1, 0, 1, 2)])
+    return F.date_add(first, (place + 12 * (month + 1)).cast("int"))
+
+
 def pseudonym(value: Column, kind: Column, key: str = KEY) -> Column:
     """The pseudonym of a value of this kind; a value without a kind stays."""
     at = F.instr(value, "@")
@@ -157,6 +174,9 @@ def pseudonym(value: Column, kind: Column, key: str = KEY) -> Column:
     month_text = F.when(wide, F.date_format(day, "MM")).otherwise(F.month(day).cast("string"))
     local = F.concat(day_text, mark, month_text, mark, F.date_format(day, "yyyy"))
     date = F.when(value.rlike("^[0-9]{4}-"), F.date_format(day, "yyyy-MM-dd")).otherwise(local)
+    late = _late_date(permuted_number(_late(value), *LATE_FACTORS, key, "late"))
+    late_text = F.concat(F.when(wide, F.date_format(late, "MM")).otherwise(F.month(late).cast("string")), F.date_format(late, "/dd/yyyy"))
+    date = F.when(_late(value).isNotNull(), late_text).otherwise(date)
     octet = F.split(value, r"\.")
     packed = F.aggregate(F.transform(octet, lambda o: o.cast("long")), F.lit(0).cast("long"), lambda s, o: s * 256 + o)
     moved = permuted_number(packed, 1 << 16, 1 << 16, key, "ip")
