@@ -10,29 +10,38 @@ slack, comes from a cost model (``allocation``).  Empty segments are never index
 whose empty ones weigh more than the slack ("thin") is hashed anew for pairs of thin sets,
 and the last seed indexes the empty segments too, so no pair can be lost.
 
-Every key's group is first a star: each member against the group's smallest.  Pairs in one
-component need no look.  Sets in groups that still span components go through an exact
-prefix filter (rarest shingles first) and a parity-bitmap bound before they are verified.
-Verification intersects the whole sets.
+Every set also knows how many segments it must share with any partner ("need"): the segments of its
+band, less the largest distance that its own size allows, less its empty segments.  A set that meets
+others in fewer keys has no partner, so passages that many texts share cost little.
+
+Keys travel packed, one block a chunk of texts and a shard of the keys; of a key that a chunk holds
+several times only the first goes on, so a key's group grows with the chunks and not with the rows.
+Groups are first stars: each member against the group's first.  Pairs in one component need no look.
+Sets in groups that still span components go through an exact prefix filter (rarest shingles first)
+and a parity-bitmap bound before they are verified.  Verification intersects the sets of the whole texts.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from confluence.llm.common import id_set_bits, written
+from confluence.llm.common import Scratch, id_set_bits, written
 from confluence.llm.words import Words, batches, distinct, mix
 
 SEEDS = 4
 #: Buckets of the sketch that orders shingles by frequency (its size is fixed).
 SKETCH_BITS = 18
+#: Keys of one packed chunk, and shingles to a shard of the keys, about.
+CHUNK, SHARD = 1 << 20, 1 << 21
+#: A key is heavy if it holds over this part of all rows.
+HEAVY = 1000
 #: Rows that one comparison block has from each of its two sides.
 BLOCK = 512
 
@@ -125,10 +134,11 @@ def set_names(first: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def keys_of(first: np.ndarray, values: np.ndarray, plan: list[Band], percent: int, seed: int = 0, roles: np.ndarray | None = None):
-    """(row, key) of every indexed segment, and which sets are thin under this seed, [row, role].
+    """(row, key, need) of every indexed segment, and which sets are thin under this seed, [row, role].
 
     A set has two roles: in its own band, and, if it may link to larger sets, in the next one.
-    ``roles`` says which of them to index.
+    ``roles`` says which of them to index.  ``need``: so many keys of this role and seed, at least, a set
+    shares with any partner, thin ones excepted (1).
     """
     n = np.diff(first)
     roles = np.ones((len(n), 2), bool) if roles is None else roles
@@ -138,10 +148,10 @@ def keys_of(first: np.ndarray, values: np.ndarray, plan: list[Band], percent: in
         doc = np.repeat(np.arange(len(n)), n)
         _, values = distinct(doc, values)
     own = np.searchsorted(lows, n, "right") - 1
-    rows, keys, thin = [], [], np.zeros((len(n), 2), bool)
+    rows, keys, needs, thin = [], [], [], np.zeros((len(n), 2), bool)
     up = np.minimum(own + 1, len(plan) - 1)
     for role, (band_of, here) in enumerate(((own, n > 0), (up, (n > 0) & (n * 100 >= percent * lows[up]) & (up > own)))):
-        exact, deletion, slack = (np.array([getattr(b, a) for b in plan])[band_of] for a in ("exact", "deletion", "slack"))
+        exact, deletion, top = (np.array([getattr(b, a) for b in plan])[band_of] for a in ("exact", "deletion", "top"))
         here = np.flatnonzero(here & roles[:, role] & (exact + deletion > 0))
         if not len(here):
             continue
@@ -157,41 +167,44 @@ def keys_of(first: np.ndarray, values: np.ndarray, plan: list[Band], percent: in
         begin = np.flatnonzero(turn)
         size = np.diff(np.append(begin, len(doc)))
         d, s = doc[begin], segment[begin]
+        near = s >= exact[d]
+        empty = np.zeros(len(n), np.int64)
+        empty[here] = (exact - np.bincount(d[~near], minlength=len(n)))[here] + 2 * (deletion - np.bincount(d[near & (size > 1)], minlength=len(n)))[here]
+        # segments that agree with any partner: all but as many as the largest distance that n allows
+        share = exact + 2 * deletion - (n + np.minimum(top, 100 * n // percent)) * (100 - percent) // (100 + percent) - empty
+        thin[here, role] = share[here] < 1
+        need = np.clip(np.where(deletion > 0, (share + 1) // 2, share), 1, 255)
+        role_rows = []
         with np.errstate(over="ignore"):
             value = mix(token ^ np.uint64(0xA0761D6478BD642F))
             total = np.add.reduceat(value, begin)
             place = mix(((band_of[d] * SEEDS + seed).astype(np.uint64) << np.uint64(40)) + s.astype(np.uint64))
-            rows.append(d)
+            role_rows.append(d)
             keys.append(mix(total + place))
-            near = s >= exact[d]
             each = np.repeat(near & (size > 1), size)
             group = np.repeat(np.arange(len(begin)), size)[each]
-            rows.append(d[group])
+            role_rows.append(d[group])
             keys.append(mix(total[group] - value[each] + place[group]))
-        plain = np.bincount(d[~near], minlength=len(n))
-        safe = np.bincount(d[near & (size > 1)], minlength=len(n))
-        empty = np.zeros(len(n), np.int64)
-        empty[here] = (exact - plain)[here] + 2 * (deletion - safe)[here]
-        if role:  # such a set is smaller than the band, so its pairs there differ less
-            slack = slack + np.array([max(0, b.distance - (b.low - 1 + b.top) * (100 - percent) // (100 + percent)) for b in plan])[band_of]
-        thin[:, role] = empty > slack
         if seed == SEEDS - 1:  # the exact way for the rest: index empty segments as well
             for r in np.flatnonzero(thin[:, role]):
                 held = {int(x): int(c) for x, c in zip(s[d == r], size[d == r])}
                 lone = [x for x in range(exact[r] + deletion[r]) if held.get(x, 0) <= (x >= exact[r])]
-                rows.append(np.full(len(lone), r))
+                role_rows.append(np.full(len(lone), r))
                 with np.errstate(over="ignore"):
                     place = mix((np.uint64(band_of[r] * SEEDS + seed) << np.uint64(40)) + np.array(lone, np.uint64))
                     keys.append(mix(place))
+        role_rows = np.concatenate(role_rows)
+        rows.append(role_rows)
+        needs.append(need[role_rows].astype(np.uint8))
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), thin
-    return np.concatenate(rows), np.concatenate(keys), thin
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), thin
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(needs), thin
 
 
 def index_keys(first, values, plan, percent):
-    """(row, key) over all seeds; a later seed takes only sets that were thin under each one before."""
-    rows, keys, thin = keys_of(first, values, plan, percent)
-    out, names = [(rows, keys)], np.arange(len(thin))
+    """(row, key, need) over all seeds; a later seed takes only sets that were thin under each one before."""
+    rows, keys, needs, thin = keys_of(first, values, plan, percent)
+    out, names = [(rows, keys, needs)], np.arange(len(thin))
     for seed in range(1, SEEDS):
         chosen = np.flatnonzero(thin.any(axis=1))
         if not len(chosen):
@@ -199,14 +212,14 @@ def index_keys(first, values, plan, percent):
         names, roles = names[chosen], thin[chosen]
         values = np.concatenate([values[first[r] : first[r + 1]] for r in chosen])
         first = np.concatenate([[0], np.cumsum(np.diff(first)[chosen])])
-        rows, keys, thin = keys_of(first, values, plan, percent, seed, roles)
-        out.append((names[rows], keys))
-    return np.concatenate([r for r, _ in out]), np.concatenate([k for _, k in out])
+        rows, keys, needs, thin = keys_of(first, values, plan, percent, seed, roles)
+        out.append((names[rows], keys, needs))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def parity_bits(values: np.ndarray) -> bytes:
     """Bitmap of value counts modulo 2; bits that differ between two sets never exceed their distance."""
-    width = min(64 << max(0, (4 * len(values)).bit_length() - 6), 1 << 16)
+    width = min(64 << max(0, (2 * len(values)).bit_length() - 6), 1 << 16)
     bits = np.bincount((mix(values ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
@@ -216,10 +229,6 @@ def linked_sizes(common, a, b, percent: int):
     return (100 + percent) * common >= percent * (a + b)
 
 
-def _members(sets: bytes) -> np.ndarray:
-    return np.frombuffer(sets, np.uint64)
-
-
 def _common(x: np.ndarray, y: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if len(x) > len(y):
@@ -230,82 +239,171 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, h1, h2): size and names of each row's shingle set."""
+    """(id, n, h1, h2): size and names of each row's shingle set."""
 
     def run(source):
         for batch in batches(source):
             first, values = shingle_sets(batch, k)
             h1, h2 = set_names(first, values)
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(np.diff(first)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["doc_id", "n", "h1", "h2"])
+            yield pa.record_batch([batch.column(0), pa.array(np.diff(first)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["id", "n", "h1", "h2"])
+
+    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long")
+
+
+def _grouped(key: np.ndarray, id_: np.ndarray, need: np.ndarray):
+    """Rows in order of key and id without repetitions, and of each row its group's begin and size."""
+    order = np.lexsort((id_, key))
+    key, id_, need = key[order], id_[order], need[order]
+    turn = np.ones(len(key), bool)
+    turn[1:] = (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])
+    key, id_, need = key[turn], id_[turn], need[turn]
+    begin = np.ones(len(key), bool)
+    begin[1:] = key[1:] != key[:-1]
+    begin = np.flatnonzero(begin)
+    size = np.diff(np.append(begin, len(key)))
+    return key, id_, need, begin, size
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in the narrowest type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
 
+def _packed(held: list, shards: int):
+    """(shard, whole, blob) rows of a chunk's keys.
 
-def index(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, id): the indexed segments of each set that a task meets, under its first doc_id there."""
+    Groups that the chunk holds whole go anywhere (``whole``: their rows are ready); of each key its first id
+    goes to the key's shard, with need 0 if its row is among those.  A key is its shard and 40 bits.
+    """
+    key, id_, need, begin, size = _grouped(*(np.concatenate(x) for x in zip(*held)))
+    shard = (key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+    key = key & np.uint64((1 << 40) - 1)
+    several = size > 1
+    member = np.repeat(several, size)
+    if member.any():
+        named = (shard << np.uint64(40) | key)[begin[several]]
+        ids = id_[member]
+        yield int(named[0] % np.uint64(shards)), True, pickle.dumps((named, _narrow(size[several]), ids.min(), _narrow(ids - ids.min()), need[member]), 5)
+    shard, key, id_, need = shard[begin], key[begin], id_[begin], np.where(several, 0, need[begin]).astype(np.uint8)
+    order = np.lexsort((id_, shard))
+    shard, key, id_, need = shard[order], key[order], id_[order], need[order]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]) if len(shard) else [0]
+    for a, b in zip(edges[:-1], edges[1:]):
+        low, high = key[a:b].astype(np.uint32), (key[a:b] >> np.uint64(32)).astype(np.uint8)
+        yield int(shard[a]), False, pickle.dumps((low, high, int(id_[a]), _narrow(np.diff(id_[a:b])), need[a:b]), 5)
+
+
+def shared_keys(docs: DataFrame, k: int, percent: int, shards: int) -> DataFrame:
+    """(key, id, low, need): the indexed segments that two sets share or more.
+
+    ``low`` is the first id of the row's group, or of its part in a chunk.  A set stands under its first id in a
+    chunk of texts.  A row with need 0 repeats one that its chunk's group has.
+    """
     plan = bands(percent)
 
-    def run(source):
-        seen = set()
+    def chunks(source):
+        seen, held, size = set(), [], 0
         for batch in batches(source):
             first, values = shingle_sets(batch, k)
-            ids = batch.column(0).cast(pa.int64())
-            names = list(zip(*(x.tolist() for x in set_names(first, values)), np.diff(first).tolist()))
+            names = zip(*(x.tolist() for x in set_names(first, values)), np.diff(first).tolist())
             fresh = []
-            for r, (name, known) in enumerate(zip(names, np.asarray(ids.is_valid()))):
-                if known and name[2] and name not in seen:
+            for r, name in enumerate(names):
+                if name[2] and name not in seen:
                     seen.add(name)
                     fresh.append(r)
             if not fresh:
                 continue
             values = np.concatenate([values[first[r] : first[r + 1]] for r in fresh])
             first = np.concatenate([[0], np.cumsum(np.diff(first)[fresh])])
-            rows, keys = index_keys(first, values, plan, percent)
-            ids = np.asarray(ids.take(pa.array(fresh)))
-            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(ids[rows])], ["key", "id"])
+            rows, keys, needs = index_keys(first, values, plan, percent)
+            held.append((keys, np.asarray(batch.column(0).take(pa.array(fresh)))[rows], needs))
+            size += len(keys)
+            if size >= CHUNK:
+                yield from _packed(held, shards)
+                seen, held, size = set(), [], 0
+        if size:
+            yield from _packed(held, shards)
+
+    def run(source):
+        for shard, whole, blob in chunks(source):
+            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([whole]), pa.array([blob], pa.binary())], ["shard", "whole", "blob"])
+
+    def batch_of(key, id_, low, need):
+        for at in range(0, len(key), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.record_batch([pa.array(key[part].view(np.int64)), pa.array(id_[part]), pa.array(low[part]), pa.array(need[part].astype(np.int16))], ["key", "id", "low", "need"])
+
+    def met(shard, held):
+        if held:
+            key, id_, need, begin, size = _grouped(*(np.concatenate(x) for x in zip(*held)))
+            several = np.repeat(size > 1, size)
+            low = np.repeat(id_[begin], size)
+            yield from batch_of((key | np.uint64(shard << 40))[several], id_[several], low[several], need[several])
+
+    def groups(source):
+        held, name = [], -1
+        for batch in source:
+            for shard, whole, blob in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if whole:
+                    named, size, base, ids, need = pickle.loads(blob)
+                    ids = ids.astype(np.int64) + base
+                    size = size.astype(np.int64)
+                    yield from batch_of(np.repeat(named, size), ids, np.repeat(ids[np.cumsum(size) - size], size), need)
+                    continue
+                if shard != name:
+                    yield from met(name, held)
+                    held, name = [], shard
+                low, high, base, steps, need = pickle.loads(blob)
+                held.append((high.astype(np.uint64) << np.uint64(32) | low, np.concatenate([[base], base + np.cumsum(steps, dtype=np.int64)]), need))
+        yield from met(name, held)
 
-    return docs.mapInArrow(run, "key long, id long")
+    sent = docs.mapInArrow(run, "shard int, whole boolean, blob binary").repartition(shards, "shard")
+    return sent.sortWithinPartitions("shard").mapInArrow(groups, "key long, id long, low long, need short")
 
 
 def set_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, n, members, bits) of the sets that ``ids`` name, and of few others; nothing is shuffled for it."""
-    kept = np.frombuffer(id_set_bits(ids, "id"), np.uint64)
+    """(id, n, bits, text) of the sets that ``ids`` name, and of few others; nothing is shuffled for it."""
+    log2_bits = min(26, max(16, (8 * ids.count()).bit_length()))
+    kept = np.frombuffer(id_set_bits(ids, "id", log2_bits), np.uint64)
     share = docs.sparkSession.sparkContext.broadcast(kept)
-    near = docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(len(kept) * 64)))
+    near = docs.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(len(kept) * 64)))
 
     def run(source):
         held = share.value
-        for batch in batches(source):
+        for batch in source:
             slot = np.asarray(batch.column(2))
             there = (held[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
-            batch = batch.filter(pa.array(there & np.asarray(batch.column(0).is_valid())))
-            if not batch.num_rows:
-                continue
-            first, values = shingle_sets(batch, k)
-            own = [values[a:b] for a, b in zip(first[:-1], first[1:])]
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(np.diff(first)), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([parity_bits(x) for x in own], pa.binary())], ["id", "n", "members", "bits"])
+            for part in batches([batch.filter(pa.array(there))]):
+                first, values = shingle_sets(part, k)
+                bits = pa.array([parity_bits(values[a:b]) for a, b in zip(first[:-1], first[1:])], pa.binary())
+                yield pa.record_batch([part.column(0), pa.array(np.diff(first)), bits, part.column(1)], ["id", "n", "bits", "text"])
 
-    return near.mapInArrow(run, "id long, n long, members binary, bits binary")
+    return near.mapInArrow(run, "id long, n long, bits binary, text string")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link; sizes and bitmaps alone refuse most others first."""
 
     def possible(source):
         for batch in source:
-            keep = []
-            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "x", "y"))):
-                small, large = min(n, m), max(n, m)
-                keep.append(small * 100 >= large * percent and _differ(x, [y])[0] <= (n + m) * (100 - percent) // (100 + percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            n, m = (np.asarray(batch.column(c)) for c in ("na", "nb"))
+            at = np.flatnonzero(_possible(n, m, percent))
+            x, y = (_bitmaps(batch.column(c)) for c in ("x", "y"))
+            near = _differing(x, y, at, at) <= (n + m)[at] * (100 - percent) // (100 + percent)
+            yield batch.select(["a", "b"]).take(pa.array(at[near]))
 
     def exact(source):
         for batch in source:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = _members(x), _members(y)
-                keep.append(linked_sizes(_common(x, y), len(x), len(y), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in batches([batch.select(["a", "x", "b", "y"])]):
+                ids = [*part.column(0).to_pylist(), *part.column(2).to_pylist()]
+                place = {id_: i for i, id_ in enumerate(ids)}
+                at = list(place.values())
+                texts = pa.concat_arrays([part.column(1), part.column(3)]).take(pa.array(at))
+                first, values = shingle_sets(pa.record_batch([pa.array(at), texts], ["id", "text"]), k)
+                own = {id_: values[first[i] : first[i + 1]] for i, id_ in enumerate(place)}
+                both = ((own[a], own[b]) for a, b in zip(ids[: part.num_rows], ids[part.num_rows :]))
+                keep = [linked_sizes(_common(x, y), len(x), len(y), percent) for x, y in both]
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def beside(pairs, column):
         return pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col(column).alias("x")), "a").join(
@@ -313,7 +411,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         )
 
     left = beside(pairs, "bits").select("a", "b", "na", "nb", "x", "y").mapInArrow(possible, "a long, b long")
-    return beside(left, "members").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
+    return beside(left, "text").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -322,89 +420,93 @@ def components(edges: DataFrame) -> DataFrame:
     Every round an id takes the least label beside it, its old label's holders follow, and
     labels jump to their own label, so the rounds grow with the logarithm of a path.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
+    scratch = Scratch(edges.sparkSession)
+    both = scratch.written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = scratch.written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     while True:
         beside = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("other"))
         moved = labels.join(beside, labels["id"] == beside["a"], "left").select("id", "label", F.least("label", "other").alias("low"))
         root = moved.groupBy("label").agg(F.min("low").alias("root"))
         jump = root.select(F.col("label").alias("root"), F.col("root").alias("next"))
         root = root.join(jump, "root", "left").select("label", F.coalesce("next", "root").alias("root"))
-        fresh = written(moved.join(root, "label").select("id", F.least("low", "root").alias("label"), F.col("label").alias("old")))
+        fresh = scratch.written(moved.join(root, "label").select("id", F.least("low", "root").alias("label"), F.col("label").alias("old")))
         if fresh.filter("label <> old").isEmpty():
-            return fresh.select("id", F.col("label").alias("component"))
+            found = written(fresh.select("id", F.col("label").alias("component")))
+            scratch.clear()
+            return found
         labels = fresh.select("id", "label")
 
 
-def _rarest(sets: DataFrame) -> np.ndarray:
+def _rarest(sets: DataFrame, k: int) -> np.ndarray:
     """Counts of shingles by bucket, a fixed 2**SKETCH_BITS of them."""
 
     def run(source):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in source:
-            for x in batch.column("members").to_pylist():
-                np.add.at(total, (_members(x) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+        for batch in batches(source):
+            _, values = shingle_sets(batch, k)
+            total += np.bincount((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    counted = sets.select("members").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = sets.select("id", "text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << SKETCH_BITS, np.int64)
     out[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     return out
 
 
-def _differ(x: bytes, others: list[bytes]) -> np.ndarray:
-    """Bits that differ between a bitmap and each other one, folded to the narrower width."""
-    out = np.empty(len(others), np.int64)
-    by: dict[int, list[int]] = {}
-    for i, y in enumerate(others):
-        by.setdefault(len(y), []).append(i)
-    mine = np.frombuffer(x, np.uint8)
-    for width, at in by.items():
-        theirs = np.frombuffer(b"".join(others[i] for i in at), np.uint8).reshape(len(at), width)
-        own = mine
-        while len(own) > theirs.shape[1]:
-            own = own.reshape(-1, theirs.shape[1])
-            own = np.bitwise_xor.reduce(own, axis=0)
-        if theirs.shape[1] > len(own):
-            theirs = np.bitwise_xor.reduce(theirs.reshape(len(at), -1, len(own)), axis=1)
-        out[at] = np.bitwise_count(theirs ^ own).sum(axis=1)
+def _bitmaps(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bitmaps of a column as one run of 64-bit words, where each begins, and its words."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
+    return np.frombuffer(data.tobytes(), np.uint64), (offsets[:-1] - offsets[0]) // 8, np.diff(offsets) // 8
+
+
+def _differing(x, y, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ between bitmaps a of x and b of y, the wider one folded (folding keeps parities)."""
+    out = np.zeros(len(a), np.int64)
+    for wx, wy in np.unique(np.stack([x[2][a], y[2][b]]), axis=1).T.tolist() if len(a) else ():
+        own, narrow = np.flatnonzero((x[2][a] == wx) & (y[2][b] == wy)), min(wx, wy)
+        step = max(1, (1 << 21) // (wx + wy))
+        for at in range(0, len(own), step):
+            part = own[at : at + step]
+            sides = (words[begin[rows[part]][:, None] + np.arange(wide)].reshape(len(part), -1, narrow) for (words, begin, _), rows, wide in ((x, a, wx), (y, b, wy)))
+            left, right = (np.bitwise_xor.reduce(side, axis=1) for side in sides)
+            out[part] = np.bitwise_count(left ^ right).sum(axis=1)
     return out
 
 
-def _folded(bits: bytes, width: int) -> np.ndarray:
-    """A bitmap folded to ``width`` bytes, as 64-bit words; folding keeps parities."""
-    words = np.frombuffer(bits, np.uint64).reshape(-1, width // 8)
-    return np.bitwise_xor.reduce(words, axis=0)
+def _possible(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes n and m can link at all."""
+    return np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
 
 
-def remaining_pairs(spanning: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def remaining_pairs(spanning: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of different components that an exact prefix filter and the bitmaps leave.
 
     ``spanning``: (id, component) of sets in key groups that span components.
     """
-    own = written(sets.join(spanning, "id"))
-    share = own.sparkSession.sparkContext.broadcast(_rarest(own))
+    own = scratch.written(sets.join(spanning, "id").select("id", "text", "component", "n", "bits"))
+    share = own.sparkSession.sparkContext.broadcast(_rarest(own, k))
 
     def prefixes(source):
         rank = share.value
-        for batch in source:
+        for batch in batches(source):
+            first, values = shingle_sets(batch, k)
             rows, tokens = [], []
-            for r, x in enumerate(batch.column("members").to_pylist()):
-                x = _members(x)
+            for r, (a, b) in enumerate(zip(first[:-1], first[1:])):
+                x = values[a:b]
                 order = np.lexsort((x, rank[(x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
                 need = -(-percent * len(x) // 100)  # common members of any partner, at least
                 tokens.append(x[order[: len(x) - need + 1]])
                 rows.append(np.full(len(tokens[-1]), r))
-            if rows:
-                at = pa.array(np.concatenate(rows))
-                yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), *(batch.column(c).take(at) for c in ("id", "component"))], ["token", "id", "component"])
+            at = pa.array(np.concatenate(rows))
+            yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), *(batch.column(c).take(at) for c in (0, 2))], ["token", "id", "component"])
 
-    tokens = own.select("id", "component", "members").mapInArrow(prefixes, "token long, id long, component long")
-    group = W.partitionBy("token")
+    tokens = scratch.written(own.select("id", "text", "component").mapInArrow(prefixes, "token long, id long, component long"))
+    several = tokens.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held")).filter("lo <> hi")
     mixed = (
-        tokens.withColumns({"lo": F.min("component").over(group), "hi": F.max("component").over(group), "held": F.count("*").over(group)})
-        .filter("lo <> hi")
+        tokens.join(several.select("token", "held"), "token")
         .withColumn("parts", F.ceil(F.col("held") / BLOCK).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -413,52 +515,56 @@ def remaining_pairs(spanning: DataFrame, sets: DataFrame, percent: int) -> DataF
     mixed = mixed.join(own.select("id", "n", "bits"), "id")
 
     def compared(source):
-        held, name = [], None
+        rest = None
         for batch in source:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("token", "i", "j", "part", "id", "component", "n", "bits"))):
-                if row[:3] != name:
-                    yield from blocks(name, held)
-                    held, name = [], row[:3]
-                held.append(row[3:])
-        yield from blocks(name, held)
-
-    def blocks(name, held):
-        if len(held) < 2:
+            batch = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()[0]
+            name = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("token", "i", "j")])
+            turn = np.flatnonzero((name[:, 1:] != name[:, :-1]).any(axis=0)) + 1
+            at = int(turn[-1]) if len(turn) else 0  # the last group may go on in the next batch
+            rest = batch.slice(at)
+            yield from blocks(batch.slice(0, at), np.append(turn, at)[:-1] if at else turn)
+        if rest is not None:
+            yield from blocks(rest, np.zeros(0, np.int64))
+
+    def blocks(batch, turn):
+        """Pairs of groups that begin at 0 and at ``turn``."""
+        rows = batch.num_rows
+        if rows < 2:
             return
-        _, i, j = name
-        part, ids, component, n = (np.array([x[c] for x in held]) for c in range(4))
-        width = np.array([len(x[4]) for x in held])
-        out = []
-        for wide in np.unique(width):
-            for narrow in (wide, wide // 2) if wide > 8 else (wide,):  # partners' sizes, and so their widths, are near
-                left, right = np.flatnonzero(width == wide), np.flatnonzero(width == narrow)
-                if i != j:
-                    left, right = (np.concatenate([left[part[left] == q], right[part[right] == q]]) for q in (i, j))
-                    left, right = (x[np.isin(width[x], (wide, narrow))] for x in (np.unique(left), np.unique(right)))
-                if not len(left) or not len(right):
-                    continue
-                x, y = (np.stack([_folded(held[r][4], narrow) for r in side]) for side in (left, right))
-                for at in range(0, len(left), 64):
-                    row = left[at : at + 64]
-                    ok = (component[row][:, None] != component[right]) & (ids[row][:, None] != ids[right])
-                    both = n[row][:, None] + n[right]
-                    ok &= np.minimum(n[row][:, None], n[right]) * 100 >= np.maximum(n[row][:, None], n[right]) * percent
-                    if not ok.any():
-                        continue
-                    a, b = np.nonzero(ok)
-                    differ = np.bitwise_count(x[at + a] ^ y[b]).sum(axis=1)
-                    near = differ <= both[a, b] * (100 - percent) // (100 + percent)
-                    a, b = ids[row[a[near]]], ids[right[b[near]]]
-                    out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-        if out:
-            a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-            if len(a):
-                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+        last = np.repeat(np.append(turn, rows), np.diff(np.concatenate([[0], turn, [rows]])))
+        left, right = _followers(last - np.arange(rows) - 1)
+        part, ids, component, n = (np.asarray(batch.column(c)) for c in ("part", "id", "component", "n"))
+        inner = np.asarray(batch.column("i")) == np.asarray(batch.column("j"))
+        ok = (component[left] != component[right]) & (ids[left] != ids[right]) & (inner[left] | (part[left] != part[right])) & _possible(n[left], n[right], percent)
+        left, right = left[ok], right[ok]
+        bits = _bitmaps(batch.column("bits"))
+        near = _differing(bits, bits, left, right) <= (n[left] + n[right]) * (100 - percent) // (100 + percent)
+        a, b = ids[left[near]], ids[right[near]]
+        if len(a):
+            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     found = mixed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(compared, "a long, b long")
     return found.distinct()
 
 
+def _followers(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, one of the ``count`` rows after it)."""
+    left = np.repeat(np.arange(len(count)), count)
+    return left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _beside(rows: DataFrame, classes: DataFrame, on: list[str], most: int) -> DataFrame:
+    """``rows`` with the columns of ``classes``, whose key is unique and whose ``held`` counts its rows.
+
+    Keys that hold over a HEAVYth of all ``most`` rows, fewer than HEAVY, are broadcast; so no task of the other join
+    has more rows of one key.
+    """
+    heavy = F.col("held") * HEAVY > most
+    large, small = (classes.filter(x).drop("held") for x in (heavy, ~heavy))
+    return rows.join(F.broadcast(large), on).unionByName(rows.join(F.broadcast(large.select(on)), on, "left_anti").join(small, on))
+
+
 def linked_components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
@@ -467,43 +573,59 @@ def linked_components(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: st
     component_id is the smallest doc_id reachable by links, the row's own included.
 
     Null and empty texts have no shingles and link with nothing.  Rows of equal texts are linked.
-    A null doc_id gets a null component and links nothing; of rows that share a doc_id the smallest
-    set stands for the id in links.  An empty table gives an empty result; other columns are ignored.
+    Rows that share a doc_id are one document: a link of any of them is a link of the id, and all get its
+    component (for this the table is written once with a row key).  A null doc_id gets a null component and
+    links nothing.  An empty table gives an empty result; other columns are ignored.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    if docs.groupBy("id").count().filter("count > 1 or id is null").isEmpty():
+        return _components_of_rows(docs, k, percent).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    own = written(docs.filter("id is not null").select(F.monotonically_increasing_id().alias("row"), "id", "text"))
+    rows = written(_components_of_rows(own.select(F.col("row").alias("id"), "text"), k, percent).withColumnRenamed("id", "row").join(own.select("row", "id"), "row"))
+    classes = rows.groupBy("component").agg(F.min("id").alias("low"), F.count("*").alias("held"))
+    edges = _beside(rows, classes, ["component"], rows.count()).filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    found = components(edges)
+    classes = rows.groupBy("id").agg(F.count("*").alias("held")).join(found, "id", "left").select("id", "held", F.coalesce("component", "id").alias("component_id"))
+    placed = _beside(rows.select("id", "n"), classes, ["id"], rows.count())
+    lost = profiles(docs.filter("id is null"), k).select("id", "n", F.lit(None).cast("long").alias("component_id"))
+    return placed.unionByName(lost).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _components_of_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, n, component) of rows (id, text) whose id is a key."""
+    scratch = Scratch(docs.sparkSession)
     own = written(profiles(docs, k))
-    real = own.filter("n > 0 and doc_id is not null")
-    first_of = real.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    rep = written(real.join(first_of, ["h1", "h2", "n"]).select(F.col("doc_id").alias("id"), "rep").distinct())
-
-    group = W.partitionBy("key")
-    keyed = index(docs, k, percent).withColumns({"low": F.min("id").over(group), "high": F.max("id").over(group)})
-    shared = written(keyed.filter("low <> high").select("key", "id", "low"))
-    # an id is the first of its set that a task met; ``names`` gives the set's one id over all tasks
-    names = written(rep.groupBy("id").agg(F.min("rep").alias("rep")))
+    size = own.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # a set stands under its smallest id
+    first_of = written(own.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("held")))
+    reps = written(_beside(own.filter("n > 0"), first_of, ["h1", "h2", "n"], size[0]).select("id", "n", "rep"))
+
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size[1] // SHARD + 1)
+    shared = scratch.written(shared_keys(docs, k, percent, min(shards, 1 << 23)))
+    met = shared.filter("need > 0").groupBy("id", "need").count().filter("count >= need").select("id").distinct()
+    names = scratch.written(reps.select("id", "rep").join(met, "id"))
     stars = (
-        shared.select("id", "low").distinct()
+        shared.filter("id <> low").select("id", "low").distinct()
         .join(names, "id").select(F.col("rep").alias("b"), F.col("low").alias("id"))
         .join(names, "id").select(F.col("rep").alias("a"), "b")
         .filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    stars = written(stars)
-    sets = set_table(docs, shared.select("id").distinct().join(names, "id").select(F.col("rep").alias("id")), k)
-    if not own.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
-        sets = sets.groupBy("id").agg(F.min(F.struct("n", "members", "bits")).alias("s")).select("id", "s.*")
-    sets = written(sets)
-    links = written(verified(stars, sets, percent))
+    stars = scratch.written(stars)
+    sets = scratch.written(set_table(docs, names.select(F.col("rep").alias("id")).distinct(), k))
+    links = scratch.written(verified(stars, sets, k, percent))
     found = components(links)
 
     by_name = names.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "rep", F.coalesce("component", "rep").alias("component"))
-    labelled = shared.select("key", "id").join(by_name, "id").select("key", F.col("rep").alias("id"), "component")
-    labelled = labelled.withColumns({"lo": F.min("component").over(group), "hi": F.max("component").over(group)})
-    spanning = labelled.filter("lo <> hi").select("id", "component").distinct()
-    more = remaining_pairs(spanning, sets, percent).join(stars, ["a", "b"], "left_anti")
-    more = written(verified(more, sets, percent))
+    labelled = shared.join(by_name, "id").select("key", "need", F.col("rep").alias("id"), "component")
+    spans = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    spanning = labelled.filter("need > 0").join(spans, "key", "left_semi").groupBy("id", "component", "need").count()
+    spanning = spanning.filter("count >= need").select("id", "component").distinct()
+    more = remaining_pairs(spanning, sets, k, percent, scratch).join(stars, ["a", "b"], "left_anti")
+    more = scratch.written(verified(more, sets, k, percent))
     if not more.isEmpty():
         found = components(links.union(more))
+    scratch.clear()
 
-    return own.join(first_of.join(found, first_of["rep"] == found["id"], "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("class")), ["h1", "h2", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id")
-    )
+    classes = first_of.select("rep", "held").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "held", F.coalesce("component", "rep").alias("component"))
+    placed = _beside(reps, classes, ["rep"], size[0]).select("id", "n", "component")
+    return placed.unionByName(own.filter("n = 0").select("id", "n", F.col("id").alias("component")))

@@ -1,9 +1,11 @@
 """Quality rules with suffix-array repetition.
 
 A batch's words get one suffix array by prefix doubling, text by text; only suffixes that
-aren't unique yet take part in the next round.  Neighbours in it give the longest common
-prefixes, whose intervals are the maximal repeated substrings.  The union of their spans is
-the covered part of a text, the longest prefix its longest repeat.
+aren't unique yet take part in the next round.  The ranks of every round give the longest common
+prefix of neighbours in it.  An interval of the array whose prefixes are long enough is a repeated
+substring; it is never formed as such, as the longest prefix that a suffix shares is one with a
+neighbour: the larger of its two gives the longest repeat that begins there.  The union of these spans
+is the covered part of a text, the longest prefix its longest repeat.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from confluence.llm.words import Words, batches, code_points, mix
+from confluence.llm.words import Words, batches, code_points
 
 #: A repeat has at least so many words.
 WINDOW = 5
@@ -42,7 +44,7 @@ def repeats(words: Words) -> tuple[np.ndarray, np.ndarray]:
     rank = np.empty(total, np.int64)  # of a group of suffixes: the place of its first one
     rank[order] = np.repeat(begin, size)
     active, k = order[np.repeat(size > 1, size)], 1
-    repeated = active
+    repeated, levels = active, [rank.astype(np.int32)]
     while len(active):
         ahead = active + k
         second = np.where(ahead < last[active], rank[np.minimum(ahead, total - 1)], -1)
@@ -58,6 +60,7 @@ def repeats(words: Words) -> tuple[np.ndarray, np.ndarray]:
         base = np.flatnonzero(start)[np.cumsum(start) - 1]
         rank[active] = group + np.repeat(begin, size) - base
         active = active[np.repeat(size > 1, size)]
+        levels.append(rank.astype(np.int32))
         k *= 2
         if k == 4:  # suffixes that no other shares four words with can't begin a repeat
             repeated = active
@@ -65,7 +68,7 @@ def repeats(words: Words) -> tuple[np.ndarray, np.ndarray]:
     a, b = sa[:-1], sa[1:]
     same = words.doc[a] == words.doc[b] if len(sa) else np.zeros(0, bool)
     a, b = a[same], b[same]
-    shared = common_prefix(words.hash, a, b, last)
+    shared = common_prefix(levels, a, b, last)
     best = np.zeros(total, np.int64)
     np.maximum.at(best, a, shared)
     np.maximum.at(best, b, shared)
@@ -73,26 +76,19 @@ def repeats(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return found, best[found]
 
 
-def common_prefix(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Equal words from positions a and b on (a < b or not), by halving over prefix hashes."""
-    most = np.minimum(last[a] - a, last[b] - b) if len(a) else np.zeros(0, np.int64)
-    low, high = np.zeros(len(a), np.int64), most.copy()
-    base = np.uint64(0x9E3779B97F4A7C15)
-    with np.errstate(over="ignore"):
-        power = np.full(len(hashes) + 1, base, np.uint64)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        sums = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(mix(hashes) * power[:-1], out=sums[1:])
-        while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                return low
-            mid = (low[open_] + high[open_] + 1) // 2
-            x, y = np.minimum(a[open_], b[open_]), np.maximum(a[open_], b[open_])
-            equal = (sums[x + mid] - sums[x]) * power[y - x] == sums[y + mid] - sums[y]
-            low[open_] = np.where(equal, mid, low[open_])
-            high[open_] = np.where(equal, high[open_], mid - 1)
+def common_prefix(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Equal words from positions a and b of one text on.
+
+    ``levels[j]`` ranks suffixes by their first 2**j words, so equal ranks are equal words: the prefix is found
+    from the longest step to the shortest, without any hash of a run.
+    """
+    out = np.zeros(len(a), np.int64)
+    room = np.minimum(last[a] - a, last[b] - b) if len(a) else out
+    for j in range(len(levels) - 1, -1, -1):
+        fits = np.flatnonzero(room - out >= 1 << j)
+        same = fits[levels[j][a[fits] + out[fits]] == levels[j][b[fits] + out[fits]]]
+        out[same] += 1 << j
+    return out
 
 
 def covered(total: int, at: np.ndarray, length: np.ndarray) -> np.ndarray:

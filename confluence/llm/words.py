@@ -7,14 +7,19 @@ costs no more per character than a short one.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
+_P = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
-_POWERS: dict[str, np.ndarray] = {}
+#: Longer ranges of bytes are hashed one by one with BLAKE2.
+_LONG = 512
+#: Masks for the last 0 to 8 bytes of a block.
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -29,20 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n, grown by doubling and kept."""
-    have = len(_POWERS.get("p", ()))
-    if have < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        inverse = np.uint64(pow(int(_P), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            for name, base in (("p", _P), ("q", inverse)):
-                table = np.full(size, base, np.uint64)
-                table[0] = 1
-                _POWERS[name] = np.multiply.accumulate(table)
-    return _POWERS["p"], _POWERS["q"]
-
-
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and the n + 1 offsets into them; nulls are empty."""
     texts = texts.fill_null("").cast(pa.large_string())
@@ -83,14 +74,27 @@ class Words:
             self.hash = self.hashed(self.start, self.end)
 
     def hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges; equal bytes give equal hashes in any batch."""
-        p, q = _powers(len(self.data) + 1)
+        """Hashes of byte ranges; equal bytes give equal hashes in any batch.
+
+        Blocks of eight bytes are chained through ``mix``, so ranges of one length up to eight bytes never
+        collide, and texts built to break polynomial hashes (Thue-Morse) are as good as any other.
+        """
+        if not hasattr(self, "_blocks"):
+            padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+            self._blocks = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        length = end - start
         with np.errstate(over="ignore"):
-            if not hasattr(self, "_sums"):
-                self._sums = np.zeros(len(self.data) + 1, np.uint64)
-                np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * p[: len(self.data)], out=self._sums[1:])
-            got = (self._sums[end] - self._sums[start]) * q[start]
-            return mix(got + (end - start).astype(np.uint64) * _M2)
+            out = mix(length.astype(np.uint64) * _M2 + _P)
+            at = np.flatnonzero((length > 0) & (length <= _LONG))
+            place, left = start[at], length[at]
+            while len(at):
+                block = self._blocks[place] & _MASK[np.minimum(left, 8)]
+                out[at] = mix((out[at] ^ block) + _P)
+                more = left > 8
+                at, place, left = at[more], place[more] + 8, left[more] - 8
+        for i in np.flatnonzero(length > _LONG):
+            out[i] = int.from_bytes(blake2b(self.data[start[i] : end[i]], digest_size=8).digest(), "little")
+        return out
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(doc, hash) of every run of k words; a shorter text gives its whole run once."""

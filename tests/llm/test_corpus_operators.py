@@ -58,6 +58,40 @@ def test_join_of_nothing_and_of_null_ids(spark):
     assert {(r.doc_id, r.component_id) for r in ngram_join.linked_components(df).collect()} == {(None, None), (5, 5)}
 
 
+def thue_morse(length, a, b):
+    bits = [0]
+    while len(bits) < length:
+        bits += [1 - x for x in bits]
+    return "".join(a if x == 0 else b for x in bits[:length])
+
+
+def test_join_counts_every_row_of_an_id_and_tells_all_words_apart(spark):
+    rng = random.Random(5)
+    a, b, c = (" ".join(f"w{rng.randrange(9999)}" for _ in range(80)) for _ in range(3))
+    rows = [(5, a), (5, b + " more words follow it"), (9, a + " end"), (3, b), (None, a), (7, c), (7, ""), (1, c), (20, thue_morse(1024, "a", "b")), (21, thue_morse(1024, "b", "a"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.linked_components(df).collect())
+    assert got == Counter([(5, 77, 3), (5, 81, 3), (9, 78, 3), (3, 77, 3), (None, 77, None), (7, 77, 1), (7, 0, 1), (1, 77, 1), (20, 1, 20), (21, 1, 21)])
+
+
+def test_join_of_hot_groups(spark, monkeypatch):
+    """Copies, near copies and a passage that most rows share, in many chunks, with heavy keys broadcast."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 500)
+    monkeypatch.setattr(ngram_join, "HEAVY", 10)
+    rng = random.Random(6)
+    prose = lambda n: [f"w{rng.randrange(99999)}" for _ in range(n)]
+    copy, near, passage = prose(40), prose(60), prose(50)
+    texts = [copy] * 60 + [near[:i] + ["x"] + near[i:] for i in range(0, 60, 2)] + [prose(15) + passage + prose(15) for _ in range(60)]
+    rng.shuffle(texts)
+    sets = [{tuple(t[i : i + 4]) for i in range(len(t) - 3)} for t in texts]
+    first = {}
+    for i, t in enumerate(texts):  # by construction: one group of copies, one of near copies, others alone
+        first.setdefault("copy" if t == copy else "near" if "x" in t else i, i)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_components(df).collect()}
+    assert got == {i: (len(sets[i]), first["copy" if t == copy else "near" if "x" in t else i]) for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("percent", [60, 80, 85, 95])
 def test_index_keys_meet_for_every_linked_pair(percent):
     """Sets of all sizes at the very edge of linking share a key."""
@@ -74,8 +108,11 @@ def test_index_keys_meet_for_every_linked_pair(percent):
         a = np.unique(rng.integers(0, 1 << 63, small, dtype=np.uint64))
         b = np.unique(np.concatenate([a[rng.permutation(len(a))[:common]], rng.integers(0, 1 << 63, large - common, dtype=np.uint64)]))
         assert ngram_join.linked_sizes(len(np.intersect1d(a, b)), len(a), len(b), percent)
-        rows, keys = ngram_join.index_keys(np.array([0, len(a), len(a) + len(b)]), np.concatenate([a, b]), plan, percent)
-        assert set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist())
+        rows, keys, need = ngram_join.index_keys(np.array([0, len(a), len(a) + len(b)]), np.concatenate([a, b]), plan, percent)
+        shared = set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist())
+        for row in (0, 1):  # both share as many keys of one role as they need
+            met = Counter(int(n) for key, n in zip(keys[rows == row].tolist(), need[rows == row]) if key in shared)
+            assert any(count >= n for n, count in met.items())
         seen += 1
     assert seen > 100
 
