@@ -18,7 +18,8 @@ Keys travel packed, one block a chunk of texts and a shard of the keys; of a key
 several times only the first goes on, so a key's group grows with the chunks and not with the rows.
 Groups are first stars: each member against the group's first.  Pairs in one component need no look.
 Sets in groups that still span components go through an exact prefix filter (rarest shingles first)
-and a parity-bitmap bound before they are verified.  Verification intersects the sets of the whole texts.
+and a parity-bitmap bound before they are verified: first a few partners of each, which joins what is alike,
+then all pairs of what is still apart.  Verification intersects the sets of the whole texts.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ SKETCH_BITS = 18
 CHUNK, SHARD = 1 << 20, 1 << 21
 #: A key is heavy if it holds over this part of all rows.
 HEAVY = 1000
+#: Partners of a row in a block that are verified before all of them.
+FEW = 3
 #: Rows that one comparison block has from each of its two sides.
 BLOCK = 512
 
@@ -219,7 +222,8 @@ def index_keys(first, values, plan, percent):
 
 def parity_bits(values: np.ndarray) -> bytes:
     """Bitmap of value counts modulo 2; bits that differ between two sets never exceed their distance."""
-    width = min(64 << max(0, (2 * len(values)).bit_length() - 6), 1 << 16)
+    n = len(values)  # small sets get bitmaps in which two values hardly ever meet
+    width = min(64 << max(0, max(2 * n, min(16 * n, 1024)).bit_length() - 6), 1 << 16)
     bits = np.bincount((mix(values ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
@@ -481,12 +485,8 @@ def _possible(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
 
 
-def remaining_pairs(spanning: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of different components that an exact prefix filter and the bitmaps leave.
-
-    ``spanning``: (id, component) of sets in key groups that span components.
-    """
-    own = scratch.written(sets.join(spanning, "id").select("id", "text", "component", "n", "bits"))
+def prefix_tokens(own: DataFrame, k: int, percent: int) -> DataFrame:
+    """(token, id): each set's rarest shingles, so many that any partner shares one of its own."""
     share = own.sparkSession.sparkContext.broadcast(_rarest(own, k))
 
     def prefixes(source):
@@ -500,13 +500,21 @@ def remaining_pairs(spanning: DataFrame, sets: DataFrame, k: int, percent: int,
                 need = -(-percent * len(x) // 100)  # common members of any partner, at least
                 tokens.append(x[order[: len(x) - need + 1]])
                 rows.append(np.full(len(tokens[-1]), r))
-            at = pa.array(np.concatenate(rows))
-            yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), *(batch.column(c).take(at) for c in (0, 2))], ["token", "id", "component"])
+            yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(rows)))], ["token", "id"])
+
+    return own.select("id", "text").mapInArrow(prefixes, "token long, id long")
+
 
-    tokens = scratch.written(own.select("id", "text", "component").mapInArrow(prefixes, "token long, id long, component long"))
-    several = tokens.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held")).filter("lo <> hi")
+def candidate_pairs(tokens: DataFrame, own: DataFrame, labels: DataFrame, percent: int, most: int | None = None) -> DataFrame:
+    """Pairs (a, b) of different components that share a token and that sizes and bitmaps leave.
+
+    ``labels``: (id, component).  With ``most`` a row brings so many pairs of a block only: enough to join
+    what is alike before all pairs are asked for.
+    """
+    placed = tokens.join(labels, "id")
+    several = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held")).filter("lo <> hi")
     mixed = (
-        tokens.join(several.select("token", "held"), "token")
+        placed.join(several.select("token", "held"), "token")
         .withColumn("parts", F.ceil(F.col("held") / BLOCK).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -539,7 +547,12 @@ def remaining_pairs(spanning: DataFrame, sets: DataFrame, k: int, percent: int,
         left, right = left[ok], right[ok]
         bits = _bitmaps(batch.column("bits"))
         near = _differing(bits, bits, left, right) <= (n[left] + n[right]) * (100 - percent) // (100 + percent)
-        a, b = ids[left[near]], ids[right[near]]
+        left, right = left[near], right[near]
+        if most is not None:
+            begin = np.searchsorted(left, left)
+            first = np.arange(len(left)) - begin < most
+            left, right = left[first], right[first]
+        a, b = ids[left], ids[right]
         if len(a):
             a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
@@ -620,10 +633,19 @@ def _components_of_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spans = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
     spanning = labelled.filter("need > 0").join(spans, "key", "left_semi").groupBy("id", "component", "need").count()
     spanning = spanning.filter("count >= need").select("id", "component").distinct()
-    more = remaining_pairs(spanning, sets, k, percent, scratch).join(stars, ["a", "b"], "left_anti")
-    more = scratch.written(verified(more, sets, k, percent))
-    if not more.isEmpty():
-        found = components(links.union(more))
+    spanning = scratch.written(spanning)
+    if not spanning.isEmpty():
+        own_sets = scratch.written(sets.join(spanning.select("id"), "id"))
+        tokens = scratch.written(prefix_tokens(own_sets, k, percent))
+        labels = spanning
+        for most in (FEW, None):
+            tested = scratch.written(candidate_pairs(tokens, own_sets, labels, percent, most).join(stars, ["a", "b"], "left_anti"))
+            more = scratch.written(verified(tested, sets, k, percent))
+            if more.isEmpty():
+                continue
+            links, stars = links.union(more), stars.union(tested)
+            found = components(links)
+            labels = scratch.written(spanning.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
     scratch.clear()
 
     classes = first_of.select("rep", "held").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "held", F.coalesce("component", "rep").alias("component"))
