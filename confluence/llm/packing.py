@@ -11,6 +11,7 @@ so a length that a third of all pieces have is no hot spot.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -21,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from confluence.llm.bpe import VOCABULARY, read_ranks
+from confluence.llm.bpe import VOCABULARY, codec, read_ranks
 from confluence.llm.common import written
 from confluence.llm.words import batches
 
 SEQUENCE, END = 2048, 0
-SALTS = 64
+LONG_BLANKS = 10_000
+#: Pieces of one length that share a salt, about.
+SALTED = 50_000
 FIT_ROUNDS = 150
 _ENCODINGS: dict[str, tiktoken.Encoding] = {}
 
@@ -48,9 +51,17 @@ def encoding(path: str = VOCABULARY) -> tiktoken.Encoding:
     return _ENCODINGS[path]
 
 
-def ids_of(text: str, own: tiktoken.Encoding) -> list[int]:
-    """The ids that the tokenizer file gives ``text``, added tokens within it included."""
-    return own.encode(text, allowed_special="all")
+def ids_of(text: str, own: tiktoken.Encoding, path: str = VOCABULARY) -> list[int]:
+    """The ids that the tokenizer file gives ``text``, added tokens within it included.
+
+    The encoder's pattern matcher recurses on blanks, so a text with a very long run of them goes, between its
+    added tokens, through the codec of ``bpe``.
+    """
+    if len(text) < LONG_BLANKS or not re.search(rf"\s{{{LONG_BLANKS}}}", text):
+        return own.encode(text, allowed_special="all")
+    special = {token: own.encode_single_token(token) for token in own.special_tokens_set}
+    parts = re.split("|".join(f"({re.escape(token)})" for token in special), text) if special else [text]
+    return [i for part in parts if part for i in ([special[part]] if part in special else codec(path, public_tokenizers.PATTERN).encode(part))]
 
 
 def pieces(docs: DataFrame, sequence: int = SEQUENCE, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -64,7 +75,7 @@ def pieces(docs: DataFrame, sequence: int = SEQUENCE, doc_id: str = "doc_id", te
         for batch in batches(source, 2 << 20):
             row, piece, start, length, crc = [], [], [], [], []
             for r, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.array(ids_of(text or "", own) + [END], "<u4")
+                ids = np.array(ids_of(text or "", own, path) + [END], "<u4")
                 lead = len(ids) % sequence
                 edges = ([0] if lead else []) + list(range(lead, len(ids), sequence)) + [len(ids)]
                 for p, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
@@ -176,9 +187,9 @@ def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> np.ndarray:
     return runs[np.lexsort((runs[:, 1], runs[:, 0]))]
 
 
-def ranked(cut: DataFrame) -> DataFrame:
+def ranked(cut: DataFrame, salts: int) -> DataFrame:
     """Adds ``rank``, 0, 1, ... within each length, from counts by (length, salt)."""
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64(*cut.columns), F.lit(salts)).cast("int"))
     counted = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = counted.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     own = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")
@@ -205,4 +216,5 @@ def packed(docs: DataFrame, sequence: int = SEQUENCE, doc_id: str = "doc_id", te
             yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequences), pa.array(runs[at, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked(cut).mapInArrow(run, schema)
+    salts = max(64, max(histogram.values(), default=0) // SALTED)
+    return ranked(cut, salts).mapInArrow(run, schema)

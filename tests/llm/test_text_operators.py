@@ -148,6 +148,43 @@ def test_plans_place_every_piece_once(seed):
     assert len(held) <= 1.02 * -(-(length * n).sum() // 512)
 
 
+def test_packing_ids_of_very_long_runs():
+    """A million blanks and a million letters, which overflow the plain encoder's stack or take it for ever."""
+    file = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    for t in (" " * 30_000, "a" + " \n" * 20_000 + "b", f"x{end}" + "\t" * 15_000 + f"{end} y"):
+        assert packing.ids_of(t, packing.encoding()) == file.encode(t, add_special_tokens=False).ids
+    assert len(packing.ids_of(" " * 1_000_000 + "z" * 1_000_000, packing.encoding())) > 1000
+
+
+def test_packed_rows_against_plain_packing(spark):
+    """Every column by the tokenizer file and plain counting: ids, cuts, places without gaps or overlaps."""
+    file = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    texts = [None, ""] + [" ".join(rng.choice("one two three été 漢字 42".split()) for _ in range(rng.choice((3, 40, 300, 2500)))) for _ in range(60)]
+    rows = packing.packed(spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, piece int")).collect()
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    for i, t in enumerate(texts):
+        ids = [*file.encode(t or "", add_special_tokens=False).ids, packing.END]
+        own, at = sorted(by_doc[i], key=lambda r: r.piece), 0
+        assert len(own) == -(-len(ids) // 2048) and [r.piece for r in own] == list(range(len(own)))
+        for r in own:
+            assert r.start == at and 0 < r.length <= 2048 and (r.piece == 0 or r.length == 2048)
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    for own in by_sequence.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+    assert len(by_sequence) <= 1.1 * -(-sum(r.length for r in rows) // 2048) + 1
+
+
 def test_packed_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a " * 5000), (3, "a " * 5000), (None, "b")], "doc_id long, text string")
     rows = packing.packed(df).collect()
