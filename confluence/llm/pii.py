@@ -55,13 +55,12 @@ def permuted_number(value: Column, a: int, b: int, key: str, kind: str) -> Colum
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: s["l"] * b + s["r"])
 
 
-def _shifted(c: Column, by: Column, hexadecimal: Column) -> Column:
+def _shifted(c: Column, by: Column) -> Column:
     """A character moved on within its class; others stay."""
     code = F.ascii(c)
     move = lambda base, size: F.char(F.lit(base) + F.pmod(code - base + by, size))
     return (
         F.when(c.between("0", "9"), move(48, F.lit(10)))
-        .when(hexadecimal & c.between("a", "f"), move(97, F.lit(6)))
         .when(c.between("a", "z"), move(97, F.lit(26)))
         .when(c.between("A", "Z"), move(65, F.lit(26)))
         .otherwise(c)
@@ -69,15 +68,13 @@ def _shifted(c: Column, by: Column, hexadecimal: Column) -> Column:
 
 
 def permuted_string(text: Column, key: str, kind: str) -> Column:
-    """A keyed permutation of the strings whose characters have the same classes; lower-case
-    hexadecimal strings stay such."""
-    hexadecimal = text.rlike("^[0-9a-f]*$")
+    """A keyed permutation of the strings whose characters have the same classes, place by place."""
     half = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substring(text, F.lit(1), half).alias("l"), F.substring(text, half + 1, F.length(text)).alias("r"))
 
     def moved(side: Column, other: Column, i: Column) -> Column:
         chars = F.filter(F.split(side, ""), lambda c: c != "")
-        return F.array_join(F.transform(chars, lambda c, at: _shifted(c, _hashed(key, F.lit(kind), i, at, other), hexadecimal)), "")
+        return F.array_join(F.transform(chars, lambda c, at: _shifted(c, _hashed(key, F.lit(kind), i, at, other))), "")
 
     def step(s: Column, i: Column) -> Column:
         even = i % 2 == 0
@@ -194,9 +191,10 @@ def pseudonym(value: Column, kind: Column, key: str = KEY) -> Column:
     ssn = F.concat_ws("-", F.lpad(F.when(new_area >= 666, new_area + 1).otherwise(new_area).cast("string"), 3, "0"), F.lpad((F.floor(placed / 9999) % 99 + 1).cast("string"), 2, "0"), F.lpad((placed % 9999 + 1).cast("string"), 4, "0"))
     payload = permuted_string(F.substring(number, F.lit(1), F.length(number) - 1), key, "card")
     card = _refilled(value, F.concat(payload, _luhn(payload)))
-    country_code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    local_part = F.substring(value, F.length(country_code) + 1, F.length(value))
-    phone = F.concat(country_code, _refilled(local_part, permuted_string(_digits(local_part), key, "phone")))
+    # by digits alone, so that one number links in all its spellings: the first digit (1, 7) or two of a code stay
+    code = F.when(F.substring(value, 1, 1) == "+", F.when(number.rlike("^[17]"), 1).otherwise(2)).otherwise(0)
+    rest = permuted_string(F.substring(number, code + 1, F.length(number)), key, "phone")
+    phone = _refilled(value, F.concat(F.substring(number, F.lit(1), code), rest))
     forms = {"email": email, "secret": secret, "date": date, "ip": ip, "iban": iban, "ssn": ssn, "card": card, "phone": phone}
     out = value
     for name, form in forms.items():
