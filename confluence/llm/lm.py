@@ -123,6 +123,8 @@ def mapped(folder: str, name: str, n: int, kinds: list) -> list[np.ndarray]:
                 copy.write(chunk)
         path = copy.name
     whole, out, at = np.memmap(path, np.uint8, "r"), [], 0
+    if urlparse(folder).scheme not in ("", "file"):
+        os.unlink(path)  # the mapping holds it; its space is free once the worker ends
     for kind in kinds:
         size = n * np.dtype(kind).itemsize
         out.append(whole[at : at + size].view(kind))
@@ -212,10 +214,10 @@ class Model:
         return Sorted(self.folder, "words", self.word_bits, self.word_sizes, [np.uint64, np.int64])
 
     def facts(self) -> Sorted:
-        return Sorted(self.folder, "facts", self.word_bits, self.word_sizes, [np.uint64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32])
+        return Sorted(self.folder, "facts", self.word_bits, self.word_sizes, [np.uint64, *[np.int64] * 6])
 
     def pairs(self) -> Sorted:
-        return Sorted(self.folder, "pairs", self.pair_bits, self.pair_sizes, [np.uint64, np.uint32])
+        return Sorted(self.folder, "pairs", self.pair_bits, self.pair_sizes, [np.uint64, np.int64])
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -243,14 +245,15 @@ def trained(docs: DataFrame) -> Model:
     word_bits = _bits(((rough[0] or 0) // 24 + rough[1]) // 2)
 
     def words(source):
-        parts, held = [np.array([BEGIN])], 0
-        counts = [np.zeros(1, np.int64)]
+        parts, counts, held, begun = [], [], 0, False
 
         def flush():
             return sent(*(lambda k, c: (k, [c], word_bits))(*counted(np.concatenate(parts), np.concatenate(counts))))
 
         for batch in batches(source):
             value, n = np.unique(tokens(batch.column(1))[0], return_counts=True)
+            if not begun:  # a number for the context before the first word, wherever there is a text
+                parts, counts, begun = [np.array([BEGIN])], [np.zeros(1, np.int64)], True
             parts.append(value)
             counts.append(n)
             held += len(value)
@@ -265,13 +268,16 @@ def trained(docs: DataFrame) -> Model:
             put(folder, f"words-{shard}", [keys, n.astype(np.int64)])
             yield pa.record_batch([pa.array([x]) for x in (shard, len(keys), int(n.sum()), int((n > 0).sum()))], ["shard", "n", "total", "seen"])
 
-    by_shard = lambda df: df.repartition("shard").sortWithinPartitions("shard")
-    got = by_shard(docs.mapInArrow(words, "shard int, keys binary, c0 binary")).mapInArrow(keep_words, "shard long, n long, total long, seen long").collect()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_shard = lambda df, bits: df.repartition(max(least, 1 << bits), "shard").sortWithinPartitions("shard")
+    got = by_shard(docs.mapInArrow(words, "shard int, keys binary, c0 binary"), word_bits).mapInArrow(keep_words, "shard long, n long, total long, seen long").collect()
     model = Model(folder, word_bits, {r.shard: r.n for r in got}, 0, {}, sum(r.total for r in got), sum(r.seen for r in got), 0, (), (), 0, 0.0)
     if not got:
         model.lower_left = 1.0
         model.discounts = model.lower_discounts = discounts(0, 0, 0, 0)
         return model
+    if sum(model.word_sizes.values()) >> 32:
+        raise OverflowError("a pair's key holds two word numbers of 32 bits: the corpus has more distinct words")
     pair_bits = model.pair_bits = _bits(model.n_tokens // 2)
     store = model.words()
     model.begin = int(store.find(np.array([BEGIN]))[0][0])
@@ -305,7 +311,7 @@ def trained(docs: DataFrame) -> Model:
 
     def keep_pairs(source):
         for shard, (keys, n) in summed(source):
-            put(folder, f"pairs-{shard}", [keys, n.astype(np.uint32)])
+            put(folder, f"pairs-{shard}", [keys, n.astype(np.int64)])
             both = unmixed(keys)
             before, word = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
             n = n.astype(np.int64)
@@ -318,7 +324,7 @@ def trained(docs: DataFrame) -> Model:
             yield pa.record_batch([pa.array([shard], pa.int32()), *(pa.array([int(x)]) for x in (len(keys), *few)), pa.array([None], pa.int32()), *(pa.array([None], pa.binary()) for _ in names[1:])], ["pairs", "n", "n1", "n2", "n3", "n4", *names])
 
     blobs = ", ".join(f"c{i} binary" for i in range(5))
-    both = written(by_shard(docs.mapInArrow(pairs, "shard int, keys binary, c0 binary")).mapInArrow(keep_pairs, f"pairs int, n long, n1 long, n2 long, n3 long, n4 long, shard int, keys binary, {blobs}"))
+    both = written(by_shard(docs.mapInArrow(pairs, "shard int, keys binary, c0 binary"), pair_bits).mapInArrow(keep_pairs, f"pairs int, n long, n1 long, n2 long, n3 long, n4 long, shard int, keys binary, {blobs}"))
     got = both.filter("pairs is not null").select("pairs", "n", "n1", "n2", "n3", "n4").collect()
     model.pair_sizes = {r.pairs: r.n for r in got}
     model.discounts = discounts(*(sum(r[f"n{i}"] for r in got) for i in range(1, 5)))
@@ -328,16 +334,16 @@ def trained(docs: DataFrame) -> Model:
             size = model.word_sizes[shard]
             at = (keys & np.uint64((1 << (64 - word_bits)) - 1)).astype(np.int64) if word_bits else keys.astype(np.int64)
             dense = []
-            for column, kind in ((total, np.int64), (n1, np.int32), (n2, np.int32), (n3, np.int32), (preceding, np.int32)):
-                full = np.zeros(size, kind)
+            for column in (total, n1, n2, n3, preceding):
+                full = np.zeros(size, np.int64)
                 full[at] = column
                 dense.append(full)
             held = mapped(folder, f"words-{shard}", size, [np.uint64, np.int64])
             put(folder, f"facts-{shard}", [*held, *dense])
-            few, cont = _cut(dense[-1][dense[-1] > 0]), dense[-1].astype(np.int64)
+            few, cont = _cut(dense[-1][dense[-1] > 0]), dense[-1]
             yield pa.record_batch([pa.array([int(x)]) for x in (shard, *few, (cont > 2).sum(), cont.sum())], ["shard", "t1", "t2", "t3", "t4", "many", "types"])
 
-    facts = by_shard(both.filter("pairs is null").select("shard", "keys", *(f"c{i}" for i in range(5))))
+    facts = by_shard(both.filter("pairs is null").select("shard", "keys", *(f"c{i}" for i in range(5))), word_bits)
     got = facts.mapInArrow(keep_facts, "shard long, t1 long, t2 long, t3 long, t4 long, many long, types long").collect()
     add = lambda c: sum(r[c] for r in got)
     d = model.lower_discounts = discounts(*(add(f"t{i}") for i in range(1, 5)))
