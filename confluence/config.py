@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 # bars and indicators
-MIN_BARS, MAX_BARS, REFRESH_BARS = 252, 3000, 7
+MIN_BARS, REFRESH_BARS = 252, 7
 RSI_LENGTH, ATR_LENGTH = 14, 14
 MACD_FAST, MACD_SLOW, MACD_SIGNAL, MACD_LOOKBACK, MACD_NEUTRAL, EPSILON = 12, 26, 9, 3, 0.05, 1e-9
 HV_LENGTH, HV_WINDOW, DAYS_PER_YEAR = 20, 252, 252
@@ -11,6 +11,12 @@ HV_LENGTH, HV_WINDOW, DAYS_PER_YEAR = 20, 252, 252
 # step 1
 MIN_MARKET_CAP, MIN_VOLUME, MIN_CASH_FLOW = 10e9, 1e6, 0.0
 EXEMPT_SECTORS = ("Utilities", "Financial Services", "Real Estate")
+#: Countries, by name and by code, whose rating changes aren't known.
+UNRATED_COUNTRIES = (
+    "Austria", "Belgium", "Bermuda", "Denmark", "Finland", "France", "Germany", "Ireland", "Italy", "Luxembourg", "Netherlands", "Norway", "Portugal", "Spain",
+    "Sweden", "Switzerland", "United Kingdom",
+    "AT", "BE", "BM", "CH", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PT", "SE",
+)
 MIN_UPSIDE, MIN_BUY_RATIO, MAX_DOWNGRADES, DOWNGRADE_WEEKS = 0.0, 0.45, 1, 6
 OVERBOUGHT, RSI_MOMENTUM, RSI_DAILY_LOOKBACK, RSI_WEEKLY_LOOKBACK = 70.0, 50.0, 3, 2
 HV_LOW, HV_HIGH = 30.0, 90.0
@@ -46,11 +52,11 @@ TRIGGERS = (
     ("pullback_in_uptrend", 0.7, ("uptrend",)),
     ("double_bottom_confirmed", 1.0, ("downtrend", "reversal")),
     ("double_bottom_unconfirmed", 0.5, ("downtrend", "reversal")),
-    ("capitulation", 0.9, ("downtrend", "reversal")),
-    ("hma_flip", 0.5, ("reversal",)),
+    ("capitulation_reclaim", 0.9, ("downtrend", "reversal")),
+    ("hma_weekly_flip", 0.5, ("reversal",)),
     ("range_floor", 0.6, ("lateral",)),
     ("post_earnings_dip", 0.6, ("uptrend", "lateral", "reversal")),
-    ("divergence", 0.0, ("uptrend", "downtrend", "lateral", "reversal")),
+    ("bullish_divergence", 0.0, ("uptrend", "downtrend", "lateral", "reversal")),
 )
 
 # the first generation of types

@@ -1,8 +1,9 @@
 """Columns over ordered series: every one a window over (symbol, date), so a plan that uses many of
 them has one exchange and one sort.
 
-Recursive smoothing has a closed form, y_t = q^t * sum(c_i x_i q^-i); series are cut to
-``config.MAX_BARS`` bars before (``recent``), as q^-i would overflow beyond some 3,100.
+Recursive smoothing has a closed form, y_t = q^t * sum(c_i x_i q^-i).  As q^-i would overflow beyond some
+3,100 bars, sums run within blocks of BLOCK bars, and the block before is added with its decay; the weight of
+what lies further back is below 1e-12.
 """
 
 from __future__ import annotations
@@ -13,21 +14,24 @@ from pyspark.sql import functions as F
 
 from confluence import config as C
 
+#: Bars of one block of a recursive sum.
+BLOCK = 2800
+
 
 def by(symbol: str = "symbol", date: str = "date"):
     """The window of a series."""
     return W.partitionBy(symbol).orderBy(date)
 
 
-def recent(bars: DataFrame, n: int = C.MAX_BARS, symbol: str = "symbol", date: str = "date") -> DataFrame:
-    """The last n bars of each symbol, without bars that lack a close, and ``rn`` from 0."""
-    newest = W.partitionBy(symbol).orderBy(F.col(date).desc())
-    cut = bars.filter(F.col("close").isNotNull() & ~F.isnan("close")).withColumn("_back", F.row_number().over(newest)).filter(F.col("_back") <= n)
-    return cut.withColumn("rn", F.row_number().over(by(symbol, date)) - 1).drop("_back")
+def numbered(bars: DataFrame, today: str | None = None, symbol: str = "symbol", date: str = "date") -> DataFrame:
+    """Bars without those that lack a close, and ``rn`` from 0; as of ``today``, only those up to it."""
+    own = as_of(bars, today, date).filter(F.col("close").isNotNull() & ~F.isnan("close"))
+    return own.withColumn("rn", F.row_number().over(by(symbol, date)) - 1)
 
 
-def numbered(bars: DataFrame) -> DataFrame:
-    return recent(bars)
+def as_of(rows: DataFrame, today: str | None, date: str = "date") -> DataFrame:
+    """What was known at the end of a day: all that follows from these rows, the last bar included, is as of that day."""
+    return rows if today is None else rows.filter(F.col(date) <= F.lit(today).cast("date"))
 
 
 def sma(x: Column, n: int, w=None) -> Column:
@@ -36,19 +40,21 @@ def sma(x: Column, n: int, w=None) -> Column:
     return F.when(F.count(x).over(f) == n, F.avg(x).over(f))
 
 
-def ewm(x: Column, alpha: float, rn: Column | None = None, w=None) -> Column:
+def ewm(x: Column, alpha: float, rn: Column | None = None) -> Column:
     """Exponential smoothing seeded by row 0 of the series (``rn`` numbers rows from 0)."""
     rn = F.col("rn") if rn is None else rn
     q = F.lit(1.0 - alpha)
     weight = F.when(rn == 0, 1.0).otherwise(alpha)
-    total = F.sum(weight * x * F.pow(q, -rn)).over((w or by()).rowsBetween(W.unboundedPreceding, 0))
-    return total * F.pow(q, rn)
+    block, at = F.floor(rn / BLOCK), rn % BLOCK
+    own = F.sum(weight * x * F.pow(q, -at)).over(W.partitionBy("symbol", block).orderBy("date").rowsBetween(W.unboundedPreceding, 0))
+    before = F.sum(weight * x * F.pow(q, BLOCK - 1 - at)).over(W.partitionBy("symbol").orderBy(block).rangeBetween(-1, -1))
+    return own * F.pow(q, at) + F.coalesce(before, F.lit(0.0)) * F.pow(q, at + 1)
 
 
-def ema(x: Column, n: int, w=None) -> Column:
+def ema(x: Column, n: int) -> Column:
     """Exponential average of span n, null for series of fewer than n rows."""
     whole = W.partitionBy("symbol")
-    return F.when(F.count(x).over(whole) >= n, ewm(x, 2.0 / (n + 1), w=w))
+    return F.when(F.count(x).over(whole) >= n, ewm(x, 2.0 / (n + 1)))
 
 
 def with_rsi(df: DataFrame, close: str = "close", n: int = C.RSI_LENGTH, name: str = "rsi") -> DataFrame:
@@ -115,6 +121,5 @@ def weekly(bars: DataFrame) -> DataFrame:
 
 
 def last_rows(df: DataFrame) -> DataFrame:
-    """The newest row of each symbol."""
-    newest = W.partitionBy("symbol").orderBy(F.col("date").desc())
-    return df.withColumn("_back", F.row_number().over(newest)).filter("_back = 1").drop("_back")
+    """The newest row of each symbol: an aggregate that sums up before any shuffle."""
+    return df.groupBy("symbol").agg(F.max_by(F.struct(*df.columns), "date").alias("_last")).select("_last.*")

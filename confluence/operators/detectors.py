@@ -15,8 +15,7 @@ def double_bottom(bars: DataFrame, found: DataFrame) -> DataFrame:
 
     The neckline is the highest pivot high strictly between the lows, or else the highest high from one to the other.
     """
-    top = S.last_rows(bars).select("symbol", "top", "spot")
-    lows = found.filter("kind = 'low'").join(top, "symbol").filter(F.col("rn") > F.col("top") - C.DOUBLE_BOTTOM_BARS)
+    lows = found.filter("kind = 'low'").filter(F.col("rn") >= F.col("top") - C.DOUBLE_BOTTOM_BARS)
     a = lows.select("symbol", F.col("rn").alias("l1_rn"), F.col("price").alias("l1"))
     b = lows.select("symbol", F.col("rn").alias("l2_rn"), F.col("price").alias("l2"), "spot")
     least, most = C.DOUBLE_BOTTOM_GAP

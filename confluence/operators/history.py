@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,28 @@ def with_best_zone(candidates: DataFrame, zones: DataFrame, keys: list[str]) ->
     return candidates.join(zones.filter("is_best"), keys, "left")
 
 
+def run_list(candidates: DataFrame, run_id, only_passed: bool = False) -> DataFrame:
+    """A run's candidates by momentum, strongest first, then by symbol; on demand only those that passed step 1."""
+    own = candidates.filter(F.col("run_id") == F.lit(run_id))
+    return (own.filter("passed") if only_passed else own).orderBy(F.desc("momentum_score"), "symbol")
+
+
+def detail(rows: DataFrame, run_id, symbol: str) -> DataFrame:
+    """The rows of one candidate of one run; the filters reach the files' partitions and statistics."""
+    return rows.filter((F.col("run_id") == F.lit(run_id)) & (F.col("symbol") == F.lit(symbol)))
+
+
+def run_label(started: Column, passed: Column, universes: Column) -> Column:
+    """``2026-05-28 17:24 — 50 candidatos (sp500+nasdaq100)``; without universes no brackets."""
+    tags = F.when(F.size(universes) > 0, F.concat(F.lit(" ("), F.array_join(universes, "+"), F.lit(")"))).otherwise("")
+    return F.concat(F.date_format(started, "yyyy-MM-dd HH:mm"), F.lit(" — "), passed.cast("string"), F.lit(" candidatos"), tags)
+
+
+def file_label(date: Column, hhmm: Column) -> Column:
+    """``2026-05-22 22:00 UTC``."""
+    return F.concat(date.cast("string"), F.lit(" "), F.substring(hhmm, 1, 2), F.lit(":"), F.substring(hhmm, 3, 2), F.lit(" UTC"))
+
+
 def by_score(rows: DataFrame, tie: str = "symbol") -> DataFrame:
     return rows.orderBy(F.desc_nulls_last("score"), tie)
 

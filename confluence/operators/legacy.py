@@ -33,6 +33,7 @@ def types(bars: DataFrame, weeks: DataFrame, earnings: DataFrame) -> DataFrame:
     t4 = (F.col("after") / F.col("before") - 1 <= C.T4_DROP) & (F.col("a") >= F.col("b") * C.T4_TREND) & (F.col("rsi") < C.T4_RSI)
     no = F.lit(False)
     df = df.select("symbol", *[F.coalesce(t, no).alias(n) for n, t in (("t1", t1), ("t2", t2), ("t3", t3), ("t4", t4))])
-    found = F.array_compact(F.array(*[F.when(F.col(n), n.upper()) for n in ("t1", "t2", "t4", "t3")]))
-    df = df.withColumn("found", found)
-    return df.select("symbol", "t1", "t2", "t3", "t4", F.try_element_at("found", F.lit(1)).alias("kind"), F.array_join(F.slice("found", 2, 3), ",").alias("others"))
+    kind = F.coalesce(*[F.when(F.col(n), n.upper()) for n in ("t1", "t2", "t4", "t3")])
+    found = F.array_compact(F.array(*[F.when(F.col(n), n.upper()) for n in ("t1", "t2", "t3", "t4")]))
+    df = df.withColumns({"kind": kind, "found": found})
+    return df.select("symbol", "t1", "t2", "t3", "t4", "kind", F.array_join(F.array_remove("found", F.coalesce("kind", F.lit(""))), ",").alias("others"))

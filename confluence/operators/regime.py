@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 from confluence import config as C
 from confluence.functions import series as S
 
-#: Labels of a report: fixed values.
-REGIME_LABELS = {"uptrend": "Uptrend", "downtrend": "Downtrend", "lateral": "Lateral", "reversal": "Reversal"}
+# Labels of a report, and the first generation's types: fixed values.
+REGIME_LABELS = {"downtrend": "Downtrend", "lateral": "Lateral", "reversal": "Reversal", "uptrend": "Uptrend"}
+TRIGGER_LABELS = {
+    "capitulation_reclaim": "Capitulación con reclaim", "double_bottom_confirmed": "Doble piso confirmado", "double_bottom_unconfirmed": "Doble piso en formación",
+    "hma_weekly_flip": "Cambio de régimen", "post_earnings_dip": "Dip post-earnings", "pullback_in_uptrend": "Pullback en tendencia", "range_floor": "Piso de rango",
+}
+DIVERGENCE_LABEL, NO_TRIGGER = "divergencia", "sin trigger"
 LEGACY = {
-    "pullback_in_uptrend": "T1", "capitulation": "T2", "range_floor": "T3", "post_earnings_dip": "T4",
-    "double_bottom_confirmed": "T2", "double_bottom_unconfirmed": "T2", "hma_flip": "T1",
+    "capitulation_reclaim": "T2", "double_bottom_confirmed": "T2", "double_bottom_unconfirmed": "T2", "hma_weekly_flip": "T2", "post_earnings_dip": "T4",
+    "pullback_in_uptrend": "T1", "range_floor": "T3",
 }
 
 
 def ranges(bars: DataFrame, n: int = C.REGIME_BARS) -> DataFrame:
     """symbol, top_price, floor_price, mean_price, n: closes' spread over the last n bars."""
     own = bars.filter(F.col("rn") > F.col("top") - n)
-    return own.groupBy("symbol").agg(F.max("high").alias("top_price"), F.min("low").alias("floor_price"), F.avg("close").alias("mean_price"), F.max("close").alias("top_close"), F.min("close").alias("floor_close"), F.count("*").alias("n"))
+    return own.groupBy("symbol").agg(F.max("high").alias("top_price"), F.min("low").alias("floor_price"), F.avg("close").alias("mean_price"), F.max("close").alias("top_close"), F.min("close").alias("floor_close"), F.count("*").alias("n"), F.first("spot").alias("spot"))
 
 
 def regimes(bars: DataFrame, weeks: DataFrame, flips: DataFrame) -> DataFrame:
@@ -43,13 +48,17 @@ def regimes(bars: DataFrame, weeks: DataFrame, flips: DataFrame) -> DataFrame:
 def range_floor(bars: DataFrame) -> DataFrame:
     """symbol, position: closes in the lowest third of 60 bars' range."""
     own = ranges(bars, C.RANGE_FLOOR_BARS).filter(F.col("n") >= C.RANGE_FLOOR_BARS)
-    spot = S.last_rows(bars).select("symbol", "spot")
     span = F.col("top_price") - F.col("floor_price")
-    return own.join(spot, "symbol").filter(F.col("spot") < F.col("floor_price") + C.RANGE_FLOOR * span).select("symbol", F.try_divide(F.col("spot") - F.col("floor_price"), span).alias("position"))
+    return own.filter(F.col("spot") < F.col("floor_price") + C.RANGE_FLOOR * span).select("symbol", F.try_divide(F.col("spot") - F.col("floor_price"), span).alias("position"))
+
 
+def post_earnings_dip(bars: DataFrame, earnings: DataFrame, dip: float = C.DIP, upcoming: DataFrame | None = None) -> DataFrame:
+    """symbol, event, change: the close two bars after the last earnings of 60 calendar days against the last one before.
 
-def post_earnings_dip(bars: DataFrame, earnings: DataFrame, dip: float = C.DIP) -> DataFrame:
-    """symbol, event, change: the close two bars after the last earnings of 60 calendar days against the last one before."""
+    Symbols of ``upcoming``, whose next earnings are near, are left out.
+    """
+    if upcoming is not None:
+        earnings = earnings.join(upcoming.select("symbol").distinct(), "symbol", "left_anti")
     top = S.last_rows(bars).select("symbol", F.col("date").alias("today"))
     last = earnings.join(top, "symbol").filter((F.col("date") <= F.col("today")) & (F.col("date") >= F.date_sub("today", C.DIP_DAYS))).groupBy("symbol").agg(F.max("date").alias("event"))
     own = bars.select("symbol", "date", "close").join(last, "symbol")
@@ -62,10 +71,10 @@ def post_earnings_dip(bars: DataFrame, earnings: DataFrame, dip: float = C.DIP)
 
 def divergence(bars: DataFrame, found: DataFrame) -> DataFrame:
     """symbol, p1, p2, rsi1, rsi2: the last two pivot lows of 60 calendar days, price lower and RSI higher, below 45."""
-    top = S.last_rows(bars).select("symbol", F.col("date").alias("today"))
-    lows = found.filter("kind = 'low'").join(top, "symbol").filter(F.col("date") >= F.date_sub("today", C.DIVERGENCE_DAYS)).select("symbol", "rn", "price")
+    top = bars.groupBy("symbol").agg(F.max("date").alias("today"))
+    lows = found.filter("kind = 'low'").join(top, "symbol").filter(F.col("date") >= F.date_sub("today", C.DIVERGENCE_DAYS)).select("symbol", "rn", "price", "rsi")
     order = W.partitionBy("symbol").orderBy(F.desc("rn"))
-    two = lows.withColumn("back", F.row_number().over(order)).filter("back <= 2").join(bars.select("symbol", "rn", "rsi"), ["symbol", "rn"])
+    two = lows.withColumn("back", F.row_number().over(order)).filter("back <= 2")
     side = lambda c, k: F.max(F.when(F.col("back") == k, F.col(c)))
     pair = two.groupBy("symbol").agg(side("price", 2).alias("p1"), side("price", 1).alias("p2"), side("rsi", 2).alias("rsi1"), side("rsi", 1).alias("rsi2"))
     return pair.filter((F.col("p2") < F.col("p1")) & (F.col("rsi2") > F.col("rsi1")) & (F.col("rsi2") < C.DIVERGENCE_RSI))
@@ -86,15 +95,16 @@ def classified(facts: DataFrame) -> DataFrame:
     df = facts.withColumn("hits", F.array_sort(hits))
     first = F.when((F.size("hits") > 0) & (F.try_element_at("hits", F.lit(1))["minus"] < 0), F.try_element_at("hits", F.lit(1))["name"])
     df = df.withColumns({"triggers": F.transform("hits", lambda h: h["name"]), "primary_trigger": first})
-    return df.select("symbol", "regime", F.array_join("triggers", ",").alias("triggers"), "primary_trigger", _mapped(LEGACY, F.col("primary_trigger")).alias("legacy"), label().alias("label"))
+    return df.select("symbol", "regime", F.array_join("triggers", "|").alias("triggers"), "primary_trigger", _mapped(LEGACY, F.col("primary_trigger")).alias("legacy"), label().alias("label"))
 
 
 def _mapped(table: dict[str, str], key: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
 def label() -> Column:
     """A composite label: regime, primary trigger, and whether a divergence adds to it."""
-    lead = F.concat(_mapped(REGIME_LABELS, F.col("regime")), F.lit(": "))
-    extra = F.when(F.array_contains("triggers", "divergence"), F.lit(" + divergence")).otherwise("")
-    return F.concat(lead, F.coalesce(F.concat(F.replace(F.col("primary_trigger"), F.lit("_"), F.lit(" ")), extra), F.lit("no trigger")))
+    lead = F.concat(F.coalesce(_mapped(REGIME_LABELS, F.col("regime")), F.col("regime")), F.lit(": "))
+    extra = F.when(F.array_contains("triggers", "bullish_divergence"), F.lit(f" + {DIVERGENCE_LABEL}")).otherwise("")
+    named = F.coalesce(_mapped(TRIGGER_LABELS, F.col("primary_trigger")), F.col("primary_trigger"))
+    return F.concat(lead, F.coalesce(F.concat(named, extra), F.lit(NO_TRIGGER)))

@@ -7,12 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Exchange suffixes by country and by the two-letter market code behind a symbol.
+# Exchange suffixes by country and by the two-letter market code behind a symbol, and the quote site's countries.
 COUNTRY_SUFFIX = {
-    "Austria": ".VI", "Belgium": ".BR", "Denmark": ".CO", "Finland": ".HE", "France": ".PA", "Germany": ".DE", "Ireland": ".IR", "Italy": ".MI",
-    "Netherlands": ".AS", "Norway": ".OL", "Portugal": ".LS", "Spain": ".MC", "Sweden": ".ST", "Switzerland": ".SW", "United Kingdom": ".L",
+    "Austria": ".VI", "Belgium": ".BR", "Bermuda": ".L", "Denmark": ".CO", "Finland": ".HE", "France": ".PA", "Germany": ".DE", "Ireland": ".L", "Italy": ".MI",
+    "Luxembourg": ".AS", "Netherlands": ".AS", "Norway": ".OL", "Portugal": ".LS", "Spain": ".MC", "Sweden": ".ST", "Switzerland": ".SW", "United Kingdom": ".L",
+}
+MARKET_SUFFIX = {
+    "AV": ".VI", "BB": ".BR", "DC": ".CO", "FH": ".HE", "FP": ".PA", "GR": ".DE", "IM": ".MI", "LN": ".L", "NA": ".AS", "NO": ".OL", "PL": ".LS", "SM": ".MC", "SS": ".ST",
+    "SW": ".SW",
+}
+QUOTE_COUNTRY = {
+    ".AS": "nl", ".BR": "be", ".CO": "dk", ".DE": "de", ".HE": "fi", ".L": "uk", ".LS": "pt", ".MC": "es", ".MI": "it", ".OL": "no", ".PA": "fr", ".ST": "se", ".SW": "ch",
+    ".VI": "at",
 }
-MARKET_SUFFIX = {"US": "", "LN": ".L", "GY": ".DE", "GR": ".DE", "FP": ".PA", "IM": ".MI", "SM": ".MC", "NA": ".AS", "SW": ".SW", "SE": ".SW", "SS": ".ST"}
 
 
 def _map(table: dict[str, str]) -> Column:
@@ -30,9 +37,24 @@ def by_country(symbol: Column, country: Column) -> Column:
 
 
 def by_market(symbol: Column) -> Column:
-    """``VOD LN`` as ``VOD.L``; null for unknown markets."""
-    parts = F.split(F.upper(F.trim(symbol)), r"\s+")
-    return F.when(F.size(parts) == 2, F.concat(F.replace(parts[0], F.lit("/"), F.lit("-")), F.try_element_at(_map(MARKET_SUFFIX), F.get(parts, 1))))
+    """``VOD LN`` as ``VOD.L``, and ``asml.as``, which has its suffix, as ``ASML.AS``; null for others and for unknown markets."""
+    text = F.upper(F.trim(symbol))
+    market = F.try_element_at(_map(MARKET_SUFFIX), F.substring_index(text, " ", -1))
+    base = F.trim(F.regexp_replace(text, " [^ ]*$", ""))
+    known = F.concat(F.lit("."), F.substring_index(text, ".", -1)).isin(*QUOTE_COUNTRY) & ~text.startswith(".")
+    return F.when(F.instr(text, " ") > 0, F.when(base != "", F.concat(base, market))).when((F.instr(text, ".") > 0) & known, text)
+
+
+def is_domestic(symbol: Column) -> Column:
+    """Whether a symbol ends in none of the known foreign suffixes."""
+    return ~reduce(Column.__or__, [symbol.endswith(s) for s in QUOTE_COUNTRY])
+
+
+def quoted(symbol: Column) -> Column:
+    """``AAPL`` as ``aapl.us``, ``VOD.L`` as ``vod.uk``; null for unknown suffixes."""
+    country = F.try_element_at(_map(QUOTE_COUNTRY), F.concat(F.lit("."), F.substring_index(symbol, ".", -1)))
+    base = F.lower(F.regexp_replace(symbol, r"\.[^.]*$", ""))
+    return F.when(F.instr(symbol, ".") == 0, F.concat(F.lower(symbol), F.lit(".us"))).otherwise(F.concat(base, F.lit("."), country))
 
 
 def watchlist(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -51,3 +73,36 @@ def cells(pages: DataFrame, tag: str = "li", html: str = "html", key: str = "pag
     """(key, pos, cell): the texts of an element's occurrences, tags inside removed, in order."""
     found = F.regexp_extract_all(F.col(html), F.lit(f"(?s)<{tag}[^>]*>(.*?)</{tag}>"), 1)
     return pages.select(key, F.posexplode(found).alias("pos", "raw")).select(key, "pos", F.trim(F.regexp_replace("raw", "<[^>]*>", "")).alias("cell"))
+
+
+def _tags(html: Column, tags: str) -> Column:
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{tags})\b[^>]*>(.*?)</(?:{tags})\s*>"), 1)
+
+
+def _plain(cell: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(cell, "<[^>]*>", ""), r"\s+", " "))
+
+
+def table_column(pages: DataFrame, names: tuple[str, ...], html: str = "html", key: str = "page_id") -> DataFrame:
+    """(key, pos, value): a column of each page's first table whose header row has one of ``names`` and whose column holds
+    any text; empty cells and short rows are left out.  Pages without such a table have no rows."""
+    tables = pages.select(key, F.posexplode(_tags(F.col(html), "table")).alias("_table", "_body"))
+    rows = tables.withColumn("_rows", F.transform(_tags(F.col("_body"), "tr"), lambda r: F.transform(_tags(r, "td|th"), _plain)))
+    head = F.transform(F.get("_rows", F.lit(0)), lambda h: h.isin(*names))
+    placed = rows.withColumn("_column", F.array_position(head, True)).filter("_column > 0")
+    held = F.filter(F.transform(F.slice("_rows", F.lit(2), F.size("_rows")), lambda r: F.try_element_at(r, F.col("_column").cast("int"))), lambda v: v != "")
+    found = placed.withColumn("_held", held).filter("size(_held) > 0").groupBy(key).agg(F.min_by("_held", "_table").alias("_held"))
+    return found.select(key, F.posexplode("_held").alias("pos", "value"))
+
+
+def chosen(text: str, known: tuple[str, ...]) -> list[str]:
+    """The universes that a comma-separated argument names; an unknown or missing one raises ValueError."""
+    names = [n.strip().lower() for n in text.split(",") if n.strip()]
+    if not names or (odd := [n for n in names if n not in known]):
+        raise ValueError(f"unknown universes: {odd if names else text!r}; known: {', '.join(known)}")
+    return names
+
+
+def first_symbols(symbols: DataFrame, n: int) -> DataFrame:
+    """The first n symbols in alphabetical order."""
+    return symbols.orderBy("symbol").limit(n)

@@ -21,14 +21,11 @@ def category(element: Column) -> Column:
     return out.when(element.isin("sma_200d", "sma_200w", "ema_200d"), "sma_200").when(element.isin("sma_50d", "sma_50w", "ema_50d"), "sma_50").otherwise(element)
 
 
-def clustered(levels: DataFrame, spots: DataFrame) -> DataFrame:
-    """``levels`` below spot with ``cluster``: a new one begins where the gap to the price below is over the tolerance.
-
-    ``spots``: symbol, spot, atr.
-    """
-    own = levels.filter("side = 'support'").drop("side").join(spots, "symbol")
+def clustered(levels: DataFrame) -> DataFrame:
+    """``levels`` below spot with ``cluster``: a new one begins where the gap to the price below is over the tolerance."""
+    own = levels.filter("side = 'support'").drop("side")
     order = W.partitionBy("symbol").orderBy("price", "element", "rn")
-    tolerance = F.least(C.CLUSTER_ATR * F.col("atr"), C.CLUSTER_SPOT * F.col("spot"))
+    tolerance = F.least(C.CLUSTER_ATR * F.col("last_atr"), C.CLUSTER_SPOT * F.col("spot"))
     starts = F.coalesce((F.col("price") - F.lag("price").over(order) > tolerance).cast("int"), F.lit(0))
     return own.withColumn("_starts", starts).withColumn("cluster", F.sum("_starts").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_starts")
 
@@ -46,23 +43,26 @@ def zones(members: DataFrame) -> DataFrame:
     """One row per cluster that isn't too wide: bounds, score, counts, reasons, and rank within the symbol.
 
     A category counts once, with its heaviest element; many heavy elements in a narrow zone raise the score.
+    ``signals``: the oscillators of its divergences.
     """
     w, c = weight(F.col("element")), category(F.col("element"))
     dynamic = reduce(Column.__or__, [F.col("element").startswith(x) for x in C.CONFIRMERS])
-    by_category = members.groupBy("symbol", "spot", "cluster", c.alias("category")).agg(
+    by_category = members.groupBy("symbol", "spot", "last_atr", "cluster", c.alias("category")).agg(
         F.max(w).alias("best"), F.min("price").alias("low"), F.max("price").alias("high"), F.count_if(w >= C.HEAVY_WEIGHT).alias("heavy"),
-        F.bool_or(dynamic).alias("dynamic"), F.count("*").alias("n"), F.collect_list(F.struct("price", "element")).alias("held"),
+        F.bool_or(dynamic).alias("dynamic"), F.count("*").alias("n"), F.collect_list(F.struct("price", "element", "detail")).alias("held"),
     )
-    z = by_category.groupBy("symbol", "spot", "cluster").agg(
+    z = by_category.groupBy("symbol", "spot", "last_atr", "cluster").agg(
         F.sum("best").alias("raw"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("heavy").alias("n_heavy"), F.bool_or("dynamic").alias("dynamic"),
         F.count("*").alias("n_categories"), F.sum("n").alias("n_elements"), F.array_sort(F.flatten(F.collect_list("held"))).alias("held"),
     )
     center = (F.col("low") + F.col("high")) / 2
     z = z.withColumn("center", center).filter((F.col("high") - F.col("low")) / F.col("center") <= C.CLUSTER_WIDTH)
-    z = z.withColumns({"lower": F.col("low") * (1 - C.CLUSTER_BUFFER), "upper": F.col("high") * (1 + C.CLUSTER_BUFFER)})
-    z = z.withColumns({"width_pct": (F.col("upper") - F.col("lower")) / F.col("center"), "distance": (F.col("spot") - F.col("upper")) / F.col("spot"), "elements": F.transform("held", lambda e: e["element"])})
+    buffer = C.CLUSTER_BUFFER * F.col("center")
+    z = z.withColumns({"lower": F.col("low") - buffer, "upper": F.col("high") + buffer})
+    z = z.withColumns({"width_pct": (F.col("upper") - F.col("lower")) / F.col("center"), "distance": (F.col("spot") - F.col("upper")) / F.col("spot"), "elements": F.transform("held", lambda e: e["element"]), "atr": F.col("last_atr")})
     z = z.withColumn("score", F.col("raw") * density(F.col("n_heavy"), F.col("width_pct")))
-    z = z.withColumn("rejection_reason", reasons())
+    z = z.withColumn("signals", F.transform(F.filter("held", lambda e: e["element"] == "divergence"), lambda e: F.coalesce(e["detail"], F.lit("divergence"))))
+    z = z.withColumn("rejection_reason", reasons()).drop("last_atr")
     return ranked(z.withColumns({"tier": tier(F.col("score")), "is_valid": F.col("rejection_reason") == ""}))
 
 

@@ -10,12 +10,12 @@ from confluence.operators import detectors as D
 from confluence.operators import regime as R
 from confluence.operators import zones as Z
 from confluence.plans.catalog import query
-from confluence.plans.q_levels import EARNINGS_SQL, PIVOT_SQL, ZONE_SQL, earnings, inputs
+from confluence.plans.q_levels import EARNINGS_SQL, PIVOT_SQL, ZONE_SQL, earnings, inputs, zones_of
 from confluence.plans.q_series import HMA_SQL, SMA_SQL, WITH, r6
 from confluence.sources import tape
 
 DOUBLE_SQL = """db_pairs as (select a.symbol, a.rn as l1_rn, b.rn as l2_rn, a.price as l1, b.price as l2, s.spot from pivots a join pivots b using (symbol) join spots s using (symbol)
-  where a.kind = 'low' and b.kind = 'low' and a.rn > s.top - 180 and b.rn > s.top - 180 and b.rn - a.rn between 15 and 80 and abs(b.price - a.price) / a.price < 0.03),
+  where a.kind = 'low' and b.kind = 'low' and a.rn >= s.top - 180 and b.rn >= s.top - 180 and b.rn - a.rn between 15 and 80 and abs(b.price - a.price) / a.price < 0.03),
 db_neck as (select p.*, coalesce((select max(price) from pivots h where h.symbol = p.symbol and h.kind = 'high' and h.rn > p.l1_rn and h.rn < p.l2_rn), (select max(high) from bars b where b.symbol = p.symbol and b.rn between p.l1_rn and p.l2_rn)) as neckline from db_pairs p),
 db as (select symbol, l1_rn, l2_rn, l1, l2, neckline, (neckline - least(l1, l2)) / least(l1, l2) as bounce, spot > neckline as confirmed from db_neck where (neckline - least(l1, l2)) / least(l1, l2) >= 0.08 qualify row_number() over (partition by symbol order by l2_rn desc, l1_rn) = 1)"""
 
@@ -51,7 +51,7 @@ flips as (select symbol, max(rn) - max(case when turn then rn end) as weeks_sinc
 
 @query(f"{WITH}, {FLIP_SQL} select * from flips")
 def hma_flip(spark, sf_dir):
-    out = D.hma_flip(S.recent(S.weekly(tape.bars(spark, sf_dir))))
+    out = D.hma_flip(S.numbered(S.weekly(tape.bars(spark, sf_dir))))
     return out.select("symbol", F.col("weeks_since").cast("long").alias("weeks_since"), "close_above", "valid")
 
 
@@ -80,11 +80,12 @@ dip_all as (select symbol, event, (select arg_max(close, date) from bars b where
 dip as (select symbol, event, after / before - 1 as change from dip_all where after / before - 1 <= -0.05)"""
 
 
-@query(f"{WITH}, {DIP_SQL.replace('<= -0.05', '<= 0.05')} select symbol, event, round(change, 6) as change from dip")
+@query(f"{WITH}, {DIP_SQL.replace('<= -0.05', '<= 0.05')} select symbol, event, round(change, 6) as change from dip where symbol >= 'F'")
 def post_earnings_dip(spark, sf_dir):
-    """With a mild threshold, as the tape has few dips."""
+    """With a mild threshold, as the tape has few dips; the symbols before F are taken to have earnings ahead."""
     bars, _, _ = inputs(spark, sf_dir)
-    return R.post_earnings_dip(bars, earnings(spark, sf_dir), dip=0.05).select("symbol", "event", r6("change", "change"))
+    ahead = bars.select("symbol").filter("symbol < 'F'")
+    return R.post_earnings_dip(bars, earnings(spark, sf_dir), dip=0.05, upcoming=ahead).select("symbol", "event", r6("change", "change"))
 
 
 REGIME_SQL = f"""{FLIP_SQL}, wk as (select symbol, {SMA_SQL(50)} as a, {SMA_SQL(200)} as b from weeks qualify row_number() over (partition by symbol order by rn desc) = 1),
@@ -98,23 +99,20 @@ def regime(spark, sf_dir):
     return R.regimes(bars, weeks, D.hma_flip(weeks))
 
 
-def facts(spark, sf_dir):
-    """symbol, regime and a boolean per trigger."""
-    from confluence.operators import levels as L
-
-    bars, weeks, found = inputs(spark, sf_dir)
+def facts(spark, sf_dir, today=None):
+    """symbol, regime and a boolean per trigger, as of a day."""
+    bars, weeks, found = inputs(spark, sf_dir, today)
     flips = D.hma_flip(weeks)
-    events = earnings(spark, sf_dir)
-    spots = S.last_rows(bars).select("symbol", "spot", "atr")
-    zone = Z.best(Z.zones(Z.clustered(L.all_levels(bars, weeks, found, events), spots)))
+    events = earnings(spark, sf_dir, today)
+    zone = Z.best(zones_of(spark, sf_dir, today))
     hit = lambda df, name: df.select("symbol", F.lit(True).alias(name))
     double = D.double_bottom(bars, found)
     out = R.regimes(bars, weeks, flips)
     for part in (
         hit(zone.filter((F.col("score") >= C.MIN_SCORE) & (F.col("distance") <= C.MAX_DISTANCE)), "pullback_in_uptrend"),
         hit(double.filter("confirmed"), "double_bottom_confirmed"), hit(double.filter("not confirmed"), "double_bottom_unconfirmed"),
-        hit(D.capitulation(bars), "capitulation"), hit(flips.filter("valid and close_above"), "hma_flip"), hit(R.range_floor(bars), "range_floor"),
-        hit(R.post_earnings_dip(bars, events), "post_earnings_dip"), hit(R.divergence(bars, found), "divergence"),
+        hit(D.capitulation(bars), "capitulation_reclaim"), hit(flips.filter("valid and close_above"), "hma_weekly_flip"), hit(R.range_floor(bars), "range_floor"),
+        hit(R.post_earnings_dip(bars, events), "post_earnings_dip"), hit(R.divergence(bars, found), "bullish_divergence"),
     ):
         out = out.join(part, "symbol", "left")
     return out
@@ -129,7 +127,7 @@ _hits = " union all ".join(
 )
 CLASSIFY_SQL = f"""{ZONE_SQL}, {DOUBLE_SQL}, {capitulation_sql('cap', C.CAPITULATION_RANGE, C.CAPITULATION_VOLUME, C.CAPITULATION_CLOSE, C.CAPITULATION_DROP)}, {DIVERGENCE_SQL}, {RANGE_SQL}, {REGIME_SQL}, {DIP_SQL.split(', ev as', 1)[1].join(['ev as', ''])},
 hits as ({_hits}),
-classes as (select r.symbol, r.regime, coalesce((select string_agg(name, ',' order by weight desc, ord) from hits h where h.symbol = r.symbol), '') as triggers, (select name from hits h where h.symbol = r.symbol and weight > 0 order by weight desc, ord limit 1) as primary_trigger from regimes r)"""
+classes as (select r.symbol, r.regime, coalesce((select string_agg(name, '|' order by weight desc, ord) from hits h where h.symbol = r.symbol), '') as triggers, (select name from hits h where h.symbol = r.symbol and weight > 0 order by weight desc, ord limit 1) as primary_trigger from regimes r)"""
 
 
 @query(f"{CLASSIFY_SQL} select symbol, regime, triggers, primary_trigger from classes")
@@ -137,8 +135,36 @@ def classify(spark, sf_dir):
     return R.classified(facts(spark, sf_dir)).select("symbol", "regime", "triggers", "primary_trigger")
 
 
+#: A day before the tape's end, for queries as of it.
+PAST = "1998-11-30"
+
+
+def past_sql(sql: str, today: str = PAST) -> str:
+    """A query over what was known on a day: its bars and earnings end there."""
+    cut = sql.replace("from closes),\nweekly as", f"from closes where date <= date '{today}'),\nweekly as")
+    assert cut != sql
+    return cut.replace(f"{EARNINGS_SQL[:-1]}", f"{EARNINGS_SQL[:-1]} where d <= '{today}'")
+
+
+@query(f"{past_sql(CLASSIFY_SQL)} select c.symbol, regime, triggers, primary_trigger, round(z.score, 5) as score, round(z.distance, 6) as distance from classes c left join zones z on z.symbol = c.symbol and z.zone_id = 0")
+def classify_as_of(spark, sf_dir):
+    first = zones_of(spark, sf_dir, PAST).filter("zone_id = 0").select("symbol", r6("score", "score", 5), r6("distance", "distance"))
+    return R.classified(facts(spark, sf_dir, PAST)).select("symbol", "regime", "triggers", "primary_trigger").join(first, "symbol", "left")
+
+
+@query(f"{past_sql(PIVOT_SQL)}, {DOUBLE_SQL} select symbol, l1_rn, l2_rn, l1, l2, neckline, round(bounce, 6) as bounce, confirmed from db")
+def double_bottom_as_of(spark, sf_dir):
+    bars, _, found = inputs(spark, sf_dir, PAST)
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return D.double_bottom(bars, found).select("symbol", long("l1_rn"), long("l2_rn"), "l1", "l2", "neckline", r6("bounce", "bounce"), "confirmed")
+
+
+LABEL_SQL = f"""case regime {' '.join(f"when '{k}' then '{v}'" for k, v in R.REGIME_LABELS.items())} end || ': ' || coalesce(case primary_trigger {' '.join(f"when '{k}' then '{v}'" for k, v in R.TRIGGER_LABELS.items())} end
+    || case when triggers like '%bullish_divergence%' then ' + divergencia' else '' end, 'sin trigger')"""
+
+
 @query(f"""{CLASSIFY_SQL} select symbol, primary_trigger, case {' '.join(f"when primary_trigger = '{k}' then '{v}'" for k, v in R.LEGACY.items())} end as legacy,
-  upper(regime[1]) || regime[2:] || ': ' || coalesce(replace(primary_trigger, '_', ' ') || case when triggers like '%divergence%' then ' + divergence' else '' end, 'no trigger') as label from classes""")
+  {LABEL_SQL} as label from classes""")
 def primary_trigger(spark, sf_dir):
     return R.classified(facts(spark, sf_dir)).select("symbol", "primary_trigger", "legacy", "label")
 
@@ -154,7 +180,7 @@ lg as (select w.symbol, a > b and spot > b as t1, coalesce(top >= 5 and spot / p
 
 
 @query(f"""{PIVOT_SQL}, {LEGACY_SQL} select symbol, t1, t2, t3, t4, case when t1 then 'T1' when t2 then 'T2' when t4 then 'T4' when t3 then 'T3' end as kind,
-  concat_ws(',', case when t2 and t1 then 'T2' end, case when t4 and (t1 or t2) then 'T4' end, case when t3 and (t1 or t2 or t4) then 'T3' end) as others from lg""")
+  concat_ws(',', case when t2 and t1 then 'T2' end, case when t3 and (t1 or t2 or t4) then 'T3' end, case when t4 and (t1 or t2) then 'T4' end) as others from lg""")
 def legacy_classify(spark, sf_dir):
     from confluence.operators import legacy
 

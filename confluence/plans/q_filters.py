@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from confluence import config as C
 from confluence.functions import series as S
 from confluence.operators import events as E
 from confluence.operators import filters as R
 from confluence.operators import universe as U
 from confluence.plans.catalog import query
-from confluence.plans.q_series import HV_SQL, MACD_SQL, RSI_SQL, WITH, hv_percentile, lag_n_values, macd_state, r6
+from confluence.plans.q_levels import inputs
+from confluence.plans.q_series import HV_SQL, MACD_SQL, RSI_SQL, WITH, r6
 from confluence.sources import federation as S2
+from confluence.sources import projections as J
 from confluence.sources import tape
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 COUNTS = ("strong_buy", "buy", "hold", "sell", "strong_sell")
+# Countries of the derived universe by a symbol's first letter; M has none.
+COUNTRIES = {"E": "United States", "L": "Canada", "P": "Germany", "S": "FR"}
 # Macro releases within the tape, of both engines.
 MACRO = (("2001-07-18", "fomc", "rate decision"), ("2001-09-20", "cpi", "prices"), ("2001-11-07", "fomc", "rate decision"), ("2001-11-16", "cpi", "prices"), ("2001-12-11", "fomc", "rate decision"), ("2002-03-19", "other", "outlook"))
 MACRO_SQL = "macro as (select cast(d as date) as date, kind, description from (values " + ", ".join(map(str, MACRO)) + ") as m(d, kind, description))"
@@ -27,24 +33,27 @@ def macro(spark):
 
 
 def fundamentals(spark, sf_dir):
-    """symbol, market_cap, avg_volume, free_cash_flow, sector, country, and the five recommendation counts, from order tables."""
+    """symbol, market_cap, avg_volume, free_cash_flow, sector, country, and the five recommendation counts, from order tables.
+
+    A priority is an opinion; of the two lowest only even orders count, so that some symbols are recommended.
+    """
     part = tape.read(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("symbol"), "p_retailprice", "p_size")
     lines = tape.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_discount")
     orders = tape.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     size = part.groupBy("symbol").agg((F.sum(F.round(F.col("p_retailprice") * 100).cast("long")) * 100000.0).alias("market_cap"), F.max("p_size").alias("size"))
     sold = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
     flow = sold.groupBy("symbol").agg((F.sum(F.col("l_quantity").cast("long")) * 100.0).alias("avg_volume"), F.sum(F.lit(5) - F.round(F.col("l_discount") * 100).cast("long")).cast("double").alias("free_cash_flow"))
-    rated = sold.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("symbol").agg(*[F.count_if(F.col("o_orderpriority") == p).alias(c) for p, c in zip(PRIORITIES, COUNTS)])
+    rated = sold.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("symbol").agg(*[F.count_if((F.col("o_orderpriority") == p) & ((F.col("o_orderkey") % 2 == 0) | (p < "4"))).alias(c) for p, c in zip(PRIORITIES, COUNTS)])
     sector = F.when(F.col("symbol") == "PROMO", "Utilities").otherwise("Technology")
-    country = F.when(F.col("symbol") < "M", "US").otherwise("Germany")
+    country = F.element_at(F.create_map(*[F.lit(x) for pair in COUNTRIES.items() for x in pair]), F.substring("symbol", 1, 1))
     return size.join(flow, "symbol").join(rated, "symbol").select("symbol", "market_cap", "avg_volume", "free_cash_flow", sector.alias("sector"), country.alias("country"), *COUNTS)
 
 
 FUND_SQL = f"""sold as (select l.*, p.p_type as symbol from lineitem l join part p on l_partkey = p_partkey),
-fund as (select s.symbol, market_cap, avg_volume, free_cash_flow, case when s.symbol = 'PROMO' then 'Utilities' else 'Technology' end as sector, case when s.symbol < 'M' then 'US' else 'Germany' end as country, {', '.join(COUNTS)}
+fund as (select s.symbol, market_cap, avg_volume, free_cash_flow, case when s.symbol = 'PROMO' then 'Utilities' else 'Technology' end as sector, case s.symbol[1] {' '.join(f"when '{k}' then '{v}'" for k, v in COUNTRIES.items())} end as country, {', '.join(COUNTS)}
   from (select p_type as symbol, sum(cast(round(p_retailprice * 100) as bigint)) * 100000.0::double as market_cap from part group by 1) s
   join (select symbol, sum(cast(l_quantity as bigint)) * 100.0::double as avg_volume, cast(sum(5 - cast(round(l_discount * 100) as bigint)) as double) as free_cash_flow from sold group by 1) f using (symbol)
-  join (select symbol, {', '.join(f"count(*) filter (o_orderpriority = '{p}') as {c}" for p, c in zip(PRIORITIES, COUNTS))} from sold join orders on l_orderkey = o_orderkey group by 1) r using (symbol))"""
+  join (select symbol, {', '.join(f"count(*) filter (o_orderpriority = '{p}'{' and o_orderkey % 2 = 0' if p >= '4' else ''}) as {c}" for p, c in zip(PRIORITIES, COUNTS))} from sold join orders on l_orderkey = o_orderkey group by 1) r using (symbol))"""
 
 
 @query(f"with {FUND_SQL} select * from fund")
@@ -77,14 +86,41 @@ def downgrades_6w(spark, sf_dir):
     return r.crossJoin(F.broadcast(today)).groupBy("symbol").agg(F.count_if(down & (F.col("date") >= F.date_sub("today", 42))).alias("downgrades"), F.max(F.when(down, F.col("date"))).alias("last_downgrade"))
 
 
-def candidates(spark, sf_dir):
-    """Fundamentals with series facts: one row per symbol."""
-    df = fundamentals(spark, sf_dir).join(lag_n_values(spark, sf_dir), "symbol").join(macd_state(spark, sf_dir).select("symbol", "macd_state"), "symbol").join(hv_percentile(spark, sf_dir), "symbol")
-    spot = S.last_rows(tape.bars(spark, sf_dir)).select("symbol", F.col("close").alias("spot"))
+#: An event of this type and value counts as a rating cut of the symbol of the part that its user stands for.
+CUT = "event_type = 'error' and value >= 200"
+CUTS_SQL = f"""cuts as (select p.p_type as symbol, count(*) as downgrades from events e join part p on e.user_id = p.p_partkey
+  where {CUT} and cast(ts as date) >= (select max(cast(ts as date)) from events) - 42 group by 1)"""
+
+
+def symbol_cuts(spark, sf_dir):
+    """symbol, downgrades: rating cuts of the last six weeks."""
+    ev = tape.read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("date").alias("date"), "event_type", "value")
+    last = ev.agg(F.max("date").alias("last"))  # one row
+    part = tape.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("user_id"), F.col("p_type").alias("symbol"))
+    return ev.filter(CUT).crossJoin(F.broadcast(last)).filter(F.col("date") >= F.date_sub("last", 7 * C.DOWNGRADE_WEEKS)).join(part, "user_id").groupBy("symbol").agg(F.count("*").alias("downgrades"))
+
+
+def series_facts(bars, weeks):
+    """symbol, spot, macd_state, hv_percentile, and RSIs now and some bars ago, from bars with oscillators: two aggregates."""
+    at = lambda c, ago: F.max(F.when(F.col("rn") == F.col("top") - ago, F.col(c)))
+    now = F.max_by("hv", "rn").over(W.partitionBy("symbol"))
+    share = 100.0 * F.count_if((F.col("rn") > F.col("top") - C.HV_WINDOW) & (F.round("hv", 9) <= F.round("_now", 9))) / C.HV_WINDOW
+    day = S.with_hv(bars.select("symbol", "date", "rn", "top", "close", "rsi", "macd_state")).withColumn("_now", now).groupBy("symbol").agg(
+        at("close", 0).alias("spot"), at("rsi", 0).alias("rsi_daily"), at("rsi", C.RSI_DAILY_LOOKBACK).alias("rsi_daily_3_ago"), at("macd_state", 0).alias("macd_state"),
+        F.when(F.count("*") >= C.HV_WINDOW + C.HV_LENGTH, F.round(share, 6)).otherwise(50.0).alias("hv_percentile"),
+    )
+    own = S.with_rsi(weeks.select("symbol", "date", "rn", "close")).withColumn("top", F.max("rn").over(W.partitionBy("symbol")))
+    return day.join(own.groupBy("symbol").agg(at("rsi", 0).alias("rsi_weekly"), at("rsi", C.RSI_WEEKLY_LOOKBACK).alias("rsi_weekly_2_ago")), "symbol")
+
+
+def candidates(spark, sf_dir, today=None):
+    """Fundamentals with rating cuts and, as of a day, series facts: one row per symbol."""
+    df = fundamentals(spark, sf_dir).join(series_facts(*inputs(spark, sf_dir, today)[:2]), "symbol")
+    df = df.join(symbol_cuts(spark, sf_dir), "symbol", "left").withColumn("downgrades", F.coalesce("downgrades", F.lit(0).cast("long")))
     total = reduce(lambda a, b: a + b, [F.col(c) for c in COUNTS])
     target = F.round(F.col("spot") * (1 + (F.col("strong_buy") - F.col("strong_sell")) / total), 4)
-    df = df.join(spot, "symbol").withColumn("target", target)
-    return df.withColumns({"upside": R.upside(F.col("target"), F.col("spot")), "buy_ratio": R.buy_ratio([F.col(c) for c in COUNTS]), "downgrades": F.lit(0), "momentum_score": R.momentum_score()})
+    df = df.withColumn("target", target)
+    return df.withColumns({"upside": R.upside(F.col("target"), F.col("spot")), "buy_ratio": R.buy_ratio([F.col(c) for c in COUNTS]), "momentum_score": R.momentum_score()})
 
 
 CAND_SQL = f"""{WITH}, {FUND_SQL}, {HV_SQL}, {MACD_SQL}, {RSI_SQL('bars', 'd')}, {RSI_SQL('weeks', 'w')},
@@ -94,14 +130,16 @@ mst as (select symbol, case when old is null or abs(hist - old) / greatest(abs(o
   from (select *, lag(hist, 3) over (partition by symbol order by rn) as old from macd) qualify row_number() over (partition by symbol order by rn desc) = 1),
 dr as (select symbol, rsi as rsi_daily, lag(rsi, 3) over (partition by symbol order by rn) as rsi_daily_3_ago from drsi qualify row_number() over (partition by symbol order by rn desc) = 1),
 wr as (select symbol, rsi as rsi_weekly, lag(rsi, 2) over (partition by symbol order by rn) as rsi_weekly_2_ago from wrsi qualify row_number() over (partition by symbol order by rn desc) = 1),
-sp as (select symbol, arg_max(close, rn) as spot from bars group by symbol),
+sp as (select symbol, arg_max(close, rn) as spot from bars group by symbol), {CUTS_SQL},
 cands as (select *, case when target <> 0 and spot > 0 then target / spot - 1 else 0 end as upside, (strong_buy + buy)::double / (strong_buy + buy + hold + sell + strong_sell) as buy_ratio,
   case when rsi_daily < 50 and rsi_daily > rsi_daily_3_ago then 1 else 0 end + case when rsi_weekly < 50 and rsi_weekly > rsi_weekly_2_ago then 1 else 0 end + case when macd_state like 'subiendo%' then 1 else 0 end as momentum_score
-  from (select *, round(spot * (1 + (strong_buy - strong_sell)::double / (strong_buy + buy + hold + sell + strong_sell)), 4) as target from fund join hvp using (symbol) join mst using (symbol) join dr using (symbol) join wr using (symbol) join sp using (symbol))),
-judged as (select *, case when market_cap < 10e9 then 'quality: market cap below minimum' when avg_volume < 1e6 then 'quality: volume below minimum' when sector not in ('Utilities', 'Financial Services', 'Real Estate') and free_cash_flow <= 0 then 'quality: no free cash flow' end as r1,
-  case when not upside > 0 then 'valuation: no upside' when not buy_ratio >= 0.45 then 'valuation: buy ratio below minimum' end as r2,
-  case when rsi_daily >= 70 then 'momentum: daily RSI overbought' when rsi_weekly >= 70 then 'momentum: weekly RSI overbought' end as r3,
-  case when not hv_percentile between 30 and 90 then 'volatility: volatility percentile out of range' end as r4 from cands)"""
+  from (select *, coalesce(cuts.downgrades, 0) as n_cuts, round(spot * (1 + (strong_buy - strong_sell)::double / (strong_buy + buy + hold + sell + strong_sell)), 4) as target from fund join hvp using (symbol) join mst using (symbol) join dr using (symbol) join wr using (symbol) join sp using (symbol) left join cuts using (symbol))),
+judged as (select *, case when market_cap < 10e9 then printf('quality_liquidity: market cap (%.1f) < 10000000000', market_cap) when avg_volume < 1e6 then printf('quality_liquidity: avg daily volume (%.1f) < 1000000', avg_volume)
+    when sector not in ('Utilities', 'Financial Services', 'Real Estate') and free_cash_flow <= 0 then printf('quality_liquidity: FCF TTM (%.1f) ≤ 0.0', free_cash_flow) end as r1,
+  case when upside <= 0 then printf('valuation: price target upside (%.1f', upside * 100) || '%) ≤ 0.0%' when buy_ratio < 0.45 then printf('valuation: buy ratio (%.2f) < 0.45', buy_ratio)
+    when n_cuts > 1 and (country is null or country not in ({', '.join(repr(x) for x in C.UNRATED_COUNTRIES)})) then 'valuation: ' || n_cuts || ' downgrades en 6w > 1' end as r2,
+  case when rsi_daily >= 70 then printf('momentum: RSI_d sobrecomprado (%.1f ≥ 70.0)', rsi_daily) when rsi_weekly >= 70 then printf('momentum: RSI_w sobrecomprado (%.1f ≥ 70.0)', rsi_weekly) end as r3,
+  case when hv_percentile > 90 then printf('hv_percentile: HV percentile %.1f > 90.0', hv_percentile) when hv_percentile < 30 then printf('hv_percentile: HV percentile %.1f < 30.0', hv_percentile) end as r4 from cands)"""
 
 
 @query(f"{CAND_SQL} select symbol, round(upside, 6) as upside, cast(momentum_score as integer) as momentum_score from cands")
@@ -114,14 +152,10 @@ def step1_reasons(spark, sf_dir):
     return R.screened(candidates(spark, sf_dir)).select("symbol", F.array_join("reasons", " | ").alias("reasons"), "passed")
 
 
-@query(f"{CAND_SQL} select count(*) as universe, count(*) filter (concat_ws('', r1, r2, r3, r4) = '') as passed, count(*) filter (momentum_score >= 2) as high_momentum from judged")
-def funnel(spark, sf_dir):
-    df = R.screened(candidates(spark, sf_dir))
-    return df.agg(F.count("*").alias("universe"), F.count_if("passed").alias("passed"), F.count_if(F.col("momentum_score") >= 2).alias("high_momentum"))
 
 
 def _filter_query(name, rule, number):
-    @query(f"{CAND_SQL} select symbol, regexp_replace(r{number}, '^[a-z]+: ', '') as reason from judged")
+    @query(f"{CAND_SQL} select symbol, regexp_replace(r{number}, '^[a-z_]+: ', '') as reason from judged")
     def run(spark, sf_dir):
         return candidates(spark, sf_dir).select("symbol", rule().alias("reason"))
 
@@ -142,22 +176,26 @@ def macro_window(spark, sf_dir):
     return E.macro_window(macro(spark), F.lit(TODAY).cast("date"))
 
 
-@query(f"with {MACRO_SQL} select date, cast(date - date '{TODAY}' as integer) as days_until, upper(kind) as kind, case when kind = 'other' then '-' else 'US' end as jurisdiction, description from macro where date - date '{TODAY}' between 0 and 45")
+@query(f"with {MACRO_SQL} select date, cast(date - date '{TODAY}' as integer) as days_until, upper(kind) as kind, case when kind = 'other' then '—' else 'US' end as jurisdiction, description from macro where date - date '{TODAY}' between 0 and 45")
 def macro_banner(spark, sf_dir):
     return E.macro_banner(macro(spark), F.lit(TODAY).cast("date"))
 
 
-@query(f"""with {MACRO_SQL}, own as (select distinct p_type as symbol from part), e as (select symbol, date '{TODAY}' + case when symbol < 'M' then 10 else 60 end as earnings_date from own where symbol <> 'PROMO'), d as (select symbol, date '{TODAY}' - 3 as ex_div_date, 0.5::double as ex_div_amount from own where symbol > 'M'),
-m as (select count(*) as macro_count from macro where date - date '{TODAY}' between 0 and 45)
+SQL_OF_EVENTS = f"""with {MACRO_SQL}, own as (select distinct p_type as symbol from part), e as (select symbol, date '{TODAY}' + case when symbol < 'M' then 10 else 60 end as earnings_date from own where symbol <> 'PROMO'), d as (select symbol, date '{TODAY}' + case when symbol > 'S' then 20 else -3 end as ex_div_date, case when symbol <> 'STANDARD' then 0.5::double end as ex_div_amount from own where symbol > 'M'),
+m as (select count(*) as macro_count, string_agg(distinct kind, ', ' order by kind) as macro_kinds from macro where date - date '{TODAY}' between 0 and 45)
 select symbol, cast(earnings_date as date) as earnings_date, cast(earnings_date - date '{TODAY}' as integer) as days_to_earnings, coalesce(earnings_date - date '{TODAY}' between 0 and 45, false) as earnings_near, cast(ex_div_date as date) as ex_div_date, cast(ex_div_date - date '{TODAY}' as integer) as days_to_ex_div,
-  coalesce(ex_div_date - date '{TODAY}' between 0 and 45, false) as ex_div_near, macro_count, true as has_events, case when coalesce(earnings_date - date '{TODAY}' between 0 and 45, false) then 'Earnings en ' || (earnings_date - date '{TODAY}') || ' días (' || earnings_date || ')' else '' end as flags
-from own left join e using (symbol) left join d using (symbol), m""")
+  coalesce(ex_div_date - date '{TODAY}' between 0 and 45, false) as ex_div_near, ex_div_amount, macro_count, macro_kinds, true as has_events, concat_ws(' | ', case when earnings_date - date '{TODAY}' between 0 and 45 then 'Earnings en ' || (earnings_date - date '{TODAY}') || ' días (' || earnings_date || ')' end,
+    case when ex_div_date - date '{TODAY}' between 0 and 45 then 'Ex-dividend en ' || (ex_div_date - date '{TODAY}') || ' días' || case when ex_div_amount is null then '' else ' (€0.50)' end end) as flags
+from own left join e using (symbol) left join d using (symbol), m"""
+
+
+@query(SQL_OF_EVENTS)
 def binary_events(spark, sf_dir):
-    own = tape.read(spark, sf_dir, "part").select(F.col("p_type").alias("symbol")).distinct()
+    own = tape.read(spark, sf_dir, "part").select(F.col("p_type").alias("symbol")).distinct().withColumn("currency", F.lit("EUR"))
     today = F.lit(TODAY).cast("date")
     earnings = own.filter("symbol <> 'PROMO'").select("symbol", F.date_add(today, F.when(F.col("symbol") < "M", 10).otherwise(60)).alias("date"))
-    dividends = own.filter("symbol > 'M'").select("symbol", F.date_sub(today, 3).alias("date"), F.lit(0.5).alias("amount"))
-    return E.binary_events(own, earnings, dividends, macro(spark), today).select("symbol", "earnings_date", "days_to_earnings", "earnings_near", "ex_div_date", "days_to_ex_div", "ex_div_near", "macro_count", "has_events", "flags")
+    dividends = own.filter("symbol > 'M'").select("symbol", F.date_add(today, F.when(F.col("symbol") > "S", 20).otherwise(-3)).alias("date"), F.when(F.col("symbol") != "STANDARD", 0.5).alias("amount"))
+    return E.binary_events(own, earnings, dividends, macro(spark), today).select("symbol", "earnings_date", "days_to_earnings", "earnings_near", "ex_div_date", "days_to_ex_div", "ex_div_near", "macro_count", "macro_kinds", "has_events", "flags", "ex_div_amount")
 
 
 @query("""select symbol, string_agg(universe, ',' order by universe) as universes from (select p_brand as symbol, 'large' as universe from part where p_size >= 45 union select p_brand, 'costly' from part where p_retailprice >= 1800 union select p_brand, 'all' from part) group by symbol""")
@@ -166,10 +204,40 @@ def universe_tags(spark, sf_dir):
     return U.tagged({"large": part.filter("p_size >= 45"), "costly": part.filter("p_retailprice >= 1800"), "all": part}).select("symbol", F.array_join("universes", ",").alias("universes"))
 
 
-@query("select * from (values ('brk.b', 'BRK-B', 'BRK.B.DE', null), ('VOLV B', 'VOLV B', 'VOLV-B.DE', null), ('VOD LN', 'VOD LN', 'VOD-LN.DE', 'VOD.L'), ('SAP GY', 'SAP GY', 'SAP-GY.DE', 'SAP.DE'), ('BT/A LN', 'BT/A LN', 'BT/A-LN.DE', 'BT-A.L')) as t(symbol, dashed, german, market)")
+@query("""select * from (values ('brk.b', 'BRK-B', 'BRK.B.DE', 'BRK.B.L', null), ('VOLV B', 'VOLV B', 'VOLV-B.DE', 'VOLV-B.L', null), ('VOD LN', 'VOD LN', 'VOD-LN.DE', 'VOD-LN.L', 'VOD.L'), ('SAP GR', 'SAP GR', 'SAP-GR.DE', 'SAP-GR.L', 'SAP.DE'),
+  ('BT/A LN', 'BT/A LN', 'BT/A-LN.DE', 'BT/A-LN.L', 'BT/A.L'), ('SAP GY', 'SAP GY', 'SAP-GY.DE', 'SAP-GY.L', null), ('asml.as', 'ASML-AS', 'ASML.AS.DE', 'ASML.AS.L', 'ASML.AS'), ('x.y', 'X-Y', 'X.Y.DE', 'X.Y.L', null)) as t(symbol, dashed, german, irish, market)""")
 def normalize_symbols(spark, sf_dir):
-    df = spark.createDataFrame([("brk.b",), ("VOLV B",), ("VOD LN",), ("SAP GY",), ("BT/A LN",)], "symbol string")
-    return df.select("symbol", U.dashed(F.col("symbol")).alias("dashed"), U.by_country(F.col("symbol"), F.lit("Germany")).alias("german"), U.by_market(F.col("symbol")).alias("market"))
+    df = spark.createDataFrame([("brk.b",), ("VOLV B",), ("VOD LN",), ("SAP GR",), ("BT/A LN",), ("SAP GY",), ("asml.as",), ("x.y",)], "symbol string")
+    country = lambda c: U.by_country(F.col("symbol"), F.lit(c))
+    return df.select("symbol", U.dashed(F.col("symbol")).alias("dashed"), country("Germany").alias("german"), country("Ireland").alias("irish"), U.by_market(F.col("symbol")).alias("market"))
+
+
+@query("""select n_name as symbol, case when n_nationkey % 3 = 0 then lower(n_name) || '.us' when n_nationkey % 3 = 1 then lower(n_name) || '.de' end as quoted, n_nationkey % 3 <> 1 as domestic from nation""")
+def quote_symbols(spark, sf_dir):
+    """Nations as symbols: plain, with a known suffix, and with an unknown one."""
+    df = tape.read(spark, sf_dir, "nation")
+    form = F.concat("n_name", F.when(F.col("n_nationkey") % 3 == 1, ".DE").when(F.col("n_nationkey") % 3 == 2, ".XX").otherwise(""))
+    return df.select(F.col("n_name").alias("symbol"), U.quoted(form).alias("quoted"), U.is_domestic(form).alias("domestic"))
+
+
+@query("select distinct p_brand as symbol from part order by 1 limit 10")
+def universe_limited(spark, sf_dir):
+    return U.first_symbols(tape.read(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol")).distinct(), 10)
+
+
+@query("select distinct o_orderpriority as sector from orders where o_orderkey % 5 <> 0 order by 1")
+def sector_list(spark, sf_dir):
+    orders = tape.read(spark, sf_dir, "orders")
+    return R.sectors(orders.select(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("sector")))
+
+
+@query("select n_regionkey as page_id, cast(row_number() over (partition by n_regionkey order by n_nationkey) - 1 as integer) as pos, n_name as value from nation")
+def table_column_extract(spark, sf_dir):
+    """A page for each region: a table without the header asked for, and one of its nations with it."""
+    cell = F.format_string('<tr class="r"><td>%d</td><td><a href="/n"> %s </a></td></tr><tr><td>short</td></tr>', F.col("n_nationkey"), F.col("n_name"))
+    rows = tape.read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", cell.alias("row")))).alias("rows"))
+    html = F.concat(F.lit("<table><tr><th>Key</th></tr><tr><td>1</td></tr></table><TABLE id=x><tr><th>Key</th><th>Ticker symbol</th></tr>"), F.array_join(F.transform("rows", lambda r: r["row"]), "\n"), F.lit("</TABLE>"))
+    return U.table_column(rows.select("page_id", html.alias("html")), ("Ticker symbol", "Symbol"))
 
 
 @query("select * from (values ('AAPL', true), ('BRK.B', true), ('BAD TICKER', false), ('ÑU-1', true)) as t(symbol, valid)")
@@ -204,3 +272,48 @@ def upsert_merge(spark, sf_dir):
 @query(f"{WITH}, c as (select symbol from bars group by symbol having min(date) <= date '1998-01-05' and max(date) >= date '1998-12-31') select symbol, date, close from bars join c using (symbol) where date between date '1998-01-05' and date '1998-12-31'")
 def coverage_slice(spark, sf_dir):
     return S2.covered(tape.bars(spark, sf_dir), "1998-01-05", "1998-12-31", ["symbol"]).select("symbol", "date", "close")
+
+
+@query("""select event_id, case event_id % 6 when 0 then 'upgrade' when 1 then 'downgrade' when 2 then 'initiation' when 3 then 'reiterated' when 4 then 'hold it' else '' end as action,
+  case event_id % 4 when 0 then value end as number, case event_id % 4 when 0 then cast(trunc(value) as bigint) else 0 end as whole, case when event_id % 3 = 0 then null else event_type end as text, case when event_id % 2 = 0 then cast(ts as date) end as day from events""")
+def cleaned_fields(spark, sf_dir):
+    """Events as a raw source gives them: numbers as text, some of them NaN, words or nothing; actions in many spellings; empty texts; broken dates."""
+    ev = tape.read(spark, sf_dir, "events")
+    pick = lambda c, *values: F.element_at(F.array(*[v if not isinstance(v, str) else F.lit(v) for v in values]), (F.col(c) % len(values)).cast("int") + 1)
+    raw = pick("event_id", F.col("value").cast("string"), "NaN", "n/a", "")
+    action = F.when(F.col("event_id") % 6 != 5, pick("event_id", "Up", " down", "INIT", "reit ", "Hold it", ""))
+    day = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("soon")
+    return ev.select("event_id", J.rating_action(action).alias("action"), J.clean_number(raw).alias("number"), J.clean_count(raw).alias("whole"), J.clean_text(F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("event_type"))).alias("text"), J.clean_date(day).alias("day"))
+
+
+@query("""with own as (select user_id, case event_type when 'purchase' then '0m' when 'signup' then '-1m' else '-2m' end as period, count(*) as buy, sum(event_id % 7) as hold, sum(event_id % 3) as strong_sell from events where user_id % 3 = 0 or event_type <> 'purchase' and user_id % 3 = 1 or event_type = 'view' group by 1, 2),
+best as (select user_id, arg_min((buy, hold, strong_sell), case period when '0m' then 1 when '-1m' then 2 end) filter (period in ('0m', '-1m')) as b from own group by user_id)
+select user_id as symbol, 0::bigint as strong_buy, coalesce(b[1], 0)::bigint as buy, coalesce(b[2], 0)::bigint as hold, 0::bigint as sell, coalesce(b[3], 0)::bigint as strong_sell,
+  round((2 * coalesce(b[1], 0) + 3 * coalesce(b[2], 0) + 5 * coalesce(b[3], 0))::double / nullif(coalesce(b[1], 0) + coalesce(b[2], 0) + coalesce(b[3], 0), 0), 6) as mean from best""")
+def recommendations_latest(spark, sf_dir):
+    """Users as symbols: opinions of this month, or else of the last one, or else none."""
+    ev = tape.read(spark, sf_dir, "events").filter("user_id % 3 = 0 or event_type <> 'purchase' and user_id % 3 = 1 or event_type = 'view'")
+    period = F.when(F.col("event_type") == "purchase", "0m").when(F.col("event_type") == "signup", "-1m").otherwise("-2m")
+    rows = ev.groupBy(F.col("user_id").alias("symbol"), period.alias("period")).agg(F.lit("").alias("strong_buy"), F.count("*").alias("buy"), F.sum(F.col("event_id") % 7).alias("hold"), F.lit(None).cast("string").alias("sell"), F.sum(F.col("event_id") % 3).cast("string").alias("strong_sell"))
+    counts = J.recommendation_counts(rows)
+    return counts.withColumn("mean", F.round(J.recommendation_mean([F.col(c) for c in J.COUNTS]), 6))
+
+
+@query("""select o_custkey as symbol, min(cast(o_orderdate as date)) as date from orders where cast(o_orderdate as date) between date '1997-03-01' and date '1997-03-01' + 45 group by 1""")
+def upcoming_events(spark, sf_dir):
+    orders = tape.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("symbol"), F.col("o_orderdate").cast("date").alias("date"))
+    return J.upcoming(orders, F.lit("1997-03-01").cast("date"), C.EVENT_DAYS)
+
+
+@query("""select l_partkey as symbol, max((cast(l_shipdate as date), l_extendedprice))[2] as amount from lineitem group by 1""")
+def last_dividends(spark, sf_dir):
+    lines = tape.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("symbol"), F.col("l_shipdate").cast("date").alias("date"), F.col("l_extendedprice").alias("amount"))
+    return J.last_dividend(lines)
+
+
+@query("""select o_custkey as symbol, (max((cast(o_orderdate as date), o_totalprice)) filter (o_orderstatus = 'F'))[2] as revenue, (max((cast(o_orderdate as date), o_totalprice)) filter (o_orderstatus = 'O'))[2] as cash from orders group by 1""")
+def statement_latest(spark, sf_dir):
+    """Customers as symbols: finished orders are revenue, open ones cash."""
+    label = F.when(F.col("o_orderstatus") == "F", "revenue").when(F.col("o_orderstatus") == "O", "cash")
+    rows = tape.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("symbol"), label.alias("label"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_totalprice").alias("value"))
+    return J.latest_values(rows, ("revenue", "cash"))

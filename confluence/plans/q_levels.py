@@ -18,19 +18,31 @@ from confluence.sources import tape
 EARNINGS = ("1995-02-10", "1996-02-09", "1997-02-14", "1998-02-13", "1999-02-12", "2000-02-11", "2001-02-09", "2001-08-10", "2001-09-14")
 
 
-def inputs(spark, sf_dir):
-    """(bars, weeks, pivots): everything that levels need, from one exchange by symbol.
+def inputs(spark, sf_dir, today=None):
+    """(bars, weeks, pivots) as of a day: everything that levels need, from one exchange by symbol.
 
-    They are cached, as every generator and detector reads them; a lost block is computed again.
+    Bars and pivots are cached, as every generator and detector reads them; a lost block is computed again.  The next
+    call for other data releases them.
     """
-    raw = tape.bars(spark, sf_dir)
-    bars = L.context(S.with_macd(S.with_rsi(S.with_atr(S.recent(raw))))).cache()
-    return bars, S.recent(S.weekly(bars.select("symbol", "date", "open", "high", "low", "close", "volume"))).cache(), P.pivots(bars).cache()
+    name = (spark.sparkContext.applicationId, sf_dir, today)
+    if _HELD.get("name") != name:
+        for df in _HELD.pop("frames", ()) + _HELD.pop("zones", ()):
+            df.unpersist()
+        bars = L.context(S.with_macd(S.with_rsi(S.with_atr(S.numbered(tape.bars(spark, sf_dir), today))))).persist()
+        weeks = S.numbered(S.weekly(bars.select("symbol", "date", "open", "high", "low", "close", "volume"))).persist()
+        _HELD.update(name=name, frames=(bars, weeks, P.pivots(bars).persist()))
+    for df in _HELD["frames"]:  # clearCache() by the caller drops them: mark them again
+        df.persist()
+    return _HELD["frames"]
 
 
-def earnings(spark, sf_dir):
+_HELD: dict = {}
+
+
+def earnings(spark, sf_dir, today=None):
+    """All symbols' earnings days, as of a day those up to it."""
     symbols = tape.read(spark, sf_dir, "part").select(F.col("p_type").alias("symbol")).distinct()
-    return symbols.select("symbol", F.explode(F.array(*[F.lit(d).cast("date") for d in EARNINGS])).alias("date"))
+    return symbols.select("symbol", F.explode(F.array(*[F.lit(d).cast("date") for d in EARNINGS if today is None or d <= today])).alias("date"))
 
 
 EARNINGS_SQL = "earnings as (select symbol, cast(d as date) as date from (select distinct p_type as symbol from part), (values " + ", ".join(f"('{d}')" for d in EARNINGS) + ") as e(d))"
@@ -61,13 +73,13 @@ spots as (select symbol, top, spot, atr from full_bars where rn = top)"""
 
 @query(f"{PIVOT_SQL} select symbol, date, kind, price, round(atr, 5) as atr, back from cand")
 def pivot_candidates(spark, sf_dir):
-    bars = S.with_atr(S.recent(tape.bars(spark, sf_dir)))
+    bars = S.with_atr(S.numbered(tape.bars(spark, sf_dir)))
     return P.candidates(bars).select("symbol", "date", "kind", "price", r6("atr", "atr", 5), "back")
 
 
 @query(f"{PIVOT_SQL} select symbol, date, kind, price, round(atr, 5) as atr from pivots")
 def pivots(spark, sf_dir):
-    bars = S.with_atr(S.recent(tape.bars(spark, sf_dir)))
+    bars = S.with_atr(S.numbered(tape.bars(spark, sf_dir)))
     return P.pivots(bars).select("symbol", "date", "kind", "price", r6("atr", "atr", 5))
 
 
@@ -82,7 +94,7 @@ wmas as (select symbol, rn, {SMA_SQL(200)} as sma_200w, {SMA_SQL(50)} as sma_50w
 ma_wide as (select s.symbol, s.top as rn, m.sma_200d, m.sma_50d, case when s.top >= 199 then e200.y end as ema_200d, case when s.top >= 49 then e50.y end as ema_50d, w.sma_200w, w.sma_50w
   from spots s join mas m on m.symbol = s.symbol and m.rn = s.top join e50 on e50.symbol = s.symbol and e50.rn = s.top join e200 on e200.symbol = s.symbol and e200.rn = s.top
   left join (select * from wmas qualify row_number() over (partition by symbol order by rn desc) = 1) w on w.symbol = s.symbol),
-l_ma as (select symbol, element, price, rn from ma_wide unpivot (price for element in (sma_200d, sma_50d, ema_200d, ema_50d, sma_200w, sma_50w)))"""
+l_ma as (select symbol, element, price, rn, cast(null as varchar) as detail from ma_wide unpivot (price for element in (sma_200d, sma_50d, ema_200d, ema_50d, sma_200w, sma_50w)))"""
 
 
 @query(f"{PIVOT_SQL}, {MA_SQL} select symbol, element, round(price, 5) as price, rn from l_ma")
@@ -91,32 +103,32 @@ def levels_ma(spark, sf_dir):
     return shown(L.moving_averages(bars, weeks))
 
 
-POLARITY_SQL = "l_polarity as (select p.symbol, 'polarity' as element, p.price, p.rn from pivots p join spots s using (symbol) where kind = 'high' and p.rn > s.top - 252 and p.price < s.spot)"
+POLARITY_SQL = "l_polarity as (select p.symbol, 'polarity' as element, p.price, p.rn, cast(p.date as varchar) as detail from pivots p join spots s using (symbol) where kind = 'high' and p.rn > s.top - 252 and p.price < s.spot)"
 
 
 @query(f"{PIVOT_SQL}, {POLARITY_SQL} select symbol, element, round(price, 5) as price, rn from l_polarity")
 def levels_polarity(spark, sf_dir):
     bars, _, found = inputs(spark, sf_dir)
-    return shown(L.polarity(found, bars))
+    return shown(L.polarity(found))
 
 
-FIB_SQL = """fib_low as (select p.symbol, max(p.rn) as rn, arg_max(p.price, p.rn) as low, any_value(s.spot) as spot from pivots p join spots s using (symbol) where kind = 'low' and p.rn > s.top - 252 group by p.symbol),
-fib_both as (select l.symbol, l.rn, l.low, coalesce((select arg_max(p.price, p.rn) from pivots p where p.symbol = l.symbol and p.kind = 'high' and p.rn > l.rn), l.spot) as high from fib_low l),
-l_fib as (select symbol, name as element, high - ratio * (high - low) as price, rn from fib_both, (values ('fib_618', 0.618::double), ('fib_786', 0.786::double)) as r(name, ratio) where high > low)"""
+FIB_SQL = """fib_low as (select p.symbol, max(p.rn) as rn, arg_max(p.price, p.rn) as low, max(p.date) as day, any_value(s.spot) as spot from pivots p join spots s using (symbol) where kind = 'low' and p.rn > s.top - 252 group by p.symbol),
+fib_both as (select l.symbol, l.rn, l.low, l.day, coalesce((select arg_max(p.price, p.rn) from pivots p where p.symbol = l.symbol and p.kind = 'high' and p.rn > l.rn), l.spot) as high from fib_low l),
+l_fib as (select symbol, name as element, high - ratio * (high - low) as price, rn, cast(day as varchar) as detail from fib_both, (values ('fib_618', 0.618::double), ('fib_786', 0.786::double)) as r(name, ratio) where high > low)"""
 
 
 @query(f"{PIVOT_SQL}, {FIB_SQL} select symbol, element, round(price, 5) as price, rn from l_fib")
 def levels_fib(spark, sf_dir):
     bars, _, found = inputs(spark, sf_dir)
-    return shown(L.fibonacci(found, bars))
+    return shown(L.fibonacci(found))
 
 
 AVWAP_SQL = f"""{EARNINGS_SQL}, anchors as (
-  select symbol, 'avwap_pivot_low' as element, max(rn) as anchor from pivots where kind = 'low' group by symbol
+  select symbol, 'avwap_pivot_low' as element, max(p.rn) as anchor from pivots p join spots s using (symbol) where kind = 'low' and p.rn > s.top - 252 group by symbol
   union all select symbol, 'avwap_52w_high', arg_min(rn, (-high, rn)) from full_bars where rn > top - 252 and top >= 251 group by symbol
   union all select symbol, 'avwap_earnings', (select min(b.rn) from bars b where b.symbol = e.symbol and b.date >= e.event) from (select e.symbol, max(e.date) as event from earnings e group by e.symbol) e
     where event >= (select min(date) from full_bars f where f.symbol = e.symbol and f.rn > f.top - 252)),
-l_avwap as (select a.symbol, a.element, sum((high + low + close) / 3 * volume) / nullif(sum(volume), 0) as price, a.anchor as rn from anchors a join bars b on b.symbol = a.symbol and b.rn >= a.anchor group by a.symbol, a.element, a.anchor)"""
+l_avwap as (select a.symbol, a.element, sum((high + low + close) / 3 * volume) / nullif(sum(volume), 0) as price, a.anchor as rn, cast(min(b.date) as varchar) as detail from anchors a join bars b on b.symbol = a.symbol and b.rn >= a.anchor group by a.symbol, a.element, a.anchor)"""
 
 
 @query(f"{PIVOT_SQL}, {AVWAP_SQL} select symbol, element, round(price, 5) as price, rn from l_avwap where price is not null")
@@ -134,59 +146,61 @@ prof as (select y.symbol, k as bucket, any_value(bottom) + k * any_value(width)
 
 @query(f"{FULL_SQL}, {PROFILE_SQL} select symbol, cast(bucket as integer) as bucket, round(low_price, 5) as low_price, round(width, 6) as width, round(volume, 3) as volume from prof")
 def volume_profile(spark, sf_dir):
-    bars = L.context(S.recent(tape.bars(spark, sf_dir)))
+    bars = L.context(S.numbered(tape.bars(spark, sf_dir)))
     return L.volume_profile(bars).select("symbol", "bucket", r6("low_price", "low_price", 5), r6("width", "width", 6), r6("volume", "volume", 3))
 
 
 HVN_SQL = f"""{PROFILE_SQL}, dense as (select p.*, bucket - row_number() over (partition by symbol order by bucket) as run from prof p join (select symbol, quantile_cont(volume, 0.8) as edge from prof group by symbol) e using (symbol) where volume >= edge and volume > 0),
-l_hvn as (select symbol, 'hvn' as element, (min(low_price) + max(low_price + width)) / 2 as price, min(bucket) as rn from dense group by symbol, run)"""
+l_hvn as (select symbol, 'hvn' as element, (min(low_price) + max(low_price + width)) / 2 as price, min(bucket) as rn, min(bucket) || '-' || max(bucket) as detail from dense group by symbol, run)"""
 
 
 @query(f"{FULL_SQL}, {HVN_SQL} select symbol, element, round(price, 5) as price, rn from l_hvn")
 def levels_hvn(spark, sf_dir):
-    bars = L.context(S.recent(tape.bars(spark, sf_dir)))
+    bars = L.context(S.numbered(tape.bars(spark, sf_dir)))
     return shown(L.volume_nodes(L.volume_profile(bars)))
 
 
-GAP_SQL = """l_gap as (select d.symbol, 'gap_unfilled' as element, (p.high + d.low) / 2 as price, d.rn from full_bars d join full_bars p on p.symbol = d.symbol and p.rn = d.rn - 1
-  where d.rn > d.top - 252 and d.low > p.high and not exists (select 1 from bars f where f.symbol = d.symbol and f.rn > d.rn and f.low <= p.high))"""
+GAP_SQL = """l_gap as (select d.symbol, 'gap_unfilled' as element, (p.high + d.low) / 2 as price, d.rn, cast(d.date as varchar) as detail from full_bars d join full_bars p on p.symbol = d.symbol and p.rn = d.rn - 1
+  where p.rn > d.top - 252 and d.low > p.high and not exists (select 1 from bars f where f.symbol = d.symbol and f.rn > d.rn and f.low <= p.high))"""
 
 
 @query(f"{FULL_SQL}, {GAP_SQL} select symbol, element, round(price, 5) as price, rn from l_gap")
 def levels_gap(spark, sf_dir):
-    return shown(L.gaps(L.context(S.recent(tape.bars(spark, sf_dir)))))
+    return shown(L.gaps(L.context(S.numbered(tape.bars(spark, sf_dir)))))
 
 
 DIVERGENCE_SQL = """div_two as (select p.symbol, p.rn, p.price, b.rsi, b.macd_hist, row_number() over (partition by p.symbol order by p.rn desc) as back from pivots p join full_bars b using (symbol, rn) where kind = 'low' and p.rn > b.top - 60),
-l_div as (select b.symbol, 'divergence' as element, b.price, b.rn from div_two b join div_two a on a.symbol = b.symbol and a.back = 2 where b.back = 1 and b.price < a.price and (b.rsi > a.rsi or b.macd_hist > a.macd_hist))"""
+l_div as (select b.symbol, 'divergence' as element, b.price, b.rn, case when b.rsi > a.rsi and b.macd_hist > a.macd_hist then 'both' when b.rsi > a.rsi then 'rsi' else 'macd' end as detail from div_two b join div_two a on a.symbol = b.symbol and a.back = 2 where b.back = 1 and b.price < a.price and (b.rsi > a.rsi or b.macd_hist > a.macd_hist))"""
 
 
 @query(f"{PIVOT_SQL}, {DIVERGENCE_SQL} select symbol, element, round(price, 5) as price, rn from l_div")
 def levels_divergence(spark, sf_dir):
     bars, _, found = inputs(spark, sf_dir)
-    return shown(L.divergences(found, bars))
+    return shown(L.divergences(found))
 
 
 ALL_SQL = f"""{PIVOT_SQL}, {MA_SQL}, {POLARITY_SQL}, {FIB_SQL}, {AVWAP_SQL}, {HVN_SQL}, {GAP_SQL}, {DIVERGENCE_SQL},
 levels as (select l.*, case when l.price < s.spot then 'support' else 'resistance' end as side from (
-  select symbol, element, price, rn from l_ma union all select * from l_polarity union all select * from l_fib union all select * from l_avwap where price is not null
+  select symbol, element, price, rn, detail from l_ma union all select * from l_polarity union all select * from l_fib union all select symbol, element, price, rn, detail from l_avwap where price is not null
   union all select * from l_hvn union all select * from l_gap union all select * from l_div) l join spots s using (symbol))"""
 
 
-def levels_of(spark, sf_dir):
-    bars, weeks, found = inputs(spark, sf_dir)
-    return L.all_levels(bars, weeks, found, earnings(spark, sf_dir)), S.last_rows(bars).select("symbol", "spot", "atr", "date")
+def levels_of(spark, sf_dir, today=None):
+    bars, weeks, found = inputs(spark, sf_dir, today)
+    return L.all_levels(bars, weeks, found, earnings(spark, sf_dir, today))
 
 
-@query(f"{ALL_SQL} select symbol, element, round(price, 5) as price, rn, side from levels")
+@query(f"{ALL_SQL} select symbol, element, round(price, 5) as price, rn, side, detail from levels")
 def levels_all(spark, sf_dir):
-    out, _ = levels_of(spark, sf_dir)
-    return out.select("symbol", "element", r6("price", "price", 5), "rn", "side")
+    return levels_of(spark, sf_dir).select("symbol", "element", r6("price", "price", 5), "rn", "side", "detail")
 
 
-def zones_of(spark, sf_dir):
-    levels, spots = levels_of(spark, sf_dir)
-    return Z.zones(Z.clustered(levels, spots.select("symbol", "spot", "atr"))), spots
+def zones_of(spark, sf_dir, today=None):
+    """Zones as of a day, held with the inputs: the classification and reports read them several times."""
+    inputs(spark, sf_dir, today)
+    if "zones" not in _HELD:
+        _HELD["zones"] = (Z.zones(Z.clustered(levels_of(spark, sf_dir, today))),)
+    return _HELD["zones"][0].persist()
 
 
 _weights = "case element " + " ".join(f"when '{k}' then {v}" for k, v in C.WEIGHTS.items()) + " else 0.0 end"
@@ -196,8 +210,9 @@ sup as (select l.*, s.spot, s.atr, cast({_weights} as double) as w, case when el
 clus as (select *, sum(case when step > least(0.4 * atr, 0.01 * spot) then 1 else 0 end) over (partition by symbol order by price, element, rn rows unbounded preceding) as cluster from sup),
 zcat as (select symbol, cluster, cat, max(w) as best from clus group by all),
 zsum as (select symbol, cluster, any_value(spot) as spot, min(price) as low, max(price) as high, sum(case when w >= 2.5 then 1 else 0 end) as n_heavy,
-    bool_or(element like 'avwap%' or element like 'hvn%' or element like 'divergence%') as dynamic, count(*) as n_elements, string_agg(element, ',' order by price, element) as elements from clus group by symbol, cluster),
-zraw as (select z.*, (low + high) / 2 as center, low * 0.999 as lower, high * 1.001 as upper, (select sum(best) from zcat c where c.symbol = z.symbol and c.cluster = z.cluster) as raw,
+    bool_or(element like 'avwap%' or element like 'hvn%' or element like 'divergence%') as dynamic, count(*) as n_elements, string_agg(element, ',' order by price, element, detail) as elements,
+    coalesce(string_agg(case when element = 'divergence' then detail end, '|' order by price, element, detail), '') as signals from clus group by symbol, cluster),
+zraw as (select z.*, (low + high) / 2 as center, low - 0.001 * (low + high) / 2 as lower, high + 0.001 * (low + high) / 2 as upper, (select sum(best) from zcat c where c.symbol = z.symbol and c.cluster = z.cluster) as raw,
     (select count(*) from zcat c where c.symbol = z.symbol and c.cluster = z.cluster) as n_categories from zsum z),
 zden as (select *, (upper - lower) / center as width_pct, (spot - upper) / spot as distance, raw * case when n_heavy <= 0 then 1.0 else greatest(0.85, least(1.5, 1 + (n_heavy / greatest((upper - lower) / center, 0.005) - 100.0) * 0.005)) end as score from zraw where (high - low) / center <= 0.04),
 zval as (select *, concat_ws(' | ', case when score < 5 then 'score below minimum' end, case when not dynamic then 'no dynamic confirmer' end, case when distance < 0 or distance > 0.10 then 'distance out of range' end,
@@ -206,21 +221,21 @@ zval as (select *, concat_ws(' | ', case when score < 5 then 'score below minimu
 zones as (select *, rejection_reason = '' as is_valid, row_number() over (partition by symbol order by rejection_reason = '' desc, round(score, 9) desc, round(distance, 9), n_categories desc, cluster) - 1 as zone_id from zval)"""
 
 
-@query(f"{ZONE_SQL} select symbol, zone_id, round(lower, 5) as lower, round(upper, 5) as upper, round(center, 5) as center, round(distance, 6) as distance, cast(n_elements as bigint) as n_elements, elements from zones")
+@query(f"{ZONE_SQL} select symbol, zone_id, round(lower, 5) as lower, round(upper, 5) as upper, round(center, 5) as center, round(distance, 6) as distance, cast(n_elements as bigint) as n_elements, elements, signals from zones")
 def zones(spark, sf_dir):
-    z, _ = zones_of(spark, sf_dir)
-    return z.select("symbol", F.col("zone_id").cast("long").alias("zone_id"), r6("lower", "lower", 5), r6("upper", "upper", 5), r6("center", "center", 5), r6("distance", "distance"), F.col("n_elements").cast("long").alias("n_elements"), F.array_join("elements", ",").alias("elements"))
+    z = zones_of(spark, sf_dir)
+    return z.select("symbol", F.col("zone_id").cast("long").alias("zone_id"), r6("lower", "lower", 5), r6("upper", "upper", 5), r6("center", "center", 5), r6("distance", "distance"), F.col("n_elements").cast("long").alias("n_elements"), F.array_join("elements", ",").alias("elements"), F.array_join("signals", "|").alias("signals"))
 
 
 @query(f"{ZONE_SQL} select symbol, zone_id, round(score, 5) as score, tier, cast(n_heavy as bigint) as n_heavy, n_categories, round(width_pct, 6) as width_pct, round(score / nullif(raw, 0), 6) as density from zones")
 def zone_score(spark, sf_dir):
-    z, _ = zones_of(spark, sf_dir)
+    z = zones_of(spark, sf_dir)
     return z.select("symbol", F.col("zone_id").cast("long").alias("zone_id"), r6("score", "score", 5), "tier", F.col("n_heavy").cast("long").alias("n_heavy"), "n_categories", r6("width_pct", "width_pct"), r6(F.try_divide("score", F.nullif(F.col("raw"), F.lit(0.0))), "density"))
 
 
 @query(f"{ZONE_SQL} select symbol, zone_id, is_valid, rejection_reason, is_valid and zone_id = 0 as is_best from zones")
 def zone_validity(spark, sf_dir):
-    z, _ = zones_of(spark, sf_dir)
+    z = zones_of(spark, sf_dir)
     return z.select("symbol", F.col("zone_id").cast("long").alias("zone_id"), "is_valid", "rejection_reason", "is_best")
 
 
@@ -228,8 +243,7 @@ def zone_validity(spark, sf_dir):
 select symbol, is_valid, round(score, 5) as score, grid, floor(greatest(upper, spot - atr) / grid + 0.5) * grid as strike_aggressive, floor(center / grid + 0.5) * grid as strike_natural, floor((lower - atr) / grid + 0.5) * grid as strike_conservative from g""")
 def best_zone_strikes(spark, sf_dir):
     """Strikes of each symbol's first zone."""
-    z, spots = zones_of(spark, sf_dir)
-    first = z.filter("zone_id = 0").join(spots.select("symbol", "atr"), "symbol")
+    first = zones_of(spark, sf_dir).filter("zone_id = 0")
     made = K.strikes(*[F.col(c) for c in ("lower", "upper", "center", "spot", "atr")], F.lit("USD"))
     return first.select("symbol", "is_valid", r6("score", "score", 5), K.grid(F.col("spot"), F.lit("USD")).alias("grid"), *[c.alias(n) for n, c in made.items()])
 

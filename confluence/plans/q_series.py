@@ -18,11 +18,11 @@ def r6(c, name, digits=6):
 
 
 def bars_of(spark, sf_dir):
-    return S.recent(tape.bars(spark, sf_dir))
+    return S.numbered(tape.bars(spark, sf_dir))
 
 
 def weeks_of(spark, sf_dir):
-    return S.recent(S.weekly(tape.bars(spark, sf_dir)))
+    return S.numbered(S.weekly(tape.bars(spark, sf_dir)))
 
 
 def ewm_sql(name: str, source: str, x: str, alpha: str) -> str:
@@ -156,8 +156,8 @@ def last_bar(spark, sf_dir):
 @query(f"{WITH}, {RSI_SQL('bars', 'd')}, {RSI_SQL('weeks', 'w')} select d.symbol, round(d.rsi, 5) as rsi_daily, round(d.old, 5) as rsi_daily_3_ago, round(w.rsi, 5) as rsi_weekly, round(w.old, 5) as rsi_weekly_2_ago from (select symbol, rn, rsi, lag(rsi, 3) over (partition by symbol order by rn) as old from drsi qualify row_number() over (partition by symbol order by rn desc) = 1) d join (select symbol, rn, rsi, lag(rsi, 2) over (partition by symbol order by rn) as old from wrsi qualify row_number() over (partition by symbol order by rn desc) = 1) w on w.symbol = d.symbol")
 def lag_n_values(spark, sf_dir):
     bars = tape.bars(spark, sf_dir)
-    daily = S.with_rsi(S.recent(bars), name="rsi_daily").withColumn("rsi_daily_3_ago", F.lag("rsi_daily", C.RSI_DAILY_LOOKBACK).over(S.by()))
-    week = S.with_rsi(S.recent(S.weekly(bars)), name="rsi_weekly").withColumn("rsi_weekly_2_ago", F.lag("rsi_weekly", C.RSI_WEEKLY_LOOKBACK).over(S.by()))
+    daily = S.with_rsi(S.numbered(bars), name="rsi_daily").withColumn("rsi_daily_3_ago", F.lag("rsi_daily", C.RSI_DAILY_LOOKBACK).over(S.by()))
+    week = S.with_rsi(S.numbered(S.weekly(bars)), name="rsi_weekly").withColumn("rsi_weekly_2_ago", F.lag("rsi_weekly", C.RSI_WEEKLY_LOOKBACK).over(S.by()))
     a = S.last_rows(daily).select("symbol", r6("rsi_daily", "rsi_daily", 5), r6("rsi_daily_3_ago", "rsi_daily_3_ago", 5))
     return a.join(S.last_rows(week).select("symbol", r6("rsi_weekly", "rsi_weekly", 5), r6("rsi_weekly_2_ago", "rsi_weekly_2_ago", 5)), "symbol")
 
@@ -174,8 +174,8 @@ select symbol, date, close, round(sma_50d, 8) as sma_50d, round(sma_200d, 8) as
 def sma_series_chart(spark, sf_dir):
     """The chart's payload: averages over the full history, weekly ones carried forward, cut to six months last."""
     bars = tape.bars(spark, sf_dir)
-    daily = S.recent(bars).select("symbol", "date", "close", S.sma(F.col("close"), 50).alias("sma_50d"), S.sma(F.col("close"), 200).alias("sma_200d"))
-    week = S.recent(S.weekly(bars)).select("symbol", "date", S.sma(F.col("close"), 50).alias("sma_50w"))
+    daily = S.numbered(bars).select("symbol", "date", "close", S.sma(F.col("close"), 50).alias("sma_50d"), S.sma(F.col("close"), 200).alias("sma_200d"))
+    week = S.numbered(S.weekly(bars)).select("symbol", "date", S.sma(F.col("close"), 50).alias("sma_50w"))
     both = daily.unionByName(week.filter("sma_50w is not null"), allowMissingColumns=True)
     # a week's label is its Friday, so it counts from that day on
     order = W.partitionBy("symbol").orderBy("date", F.col("close").isNotNull()).rowsBetween(W.unboundedPreceding, 0)

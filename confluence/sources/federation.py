@@ -9,14 +9,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-READERS: dict[str, Callable[..., DataFrame]] = {}
+from confluence.config import REFRESH_BARS
+from confluence.sources.projections import SOURCES
+
+#: (source, entity) -> a function that gives a DataFrame.
+READERS: dict[tuple[str, str], Callable[..., DataFrame]] = {}
 BARS = "Date date, Open double, High double, Low double, Close double, Volume double"
 MACRO_KINDS = ("fomc", "cpi", "ppi", "nfp", "gdp", "other")
 
 
-def register_reader(name: str, reader: Callable[..., DataFrame]) -> None:
-    """Adds a source: a function that gives a DataFrame."""
-    READERS[name] = reader
+class SourceError(Exception):
+    """A source has failed or has nothing to give."""
+
+
+def register_reader(source: str, entity: str, reader: Callable[..., DataFrame]) -> None:
+    """Adds what a source knows of an entity."""
+    READERS[source, entity] = reader
+
+
+def supports(source: str, entity: str) -> bool:
+    return (source, entity) in READERS
+
+
+def read(entity: str, keys: list[str], order: dict[str, tuple[str, ...]] = SOURCES, *args) -> DataFrame:
+    """Rows of an entity: for each key from the first source in ``order`` that knows it; a source that fails is passed over.
+
+    SourceError where no source is left.
+    """
+    found = {}
+    for source in order[entity]:
+        if supports(source, entity):
+            try:
+                found[source] = READERS[source, entity](*args)
+            except SourceError:
+                continue
+    if not found:
+        raise SourceError(f"no source for {entity}")
+    return resolved(found, keys)
+
+
+def refreshed(cached: DataFrame, fetch: Callable[[], DataFrame], keys: list[str], date: str = "date", bars: int = REFRESH_BARS) -> DataFrame:
+    """``cached`` with the newest bars of each symbol fetched again; if the source fails, what is cached stands."""
+    try:
+        fresh = fetch()
+    except SourceError:
+        return cached
+    newest = W.partitionBy(*[k for k in keys if k != date]).orderBy(F.desc(date))
+    return merged(cached, fresh.withColumn("_back", F.row_number().over(newest)).filter(F.col("_back") <= bars).drop("_back"), keys)
+
+
+def write_cache(df: DataFrame, path: str, enabled: bool = True) -> bool:
+    """Writes a cache's rows; nothing where caching is off."""
+    if enabled:
+        df.write.mode("overwrite").parquet(path)
+    return enabled
 
 
 def resolved(sources: dict[str, DataFrame], keys: list[str]) -> DataFrame:
@@ -47,8 +93,13 @@ def fresh_files(spark: SparkSession, path: str, kind: str, hours: float, now: da
 
 
 def price_csv(spark: SparkSession, path: str) -> DataFrame:
-    """date, open, high, low, close, volume from CSV files with a header; lines without a date are dropped."""
+    """date, open, high, low, close, volume from CSV files with a header; lines without a date are dropped.
+
+    A source that has nothing answers with a line without a date: SourceError.
+    """
     df = spark.read.csv(path, header=True, schema=BARS, mode="PERMISSIVE", enforceSchema=True)
+    if df.filter("Date is not null").isEmpty():
+        raise SourceError(f"no data in {path}")
     return df.filter("Date is not null").select(*[F.col(c).alias(c.lower()) for c in df.columns])
 
 
@@ -60,3 +111,12 @@ def macro_calendar(spark: SparkSession, rows: list[dict]) -> DataFrame:
             raise ValueError(f"unknown kind: {row.get('kind')!r}")
         out.append((datetime.date.fromisoformat(str(row["date"])), row["kind"], row.get("description", "")))
     return spark.createDataFrame(out, "date date, kind string, description string")
+
+
+def macro_file(spark: SparkSession, path: str) -> DataFrame:
+    """date, kind, description of a calendar's JSON file; an unknown kind or a bad date raises ValueError."""
+    df = spark.read.schema("date date, kind string, description string").json(path, multiLine=True)
+    odd = df.filter(F.col("date").isNull() | ~F.coalesce(F.col("kind").isin(*MACRO_KINDS), F.lit(False))).first()
+    if odd is not None:
+        raise ValueError(f"bad entry: {odd.asDict()}")
+    return df.withColumn("description", F.coalesce("description", F.lit("")))
