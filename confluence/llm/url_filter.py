@@ -3,12 +3,16 @@
 Glob rules become one bit vector: a start state and a state for each literal.  In a pattern
 ``*`` is any run without ``/``, ``**`` any run, ``?`` one byte.  For a byte c all patterns
 step at once, D = ((D << 1) & B[c]) | (D & L[c]), over as many 64-bit words as the rules need,
-and over a batch of URLs side by side.  The canonical URL is the lower-cased host followed by
-the path, without scheme, query and fragment.
+and over a batch of URLs side by side.
+
+Site rules look at host and path as they stand.  The globs of unwanted pages look at the canonical URL: the
+lower-cased host without user information, default port and final dot, then the path with escapes of plain
+signs undone, empty and dot segments resolved and A-Z lower-cased; no scheme, query or fragment.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,7 +46,28 @@ RULES = (
 UNWANTED = (
     "**adult-**", "**casino**", "**cheap-pills**", "**free-bets**", "**payday-loan**", "**porn**",
     "**replica-watch**", "**sports-bet**", "**viagra**", "**xxx**",
+    # hosts of one numbered server, a login page anywhere, doors with a one-letter name, and feeds right below a tag
+    "ads?.*/**", "**/wp-login.php", "**/doorway-?/*", "**/tag/*/feed",
 )
+PLAIN = "-._~0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOWER = str.maketrans(UPPER, UPPER.lower())
+
+
+def canonical(host: str, path: str) -> str:
+    """The canonical URL of a lower-cased host and a path."""
+    host = re.sub(r":(?:80|443)?$", "", host.rpartition("@")[2]).rstrip(".")
+    path = re.sub("%([0-9A-Fa-f]{2})", lambda m: c if (c := chr(int(m[1], 16))) in PLAIN else m[0], path)
+    kept: list[str] = []
+    parts = re.sub("/+", "/", path).split("/")
+    for part in parts[1:]:
+        if part == "..":
+            del kept[-1:]
+        elif part != ".":
+            kept.append(part)
+    if len(parts) > 1 and parts[-1] in (".", ".."):
+        kept.append("")
+    return host + "".join(f"/{part}" for part in kept).translate(LOWER)
 
 
 class Automaton:
@@ -113,24 +138,25 @@ def judged(pages: DataFrame, rules=RULES, unwanted=UNWANTED, page_id: str = "pag
 
     The longest rule that fits decides; without one a page is blocked if a glob of ``unwanted``
     matches its canonical URL, and allowed otherwise.  A null URL or one without ``://`` has an empty
-    host and path, no rule, and is allowed.  Repeated rows and null ids are judged like others.
+    host and path, no rule, and is allowed.  Repeated rows and null ids are judged like others, very long URLs whole; an
+    empty table gives an empty result; other columns are ignored, also ones named like those of the result.
     """
     rules = sorted(rules, key=lambda r: (len(r.name), r.name))
-    machine = Automaton([g for r in rules for g in r.globs] + list(unwanted))
+    sites, pages_of = Automaton([g for r in rules for g in r.globs]), Automaton(list(unwanted))
     rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring({url}, instr({url}, '://') + 3)")).otherwise(F.lit(""))
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     parts = pages.select(F.col(page_id).alias("page_id"), rest.alias("rest")).select(
         "page_id",
-        F.translate(F.regexp_extract("rest", "^[^/?#]*", 0), upper, upper.lower()).alias("host"),
+        F.translate(F.regexp_extract("rest", "^[^/?#]*", 0), UPPER, UPPER.lower()).alias("host"),
         F.regexp_extract("rest", "^[^/?#]*([^?#]*)", 1).alias("path"),
     )
     kind = pages.schema[page_id].dataType.simpleString()
 
     def run(source):
         for batch in batches(source):
-            whole = pa.array([h + p for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())], pa.large_string())
-            hit = machine.matches(whole)
-            rule, verdict = [None] * batch.num_rows, np.where(hit[:, 2 * len(rules) :].any(axis=1), "block", "allow").tolist()
+            named = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            hit = sites.matches(pa.array([h + p for h, p in named], pa.large_string()))
+            bad = pages_of.matches(pa.array([canonical(h, p) for h, p in named], pa.large_string()))
+            rule, verdict = [None] * batch.num_rows, np.where(bad.any(axis=1), "block", "allow").tolist()
             for i, r in enumerate(rules):
                 for row in np.flatnonzero(hit[:, 2 * i] | hit[:, 2 * i + 1]):
                     rule[row], verdict[row] = r.name, r.verdict
@@ -140,18 +166,31 @@ def judged(pages: DataFrame, rules=RULES, unwanted=UNWANTED, page_id: str = "pag
 
 
 def sql(rules=RULES, unwanted=UNWANTED) -> str:
-    """The same judgement over ``pages`` in DuckDB's SQL."""
+    """The same judgement over ``pages`` in DuckDB's SQL (which resolves up to eight dot segments of a URL)."""
     longest = sorted(rules, key=lambda r: (-len(r.name), r.name))
 
     def fits(r: Rule) -> str:
         host, path = r.name.split("/", 1)
         return f"(host = '{host}' or host like '%.{host}') and path like '/{path}%'"
 
-    any_of = " or ".join("host || path like '%{}%'".format(g.strip("*")) for g in unwanted)
+    def regex(glob: str) -> str:
+        signs = {"**": ".*", "*": "[^/]*", "?": "."}
+        return "".join(signs[x] if x in signs else re.escape(x) for x in re.findall(r"\*\*|.", glob))
+
+    plain = "path"
+    for c in PLAIN:
+        for code in sorted({f"%{ord(c):02X}", f"%{ord(c):02x}"}):
+            plain = f"replace({plain}, '{code}', '{c}')"
+    clean = "regexp_replace(plain, '/+', '/', 'g')"
+    for _ in range(8):
+        clean = f"regexp_replace(regexp_replace({clean}, '/[.](/|$)', '/'), '(/[^/]+)?/[.][.](/|$)', '/')"
+    any_of = " or ".join(f"regexp_full_match(url, '{regex(g)}', 's')" for g in unwanted)
     return f"""
 with rest as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 parts as (select page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from rest),
-ruled as (select *, case {' '.join(f"when {fits(r)} then '{r.name}'" for r in longest)} end as rule from parts)
+plains as (select *, {plain} as plain from parts),
+canon as (select *, rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':(80|443)?$', ''), '.') || translate({clean}, '{UPPER}', '{UPPER.lower()}') as url from plains),
+ruled as (select *, case {' '.join(f"when {fits(r)} then '{r.name}'" for r in longest)} end as rule from canon)
 select page_id, host, path, rule, case {' '.join(f"when rule = '{r.name}' then '{r.verdict}'" for r in longest)}
   when {any_of} then 'block' else 'allow' end as verdict from ruled"""

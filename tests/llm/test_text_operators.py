@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -100,6 +101,25 @@ def test_url_rules(spark):
     assert [(r.rule, r.verdict) for r in url_filter.judged(df).orderBy("page_id").collect()] == [r[1:] for r in rows]
 
 
+def test_canonical_urls_meet_the_globs(spark):
+    """User information, default ports, escapes, empty and dot segments hide nothing; the contract's host and path stay as they are."""
+    assert url_filter.canonical("u:p@www.a.net.:443", "//x/./%41b%2Dc/../%2e%2e/D/..") == "www.a.net/"
+    assert url_filter.canonical("a.net:8080", "/%2541/a%2Fb") == "a.net:8080/%2541/a%2fb" and url_filter.canonical("a.net", "") == "a.net"
+    rows = [
+        ("http://me@ads1.a.net:80/x", "block"), ("http://ads12.a.net/x", "allow"), ("http://b.net/%77p-login.php", "block"), ("http://b.net/q/../wp-login.php?a=1", "block"), ("http://b.net/wp-login.php/x", "allow"),
+        ("http://b.net//doorway-a/./page", "block"), ("http://b.net/doorway-ab/page", "allow"), ("http://b.net/tag/one/feed", "block"), ("http://b.net/tag/one/two/feed", "allow"), ("http://b.net/C%41SINO", "block"), ("http://b.net/" + "x" * 20_000 + "casino", "block"),
+    ]
+    df = spark.createDataFrame([(i, u, "clash") for i, (u, _) in enumerate(rows)], "page_id long, url string, host string")
+    got = url_filter.judged(df).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in got] == [(None, v) for _, v in rows] and got[0].host == "me@ads1.a.net:80"
+    duck = duckdb.connect()
+    duck.execute("create table pages (page_id bigint, url varchar)")
+    duck.executemany("insert into pages values (?, ?)", [(i, u) for i, (u, _) in enumerate(rows)])
+    told = duck.execute(url_filter.sql() + " order by page_id").fetchall()
+    assert [tuple(r) for r in told] == [tuple(r) for r in got]
+    assert url_filter.judged(df.limit(0)).count() == 0
+
+
 def test_bpe_follows_the_public_encoder():
     own = bpe.Codec()
     public = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
