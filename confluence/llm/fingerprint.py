@@ -10,6 +10,7 @@ that agree by chance.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from confluence.llm.words import Words, batches, mix
 
 BINS, BITS, SHINGLE = 512, 4, 5
+_REST = np.uint64(64 - (BINS - 1).bit_length())  # bits of a hash that don't choose its bin; BINS is a power of two
 _DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
 _PROBES = (mix(np.arange(1, 2048 * BINS + 1, dtype=np.uint64)) % np.uint64(BINS)).astype(np.int64).reshape(2048, BINS)
 
@@ -30,7 +32,7 @@ def codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = len(texts)
     values = mix(values)
     least = np.full(n * BINS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    np.minimum.at(least, doc * BINS + (values >> np.uint64(55)).astype(np.int64), values & np.uint64((1 << 55) - 1))
+    np.minimum.at(least, doc * BINS + (values >> _REST).astype(np.int64), values & np.uint64((1 << int(_REST)) - 1))
     least = least.reshape(n, BINS)
     held = least != np.uint64(0xFFFFFFFFFFFFFFFF)
     filled = held.any(axis=1)
@@ -92,8 +94,11 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     parts = min(parts, 2000)
     cuts = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if x is not None})
     if cuts:
-        cut = F.array(*[F.lit(x) for x in cuts])
-        docs = docs.withColumn("part", F.size(F.filter(cut, lambda x: x <= F.col("doc_id"))))
+        # the cuts up to an id, in two steps: among every ``step``-th, then within one stretch
+        step = math.isqrt(len(cuts)) + 1
+        cut, coarse = (F.array(*[F.lit(x) for x in some]) for some in (cuts, cuts[step - 1 :: step] or cuts[-1:]))
+        up_to = lambda some: F.size(F.filter(some, lambda x: x <= F.col("doc_id")))
+        docs = docs.withColumn("_at", up_to(coarse) * step).withColumn("part", F.col("_at") + up_to(F.slice(cut, F.col("_at") + 1, F.lit(step)))).drop("_at")
     else:
         docs = docs.withColumn("part", F.lit(0))
     firsts = sorted((r.part, r.least) for r in docs.groupBy("part").agg(F.min("doc_id").alias("least")).collect())  # at most ``parts`` rows
