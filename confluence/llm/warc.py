@@ -164,7 +164,9 @@ def planned(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         .filter("n > 1")
         .drop("n")
     )
-    return named.join(firsts, "digest", "left").withColumn("first", F.when(F.col("size") >= LEAST_REVISIT, F.col("first")))
+    # short payloads, all empty ones among them, have no key and so are no group
+    key = F.when(F.col("size") >= LEAST_REVISIT, F.col("digest"))
+    return named.withColumn("_key", key).join(firsts.withColumnRenamed("digest", "_key"), "_key", "left").drop("_key")
 
 
 def archives(pages: DataFrame, **names: str) -> DataFrame:
@@ -210,7 +212,7 @@ def records(archived: DataFrame, payloads: bool = True) -> DataFrame:
             for content in batch.column("content"):
                 rows = []
                 held = 0
-                for data in frames(content.as_buffer().to_pybytes()):
+                for data in frames(content.as_buffer()):
                     headers, block = parsed(data)
                     declared, payload = http_payload(block)
                     kind = headers["warc-type"]

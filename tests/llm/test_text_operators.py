@@ -9,6 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from confluence.llm import bpe, fingerprint, packing, repetition, url_filter, warc
@@ -212,6 +213,19 @@ def test_packed_rows(spark):
     assert packing.packed(df.limit(0)).count() == 0
 
 
+def test_warc_files_are_read_as_files(spark, tmp_path):
+    """Archives written as .warc.zst files and read with binaryFile, short and empty payloads and an empty table included."""
+    html = ["<p>" + f"page {i} " * 30 + "</p>" for i in range(40)]
+    pages = spark.createDataFrame([(i, f"http://a.net/{i}", h) for i, h in enumerate([*html, html[3], "", None, "short"])], "page_id long, url string, html string")
+    for r in warc.archives(pages.repartition(3)).collect():
+        (tmp_path / r.archive).write_bytes(r.content)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(str(tmp_path)).select(F.col("path").alias("archive"), "content")
+    got = {r.page_id: r for r in warc.records(files).collect()}
+    assert len(got) == 44 and all(got[i].payload == h.encode() for i, h in enumerate(html)) and got[40].record_type == "revisit" and got[40].refers_to == 3
+    assert {got[i].record_type for i in (41, 42, 43)} == {"response"} and got[42].payload == b""
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
 def test_warc_round_trip_and_refusals(spark):
     long = "x" * 150
     df = spark.createDataFrame([(2, "u\r\n", long), (1, "u", long), (3, None, None), (None, "v", long), (4, "w", "short"), (5, "w", "short")], "page_id long, url string, html string")
