@@ -238,7 +238,12 @@ def coded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row.
+
+    A null text is an empty one: no ids, and the digests of nothing.  Rows with null or repeated ids and repeated
+    rows are coded each; very long texts and pre-tokens are coded whole; an empty table gives an empty result;
+    other columns are ignored.
+    """
     return coded(docs).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -269,6 +270,55 @@ def test_pipeline_keeps_what_each_stage_should(spark, data):
     assert set(packed.doc_id) == ids[4] and packed.groupby("sequence_id").length.sum().max() <= packing.SEQUENCE
 
 
+def test_pipeline_run_against_plain_code(spark, data):
+    """run()'s rows from plain Python: verdicts row by row, groups of near copies by all pairs, ids by the tokenizer file."""
+    import corpus_pipeline as C
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from confluence.llm import repetition
+
+    docs = table(spark, data, "documents")
+    labels = table(spark, data, "labels").filter(C.crc_mod5() != 0)
+    clean = {r.doc_id for r in toxicity.fitted(docs, labels).scored(docs).filter("predicted = 0").collect()}
+    rows = {r.doc_id: r.text for r in docs.collect() if r.doc_id in clean}
+    names = sorted(rows)
+    kept = repetition.counts(pa.array([rows[i] for i in names]))["kept"]
+    names = [i for i, ok in zip(names, kept) if ok]
+    sets = {}
+    for i in names:
+        w = rows[i].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        w = re.findall(r"[^\x20\x09-\x0D]+", w)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in names}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(names):
+        for b in names[:k]:
+            n = len(sets[a] & sets[b])
+            if sets[a] and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    names = [i for i in names if find(i) == i]
+    masked = {r.doc_id: r.text for r in pii.judged(docs.filter(F.col("doc_id").isin(names))).collect()}
+    file = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {}
+    for r in C.run(spark, data).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert sorted(got) == names
+    for i in names:
+        ids = np.array([*file.encode(masked[i], add_special_tokens=False).ids, packing.END], "<u4")
+        for r in got[i]:
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+        assert sum(r.length for r in got[i]) == len(ids)
+
+
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from confluence.llm import bpe, fingerprint, packing, repetition, url_filter, warc
+from confluence.llm import bpe, fingerprint, packing, repetition, toxicity, url_filter, warc
 from confluence.llm.words import Words, distinct
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -132,6 +133,55 @@ def test_bpe_follows_the_public_encoder():
         assert ids == public.encode_ordinary(t) and own.decode(ids) == t.encode()
 
 
+def test_bpe_query_rows(spark):
+    """Ids and bytes by the public encoder; null, empty, very long and repeated texts, null ids, clashing columns, an empty table."""
+    public = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.VOCABULARY), special_tokens={})
+    texts = [None, "", "hello  wörld", "hello  wörld", "a" * 200_000, " " * 50_000 + "x", "漢字 <|endoftext|> 😀"]
+    df = spark.createDataFrame([(None if i == 2 else i % 5, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    plain = [public.encode_ordinary(t) if t and len(t) < 1000 else bpe.Codec().encode(t or "") for t in texts]
+    expected = Counter((None if i == 2 else i % 5, len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode())) for i, (t, ids) in enumerate(zip(texts, plain)))
+    assert Counter(tuple(r) for r in bpe.round_trip(df).collect()) == expected
+    apart = bpe.decoded(bpe.encoded(df)).collect()
+    assert Counter(bytes(r.data) for r in apart) == Counter((t or "").encode() for t in texts)
+    assert bpe.round_trip(df.limit(0)).count() == 0
+
+
+def test_quality_rows_as_a_frame(spark):
+    """Null ids and texts, clashing columns, an empty table, and words that break polynomial hashes."""
+    odd = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    twin = odd.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, f"{odd} x y z q {twin} x y z q", 3)], "doc_id long, text string, n_words int")
+    got = repetition.measured(df).collect()
+    assert sorted((r.doc_id is None, r.n_words, r.n_repeat_words) for r in got) == [(False, 0, 0), (False, 10, 0), (True, 0, 0)]
+    assert repetition.measured(df.limit(0)).count() == 0
+    runs = [odd[i] for i in range(1024)]
+    flipped = [twin[i] for i in range(1024)]
+    measure = repetition.counts(pa.array([" ".join(runs + ["#"] + flipped)]))
+    best = 0
+    for shift in range(1, 2049):  # the longest common run of the text with itself moved on
+        word, length = runs + ["#"] + flipped, 0
+        for a, b in zip(word, word[shift:]):
+            length = length + 1 if a == b else 0
+            best = max(best, length)
+    assert measure["longest_repeat"][0] == best
+
+
+def test_toxicity_features_follow_plain_counts():
+    """Dense features of single texts against counting by hand."""
+    learnt = strong = np.zeros(0, np.uint64)
+    at = {n: i for i, n in enumerate(toxicity.FEATURES)}
+    rows = ["", "you are an idiot!", "one two three four five six idiot you", "idiot a b c d e f you", "WHAT is THIS? stupid stupid", "clean words only here"]
+    got = toxicity.features(pa.array(rows), learnt, strong)
+    insults = [sum(w.strip("!?.").lower() in toxicity.LEXICON for w in t.split()) for t in rows]
+    assert len(got) == len(rows) and np.isfinite(got).all()
+    order = lambda name: np.argsort(got[:, at[name]], kind="stable")
+    assert (got[:, at["insults"]] > 0).tolist() == [n > 0 for n in insults] and order("insults")[-1] == 4
+    assert (got[:, at["near_second_person"]] > 0).tolist() == [False, True, True, False, False, False]
+    assert (got[:, at["exclamations"]] > 0).tolist() == ["!" in t for t in rows] and (got[:, at["questions"]] > 0).tolist() == ["?" in t for t in rows]
+    assert (got[:, at["upper_words"]] > 0).tolist() == [any(w.strip("?").isupper() and len(w) > 1 for w in t.split()) for t in rows]
+
+
 def test_packing_ids_are_those_of_the_tokenizer_file():
     file = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for t in ["", "hello world\n", "é漢 😀  x", "don't  stop"]:
