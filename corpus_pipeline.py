@@ -1,8 +1,10 @@
 """A corpus from ``documents`` to packed sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
-return the columns of ``documents``.  Every row is judged by itself: rows with null ids or with ids that
-other rows have too are neither dropped nor kept for the sake of those.
+return the columns of ``documents``, in their order.  Every row is judged by itself: rows with null ids or
+with ids that other rows have too are neither dropped nor kept for the sake of those.  Nulls in lang, source or
+n_chars pass through all stages; an empty table gives an empty result of the same columns; very long texts are
+read whole.  Further columns of the input are carried along, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -17,13 +19,15 @@ SHINGLE, PERCENT = 5, 80
 
 
 def drop_toxic(spark, docs, sf_dir):
-    """Rows whose text the toxicity model predicts toxic go, and no others."""
+    """Rows whose text the toxicity model predicts toxic go, and no others; null and empty texts are scored as texts
+    without words.  Repeated rows go or stay together, as their texts are equal."""
     labels = table(spark, sf_dir, "labels").filter(crc_mod5() != 0)
     return toxicity.fitted(docs, labels).passing(docs)
 
 
 def drop_low_quality(spark, docs, sf_dir):
-    """Rows whose text fails the quality rules go, and no others."""
+    """Rows whose text fails the quality rules go, and no others: null and empty texts have too few words and go.
+    Repeated rows go or stay together."""
     return repetition.passing(docs)
 
 
@@ -47,12 +51,14 @@ def drop_near_duplicates(spark, docs, sf_dir):
 
 
 def replace_personal_data(spark, docs, sf_dir):
-    """Personal data becomes pseudonyms; n_chars follows the text."""
+    """Personal data becomes pseudonyms; n_chars follows the text (null for null texts).  All rows stay; equal values get
+    equal pseudonyms in all of them."""
     return pii.pseudonymised(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def pack(spark, docs, sf_dir):
-    """Pieces of the documents, placed in sequences."""
+    """Pieces of the documents, placed in sequences; null and empty texts are one piece of one id.  Repeated rows and
+    rows with null ids are packed each."""
     return packing.packed(docs)
 
 
