@@ -508,16 +508,17 @@ def prefix_tokens(own: DataFrame, k: int, percent: int) -> DataFrame:
 def candidate_pairs(tokens: DataFrame, own: DataFrame, labels: DataFrame, percent: int, most: int | None = None) -> DataFrame:
     """Pairs (a, b) of different components that share a token and that sizes and bitmaps leave.
 
-    ``labels``: (id, component).  With ``most`` a row brings so many pairs of a block only: enough to join
-    what is alike before all pairs are asked for.
+    ``labels``: (id, component).  A token that many sets hold is dealt into parts, and each two of them are a block.
+    With ``most`` each part is a block of its own, other parts for other tokens, and a row brings so many pairs
+    only: no row is sent twice, and what is alike gets joined before all pairs are asked for.
     """
     placed = tokens.join(labels, "id")
     several = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held")).filter("lo <> hi")
     mixed = (
         placed.join(several.select("token", "held"), "token")
         .withColumn("parts", F.ceil(F.col("held") / BLOCK).cast("int"))
-        .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("part", F.pmod(F.xxhash64("id", "token"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if most is None else F.col("part"))
         .select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "component")
     )
     mixed = mixed.join(own.select("id", "n", "bits"), "id")
