@@ -26,6 +26,12 @@ def macro_banner(macro: DataFrame, today: Column) -> DataFrame:
     return macro_window(macro, today).select("date", "days_until", F.upper("kind").alias("kind"), F.coalesce(F.try_element_at(table, F.col("kind")), F.lit("—")).alias("jurisdiction"), "description").orderBy("date", "kind")
 
 
+def as_json(macro: DataFrame) -> Column:
+    """An aggregate: releases as a JSON list, by date and kind."""
+    item = F.struct(macro["date"], macro["kind"], macro["description"])
+    return F.to_json(F.array_sort(F.collect_list(item)))
+
+
 def binary_events(candidates: DataFrame, earnings: DataFrame, dividends: DataFrame, macro: DataFrame, today: Column) -> DataFrame:
     """One row per candidate: next earnings and ex-dividend days, whether they are near, macro releases near, flags.
 

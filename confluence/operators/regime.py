@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,6 +100,20 @@ def classified(facts: DataFrame) -> DataFrame:
     return df.select("symbol", "regime", F.array_join("triggers", "|").alias("triggers"), "primary_trigger", _mapped(LEGACY, F.col("primary_trigger")).alias("legacy"), label().alias("label"))
 
 
+def trigger_facts(regimes: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """symbol, trigger, fact, value: the numbers behind each trigger whose regime fits.
+
+    ``found``: frames of symbol, trigger and numeric columns.
+    """
+    parts = []
+    for df in found:
+        facts = [F.struct(F.lit(c).alias("fact"), F.col(c).cast("double").alias("value")) for c in df.columns if c not in ("symbol", "trigger")]
+        parts.append(df.select("symbol", "trigger", F.inline(F.array(*facts))))
+    fits = F.create_map(*[x for name, _, fit in C.TRIGGERS for x in (F.lit(name), F.array(*[F.lit(r) for r in fit]))])
+    every = reduce(DataFrame.unionByName, parts).join(regimes, "symbol")
+    return every.filter(F.array_contains(F.element_at(fits, F.col("trigger")), F.col("regime"))).select("symbol", "trigger", "fact", "value")
+
+
 def _mapped(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 

@@ -159,6 +159,28 @@ def double_bottom_as_of(spark, sf_dir):
     return D.double_bottom(bars, found).select("symbol", long("l1_rn"), long("l2_rn"), "l1", "l2", "neckline", r6("bounce", "bounce"), "confirmed")
 
 
+_numbers = {
+    "double_bottom_confirmed": ("db where confirmed", ("l1", "l2", "neckline", "bounce")), "double_bottom_unconfirmed": ("db where not confirmed", ("l1", "l2", "neckline", "bounce")),
+    "capitulation_reclaim": ("cap", ("climax_rn", "climax_close", "reclaim_rn")), "range_floor": ("rf", ("position",)), "post_earnings_dip": ("dip", ("change",)), "bullish_divergence": ("dt", ("p1", "p2", "rsi1", "rsi2")),
+}
+FACT_SQL = " union all ".join(
+    f"select symbol, '{name}' as trigger, '{c}' as fact, round(cast({c} as double), 5) as value from (select * from {source}) join regimes using (symbol) where regime in ({', '.join(map(repr, fit))})"
+    for name, _, fit in C.TRIGGERS if name in _numbers for source, columns in (_numbers[name],) for c in columns
+)
+
+
+@query(f"{CLASSIFY_SQL} {FACT_SQL}")
+def trigger_facts(spark, sf_dir):
+    bars, weeks, found = inputs(spark, sf_dir)
+    double = D.double_bottom(bars, found).withColumn("trigger", F.when(F.col("confirmed"), "double_bottom_confirmed").otherwise("double_bottom_unconfirmed"))
+    named = lambda df, name: df.withColumn("trigger", F.lit(name)).select("symbol", "trigger", *_numbers[name][1])
+    own = [
+        double.select("symbol", "trigger", *_numbers["double_bottom_confirmed"][1]), named(D.capitulation(bars), "capitulation_reclaim"), named(R.range_floor(bars), "range_floor"),
+        named(R.post_earnings_dip(bars, earnings(spark, sf_dir)), "post_earnings_dip"), named(R.divergence(bars, found), "bullish_divergence"),
+    ]
+    return R.trigger_facts(R.regimes(bars, weeks, D.hma_flip(weeks)), own).withColumn("value", F.round("value", 5))
+
+
 LABEL_SQL = f"""case regime {' '.join(f"when '{k}' then '{v}'" for k, v in R.REGIME_LABELS.items())} end || ': ' || coalesce(case primary_trigger {' '.join(f"when '{k}' then '{v}'" for k, v in R.TRIGGER_LABELS.items())} end
     || case when triggers like '%bullish_divergence%' then ' + divergencia' else '' end, 'sin trigger')"""
 

@@ -176,6 +176,12 @@ def macro_window(spark, sf_dir):
     return E.macro_window(macro(spark), F.lit(TODAY).cast("date"))
 
 
+@query(f"with {MACRO_SQL} select count(*) as n, to_json(list({{'date': date, 'kind': kind, 'description': description}} order by date, kind)) as events from macro where date - date '{TODAY}' between 0 and 45")
+def macro_json(spark, sf_dir):
+    near = E.macro_window(macro(spark), F.lit(TODAY).cast("date"))
+    return near.agg(F.count("*").alias("n"), E.as_json(near).alias("events"))
+
+
 @query(f"with {MACRO_SQL} select date, cast(date - date '{TODAY}' as integer) as days_until, upper(kind) as kind, case when kind = 'other' then '—' else 'US' end as jurisdiction, description from macro where date - date '{TODAY}' between 0 and 45")
 def macro_banner(spark, sf_dir):
     return E.macro_banner(macro(spark), F.lit(TODAY).cast("date"))

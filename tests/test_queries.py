@@ -11,6 +11,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 NAMES = (
     "tape_bars", "weekly_bars", "sma_daily", "rsi_daily", "macd_hist", "atr_14", "hv_percentile", "hma_weekly", "pivots", "levels_hvn", "levels_gap", "volume_profile",
     "binary_events", "universe_tags", "downgrades_6w", "source_fallback", "upsert_merge", "candidates_best_zone", "history_pairs", "svg_points", "strike_grid",
+    "cleaned_fields", "recommendations_latest", "upcoming_events", "table_column_extract", "run_labels", "filter_state", "filter_state_open", "quote_symbols", "macro_json", "statement_latest",
+    "zones", "levels_all", "trigger_facts", "double_bottom_as_of", "step1_reasons", "narrative_text", "mini_chart",
 )
 
 
