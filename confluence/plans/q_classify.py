@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confluence import config as C
@@ -105,17 +108,15 @@ def facts(spark, sf_dir, today=None):
     flips = D.hma_flip(weeks)
     events = earnings(spark, sf_dir, today)
     zone = Z.best(zones_of(spark, sf_dir, today))
-    hit = lambda df, name: df.select("symbol", F.lit(True).alias(name))
-    double = D.double_bottom(bars, found)
-    out = R.regimes(bars, weeks, flips)
-    for part in (
-        hit(zone.filter((F.col("score") >= C.MIN_SCORE) & (F.col("distance") <= C.MAX_DISTANCE)), "pullback_in_uptrend"),
-        hit(double.filter("confirmed"), "double_bottom_confirmed"), hit(double.filter("not confirmed"), "double_bottom_unconfirmed"),
+    hit = lambda df, name: df.select("symbol", (name if isinstance(name, Column) else F.lit(name)).alias("trigger"))
+    double = F.when(F.col("confirmed"), "double_bottom_confirmed").otherwise("double_bottom_unconfirmed")
+    hits = reduce(DataFrame.unionByName, (
+        hit(zone.filter((F.col("score") >= C.MIN_SCORE) & (F.col("distance") <= C.MAX_DISTANCE)), "pullback_in_uptrend"), hit(D.double_bottom(bars, found), double),
         hit(D.capitulation(bars), "capitulation_reclaim"), hit(flips.filter("valid and close_above"), "hma_weekly_flip"), hit(R.range_floor(bars), "range_floor"),
         hit(R.post_earnings_dip(bars, events), "post_earnings_dip"), hit(R.divergence(bars, found), "bullish_divergence"),
-    ):
-        out = out.join(part, "symbol", "left")
-    return out
+    ))
+    wide = hits.groupBy("symbol").agg(*[F.max(F.col("trigger") == name).alias(name) for name, _, _ in C.TRIGGERS])
+    return R.regimes(bars, weeks, flips).join(wide, "symbol", "left")
 
 
 _hits = " union all ".join(

@@ -12,31 +12,39 @@ from confluence.operators import pivots as P
 from confluence.operators import zones as Z
 from confluence.plans.catalog import query
 from confluence.plans.q_series import ATR_SQL, MACD_SQL, RSI_SQL, SMA_SQL, WITH, ewm_sql, r6
-from confluence.sources import tape
+from confluence.sources import scratch, tape
 
 # Earnings days of the derived universe, the same for all symbols.
 EARNINGS = ("1995-02-10", "1996-02-09", "1997-02-14", "1998-02-13", "1999-02-12", "2000-02-11", "2001-02-09", "2001-08-10", "2001-09-14")
 
 
+#: What has been written, by application, tables and day: bars, weeks, pivots and, once asked for, zones.
+_HELD: dict = {}
+
+
+def held_of(spark, sf_dir, today=None):
+    name = (spark.sparkContext.applicationId, sf_dir, today)
+    if name not in _HELD:
+        held = scratch.Held(spark)
+        bars = held.written(L.context(S.with_macd(S.with_rsi(S.with_atr(S.numbered(tape.bars(spark, sf_dir), today))))))
+        weeks = held.written(S.numbered(S.weekly(bars.select("symbol", "date", "open", "high", "low", "close", "volume"))))
+        _HELD[name] = {"held": held, "frames": (bars, weeks, held.written(P.pivots(bars)))}
+    return _HELD[name]
+
+
 def inputs(spark, sf_dir, today=None):
-    """(bars, weeks, pivots) as of a day: everything that levels need, from one exchange by symbol.
+    """(bars, weeks, pivots) as of a day: everything that levels and detectors need, from one exchange by symbol.
 
-    Bars and pivots are cached, as every generator and detector reads them; a lost block is computed again.  The next
-    call for other data releases them.
+    They are written once and read by every plan, so plans stay short.  ``release`` deletes them, for instance
+    when the tables have changed.
     """
-    name = (spark.sparkContext.applicationId, sf_dir, today)
-    if _HELD.get("name") != name:
-        for df in _HELD.pop("frames", ()) + _HELD.pop("zones", ()):
-            df.unpersist()
-        bars = L.context(S.with_macd(S.with_rsi(S.with_atr(S.numbered(tape.bars(spark, sf_dir), today))))).persist()
-        weeks = S.numbered(S.weekly(bars.select("symbol", "date", "open", "high", "low", "close", "volume"))).persist()
-        _HELD.update(name=name, frames=(bars, weeks, P.pivots(bars).persist()))
-    for df in _HELD["frames"]:  # clearCache() by the caller drops them: mark them again
-        df.persist()
-    return _HELD["frames"]
+    return held_of(spark, sf_dir, today)["frames"]
 
 
-_HELD: dict = {}
+def release(spark) -> None:
+    """Deletes all that this session holds; frames that read it can't run any more."""
+    for name in [n for n in _HELD if n[0] == spark.sparkContext.applicationId]:
+        _HELD.pop(name)["held"].release()
 
 
 def earnings(spark, sf_dir, today=None):
@@ -197,10 +205,10 @@ def levels_all(spark, sf_dir):
 
 def zones_of(spark, sf_dir, today=None):
     """Zones as of a day, held with the inputs: the classification and reports read them several times."""
-    inputs(spark, sf_dir, today)
-    if "zones" not in _HELD:
-        _HELD["zones"] = (Z.zones(Z.clustered(levels_of(spark, sf_dir, today))),)
-    return _HELD["zones"][0].persist()
+    own = held_of(spark, sf_dir, today)
+    if "zones" not in own:
+        own["zones"] = own["held"].written(Z.zones(Z.clustered(levels_of(spark, sf_dir, today))))
+    return own["zones"]
 
 
 _weights = "case element " + " ".join(f"when '{k}' then {v}" for k, v in C.WEIGHTS.items()) + " else 0.0 end"
