@@ -57,24 +57,19 @@ def permuted_number(value: Column, a: int, b: int, key: str, kind: str) -> Colum
 
 def _shifted(c: Column, by: Column) -> Column:
     """A character moved on within its class; others stay."""
-    code = F.ascii(c)
-    move = lambda base, size: F.char(F.lit(base) + F.pmod(code - base + by, size))
-    return (
-        F.when(c.between("0", "9"), move(48, F.lit(10)))
-        .when(c.between("a", "z"), move(97, F.lit(26)))
-        .when(c.between("A", "Z"), move(65, F.lit(26)))
-        .otherwise(c)
-    )
+    base = F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65)
+    moved = F.char(base + F.pmod(F.ascii(c) - base + by, F.when(base == 48, 10).otherwise(26)))
+    return F.when(base.isNull(), c).otherwise(moved)
 
 
-def permuted_string(text: Column, key: str, kind: str) -> Column:
+def permuted_string(text: Column, key: str, kind: Column) -> Column:
     """A keyed permutation of the strings whose characters have the same classes, place by place."""
     half = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substring(text, F.lit(1), half).alias("l"), F.substring(text, half + 1, F.length(text)).alias("r"))
 
     def moved(side: Column, other: Column, i: Column) -> Column:
         chars = F.filter(F.split(side, ""), lambda c: c != "")
-        return F.array_join(F.transform(chars, lambda c, at: _shifted(c, _hashed(key, F.lit(kind), i, at, other))), "")
+        return F.array_join(F.transform(chars, lambda c, at: _shifted(c, _hashed(key, kind, i, at, other))), "")
 
     def step(s: Column, i: Column) -> Column:
         even = i % 2 == 0
@@ -158,43 +153,67 @@ def _late_date(place: Column) -> Column:
     return F.date_add(first, (place + 12 * (month + 1)).cast("int"))
 
 
-def pseudonym(value: Column, kind: Column, key: str = KEY) -> Column:
-    """The pseudonym of a value of this kind; a value without a kind stays."""
-    at = F.instr(value, "@")
-    email = F.concat(permuted_string(F.substring(value, F.lit(1), at - 1), key, "email"), F.substring(value, at, F.length(value)))
-    lead = F.regexp_extract(value, "^(?:AKIA|ghp_|sk-|xox[abp]-|\\w+\\s*[=:]\\s*[\"']?)", 0)
-    secret = F.concat(lead, permuted_string(F.substring(value, F.length(lead) + 1, F.length(value)), key, "secret"))
+def _code(value: Column) -> Column:
+    """Digits of a phone number's country code that stay: the first one (1, 7) or two."""
+    return F.when(F.substring(value, 1, 1) == "+", F.when(_digits(value).rlike("^[17]"), 1).otherwise(2)).otherwise(0)
+
+
+def _lead(value: Column) -> Column:
+    return F.regexp_extract(value, "^(?:AKIA|ghp_|sk-|xox[abp]-|\\w+\\s*[=:]\\s*[\"']?)", 0)
+
+
+def moved_part(value: Column, kind: Column, key: str = KEY) -> Column:
+    """The permuted string within a value: an e-mail's name, a secret's tail, an account, a card's digits but the last,
+    a phone number's digits, so that it links in all its spellings.  Empty for other kinds."""
+    number, solid = _digits(value), F.replace(value, F.lit(" "), F.lit(""))
+    parts = {
+        "email": F.substring_index(value, "@", 1), "secret": F.substring(value, F.length(_lead(value)) + 1, F.length(value)), "iban": F.substring(solid, F.lit(5), F.length(solid)),
+        "card": F.substring(number, F.lit(1), F.length(number) - 1), "phone": F.substring(number, _code(value) + 1, F.length(number)),
+    }
+    return permuted_string(F.coalesce(*[F.when(kind == name, text) for name, text in parts.items()], F.lit("")), key, kind)
+
+
+def moved_day(value: Column, kind: Column, key: str = KEY) -> Column:
+    """The date that a date becomes: a month-first one among such days, others among all; null for other kinds."""
     day = F.date_add(F.lit(FIRST_DAY).cast("date"), permuted_number(_day(value), *DAY_FACTORS, key, "date").cast("int"))
+    late = _late_date(permuted_number(_late(value), *LATE_FACTORS, key, "late"))
+    return F.when(kind == "date", F.when(_day(value).isNull(), late).otherwise(day))
+
+
+def moved_number(value: Column, kind: Column, key: str = KEY) -> Column:
+    """The place that an SSN gets among all valid ones; null for other kinds."""
+    number = _digits(value)
+    area = F.substring(number, 1, 3).cast("long")
+    order = (area - F.when(area > 666, 2).otherwise(1)) * (99 * 9999) + (F.substring(number, 4, 2).cast("long") - 1) * 9999 + F.substring(number, 6, 4).cast("long") - 1
+    return F.when(kind == "ssn", permuted_number(order, 898, 99 * 9999, key, "ssn"))
+
+
+def pseudonym(value: Column, kind: Column, moved_text: Column, day: Column, placed: Column, key: str = KEY) -> Column:
+    """The pseudonym of a value of this kind, from its ``moved_part``, ``moved_day`` and ``moved_number``; a value without a
+    kind stays."""
+    number, solid = _digits(value), F.replace(value, F.lit(" "), F.lit(""))
+    email = F.concat(moved_text, F.substring(value, F.instr(value, "@"), F.length(value)))
+    secret = F.concat(_lead(value), moved_text)
     mark = F.when(F.instr(value, "/") > 0, "/").otherwise(".")
     wide = value.rlike("^[0-9]{2}[./][0-9]{2}")
     day_text = F.when(wide, F.date_format(day, "dd")).otherwise(F.dayofmonth(day).cast("string"))
     month_text = F.when(wide, F.date_format(day, "MM")).otherwise(F.month(day).cast("string"))
     local = F.concat(day_text, mark, month_text, mark, F.date_format(day, "yyyy"))
     date = F.when(value.rlike("^[0-9]{4}-"), F.date_format(day, "yyyy-MM-dd")).otherwise(local)
-    late = _late_date(permuted_number(_late(value), *LATE_FACTORS, key, "late"))
-    late_text = F.concat(F.when(wide, F.date_format(late, "MM")).otherwise(F.month(late).cast("string")), F.date_format(late, "/dd/yyyy"))
-    date = F.when(_late(value).isNotNull(), late_text).otherwise(date)
+    late_text = F.concat(month_text, F.date_format(day, "/dd/yyyy"))
+    date = F.when(_day(value).isNull(), late_text).otherwise(date)
     octet = F.split(value, r"\.")
     packed = F.aggregate(F.transform(octet, lambda o: o.cast("long")), F.lit(0).cast("long"), lambda s, o: s * 256 + o)
     moved = permuted_number(packed, 1 << 16, 1 << 16, key, "ip")
     ip = F.array_join(F.transform(F.array(*[F.lit(s) for s in (24, 16, 8, 0)]), lambda s: F.floor(moved / F.pow(F.lit(2), s)).cast("long").bitwiseAND(F.lit(255)).cast("string")), ".")
-    solid = F.replace(value, F.lit(" "), F.lit(""))
-    account = permuted_string(F.substring(solid, F.lit(5), F.length(solid)), key, "iban")
+    account = moved_text
     country = F.substring(solid, 1, 2)
     check = F.lpad((F.lit(98) - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
     iban = F.when(F.instr(value, " ") > 0, F.rtrim(F.regexp_replace(F.concat(country, check, account), "(.{4})", "$1 "))).otherwise(F.concat(country, check, account))
-    number = _digits(value)
-    area = F.substring(number, 1, 3).cast("long")
-    order = (area - F.when(area > 666, 2).otherwise(1)) * (99 * 9999) + (F.substring(number, 4, 2).cast("long") - 1) * 9999 + F.substring(number, 6, 4).cast("long") - 1
-    placed = permuted_number(order, 898, 99 * 9999, key, "ssn")
     new_area = F.floor(placed / (99 * 9999)).cast("long") + 1
     ssn = F.concat_ws("-", F.lpad(F.when(new_area >= 666, new_area + 1).otherwise(new_area).cast("string"), 3, "0"), F.lpad((F.floor(placed / 9999) % 99 + 1).cast("string"), 2, "0"), F.lpad((placed % 9999 + 1).cast("string"), 4, "0"))
-    payload = permuted_string(F.substring(number, F.lit(1), F.length(number) - 1), key, "card")
-    card = _refilled(value, F.concat(payload, _luhn(payload)))
-    # by digits alone, so that one number links in all its spellings: the first digit (1, 7) or two of a code stay
-    code = F.when(F.substring(value, 1, 1) == "+", F.when(number.rlike("^[17]"), 1).otherwise(2)).otherwise(0)
-    rest = permuted_string(F.substring(number, code + 1, F.length(number)), key, "phone")
-    phone = _refilled(value, F.concat(F.substring(number, F.lit(1), code), rest))
+    # a card and a phone number are refilled alike: what stays in front, the part, and a card's check digit
+    card = phone = _refilled(value, F.concat(F.when(kind == "phone", F.substring(number, F.lit(1), _code(value))).otherwise(""), moved_text, F.when(kind == "card", _luhn(moved_text)).otherwise("")))
     forms = {"email": email, "secret": secret, "date": date, "ip": ip, "iban": iban, "ssn": ssn, "card": card, "phone": phone}
     out = value
     for name, form in forms.items():
@@ -212,9 +231,11 @@ def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFr
     hinted = F.coalesce(value.rlike(HINT), F.lit(False))
     none = F.array().cast("array<string>")
     found = docs.withColumn("pii", F.when(hinted, F.regexp_extract_all(value, F.lit(PATTERN), 0)).otherwise(none))
-    # a kind is made once and used by every branch
+    # a kind and what is permuted are made once and used by every branch
     known = F.transform("pii", lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind")))
-    fresh = F.transform(known, lambda m: F.struct(pseudonym(m["value"], m["kind"], key).alias("value"), m["kind"].alias("kind")))
+    of = {"moved": moved_part, "day": moved_day, "placed": moved_number}
+    moved = F.transform(known, lambda m: F.struct(m["value"].alias("value"), m["kind"].alias("kind"), *[f(m["value"], m["kind"], key).alias(n) for n, f in of.items()]))
+    fresh = F.transform(moved, lambda m: F.struct(pseudonym(*[m[n] for n in ("value", "kind", *of)], key).alias("value"), m["kind"].alias("kind")))
     found = found.withColumn("pii", F.when(F.size("pii") > 0, fresh))
     pieces = F.zip_with(F.split(value, PATTERN, -1), "pii", lambda p, m: F.concat(p, F.coalesce(m["value"], F.lit(""))))
     replaced = F.when(F.col("pii").isNotNull(), F.array_join(pieces, "")).otherwise(value)

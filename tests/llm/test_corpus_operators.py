@@ -214,7 +214,7 @@ def test_string_permutation_is_one(spark):
     signs = "0123456789abcdefghijklmnopqrstuvwxyz"
     rows = [(a + b,) for a in signs for b in signs] + [(a,) for a in signs] + [(f"{i:03d}",) for i in range(1000)] + [(a + b + "-",) for a in "abcdef" for b in signs.upper()]
     df = spark.createDataFrame(rows, "s string")
-    got = df.select("s", pii.permuted_string(F.col("s"), "key", "kind").alias("p")).collect()
+    got = df.select("s", pii.permuted_string(F.col("s"), "key", F.lit("kind")).alias("p")).collect()
     assert len({r.p for r in got}) == len(rows)
     shape = lambda t: [c.isdigit() + 2 * c.islower() + 4 * c.isupper() for c in t]
     assert all(shape(r.s) == shape(r.p) for r in got)
