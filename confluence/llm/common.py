@@ -63,14 +63,15 @@ def crc_mod5(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def id_set_bits(ids: DataFrame, column: str, log2_bits: int = 24) -> bytes:
+def id_set_bits(ids: DataFrame, column: str, log2_bits: int = 24, hashed: bool = False) -> bytes:
     """A Bloom filter of one hash over ``column``: at most 2**log2_bits bits whatever the input.
 
-    It only saves work: rows whose id is absent may pass, rows whose id is there always do.
+    It only saves work: rows whose id is absent may pass, rows whose id is there always do.  ``hashed`` ids
+    are their own hashes.
     """
     import numpy as np
 
-    h = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << log2_bits))
+    h = F.pmod(F.col(column) if hashed else F.xxhash64(F.col(column)), F.lit(1 << log2_bits))
     words = (
         ids.select(h.alias("h"))
         .groupBy(F.shiftright("h", 6).cast("int").alias("word"))

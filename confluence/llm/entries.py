@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from confluence.llm import bpe, fingerprint, lm, ngram_join, packing, pii, repetition, toxicity, url_filter, warc
+import corpus_pipeline
+from confluence.llm import align, bpe, decontaminate, fingerprint, importance, lm, ngram_join, packing, pii, repetition, toxicity, url_filter, warc
 from confluence.llm.common import table
 
 
@@ -46,22 +47,31 @@ def op10_byte_level_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-def pipeline(spark, sf_dir):
-    import corpus_pipeline
+def op11_token_alignment(spark, sf_dir):
+    return align.judged(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark, sf_dir):
+    return importance.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
 
+def op13_decontamination(spark, sf_dir):
+    return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries():
     own = (
         op1_ngram_jaccard_join, op2_document_fingerprints, op3_url_filters, op4_best_fit_packing, op5_toxicity, op6_quality_rules,
-        op7_pii, op8_warc, op9_lm_scoring, op10_byte_level_bpe, pipeline,
+        op7_pii, op8_warc, op9_lm_scoring, op10_byte_level_bpe, op11_token_alignment, op12_importance_resampling, op13_decontamination, pipeline,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql():
-    import corpus_pipeline
-
-    sql = {"op3_url_filters": url_filter.sql(), "op8_warc": warc.sql(), "pipeline": corpus_pipeline.ORACLE_SQL}
+    sql = {"op3_url_filters": url_filter.sql(), "op8_warc": warc.sql(), "op12_importance_resampling": importance.sql(), "op13_decontamination": decontaminate.sql()}
+    sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return {name: text for name, text in sql.items() if text}

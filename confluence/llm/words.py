@@ -1,7 +1,7 @@
 """Words of whole Arrow batches, as numpy arrays.
 
-A word is a run of bytes outside ``\\x20`` and ``\\x09-\\x0D``; A-Z count as a-z
-if asked.  Everything works on the batch's one UTF-8 buffer, so a very long text
+A word is a run of bytes outside ``\\x20`` and ``\\x09-\\x0D``, or outside another set of ASCII bytes; A-Z count
+as a-z if asked.  Everything works on the batch's one UTF-8 buffer, so a very long text
 costs no more per character than a short one.
 """
 
@@ -24,6 +24,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: The bytes between words of letters, digits and non-ASCII signs.
+SIGNS = np.zeros(256, bool)
+SIGNS[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,14 +52,14 @@ class Words:
     ``first[d]`` to ``first[d + 1]`` are the words of row d.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = True, hashes: bool = True):
+    def __init__(self, texts: pa.Array, lower: bool = True, hashes: bool = True, between: np.ndarray = _SPACE):
         raw, self.offsets = utf8(texts)
         self.raw = raw
         self.data = _LOWER[raw] if lower else raw
         n = len(raw)
         solid = np.empty(n + 2, bool)
         solid[0] = solid[-1] = False
-        np.logical_not(_SPACE[raw], out=solid[1:-1])
+        np.logical_not(between[raw], out=solid[1:-1])
         turn = solid[1:] != solid[:-1]
         # a text's end also ends a word: look at each boundary between two texts
         inner = self.offsets[1:-1]
@@ -128,6 +131,16 @@ def _run(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return total
 
 
+def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hash of the k words from each position on, across texts too."""
+    n = max(0, len(hashes) - k + 1)
+    with np.errstate(over="ignore"):
+        total = np.full(n, np.uint64(k), np.uint64)
+        for i in range(k):
+            total = mix(total * _P + hashes[i : i + n])
+    return total
+
+
 def distinct(doc: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (doc, value) pairs, sorted by doc and value; ``doc`` must ascend."""
     if not len(doc):
