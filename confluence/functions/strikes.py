@@ -9,10 +9,10 @@ from confluence import config as C
 
 
 def grid(spot: Column, currency: Column) -> Column:
-    """The grid of a price: a currency's tier table, or else 1 % of the price to one significant digit."""
+    """The grid of a price: a currency's tier table, or else 1 % of the price to one significant digit, a cent for prices up to 0."""
     raw = spot * 0.01
     magnitude = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
-    out = F.bround(raw / magnitude, 0) * magnitude
+    out = F.when(spot <= 0, 0.01).otherwise(F.bround(raw / magnitude, 0) * magnitude)
     for name, tiers in C.GRIDS.items():
         step = F.lit(tiers[-1][1])
         for most, size in reversed(tiers[:-1]):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confluence import config as C
+from confluence.functions.text import fixed
 
 
 def upside(target: Column, spot: Column) -> Column:
@@ -29,9 +30,9 @@ def momentum_score() -> Column:
     return sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0))
 
 
-def _said(form: str, column: str) -> Column:
+def _said(digits: int, column: str) -> Column:
     """A value in a reason; None for nulls."""
-    return F.when(F.col(column).isNull(), F.lit("None")).otherwise(F.format_string(form, F.col(column)))
+    return F.when(F.col(column).isNull(), F.lit("None")).otherwise(fixed(F.col(column), digits))
 
 
 def _reason(head: str, value: Column, tail: str) -> Column:
@@ -44,9 +45,9 @@ def quality() -> Column:
     exempt = F.coalesce(F.col("sector").isin(*C.EXEMPT_SECTORS), F.lit(False))
     cash = F.col("free_cash_flow").isNull() | (F.col("free_cash_flow") <= C.MIN_CASH_FLOW)
     return (
-        F.when(few("market_cap", C.MIN_MARKET_CAP), _reason("market cap (", _said("%.1f", "market_cap"), f") < {C.MIN_MARKET_CAP:.0f}"))
-        .when(few("avg_volume", C.MIN_VOLUME), _reason("avg daily volume (", _said("%.1f", "avg_volume"), f") < {C.MIN_VOLUME:.0f}"))
-        .when(~exempt & cash, _reason("FCF TTM (", _said("%.1f", "free_cash_flow"), f") ≤ {C.MIN_CASH_FLOW}"))
+        F.when(few("market_cap", C.MIN_MARKET_CAP), _reason("market cap (", _said(1, "market_cap"), f") < {C.MIN_MARKET_CAP:.0f}"))
+        .when(few("avg_volume", C.MIN_VOLUME), _reason("avg daily volume (", _said(1, "avg_volume"), f") < {C.MIN_VOLUME:.0f}"))
+        .when(~exempt & cash, _reason("FCF TTM (", _said(1, "free_cash_flow"), f") ≤ {C.MIN_CASH_FLOW}"))
     )
 
 
@@ -55,14 +56,14 @@ def valuation() -> Column:
     known = ~F.coalesce(F.col("country").isin(*C.UNRATED_COUNTRIES), F.lit(False))
     cuts = F.coalesce("downgrades", F.lit(0))
     return (
-        F.when(~F.coalesce(F.col("upside") > C.MIN_UPSIDE, F.lit(False)), _reason("price target upside (", F.when(F.col("upside").isNull(), "None").otherwise(F.format_string("%.1f%%", F.col("upside") * 100)), f") ≤ {C.MIN_UPSIDE:.1%}"))
-        .when(~F.coalesce(F.col("buy_ratio") >= C.MIN_BUY_RATIO, F.lit(False)), _reason("buy ratio (", _said("%.2f", "buy_ratio"), f") < {C.MIN_BUY_RATIO}"))
+        F.when(~F.coalesce(F.col("upside") > C.MIN_UPSIDE, F.lit(False)), _reason("price target upside (", F.when(F.col("upside").isNull(), "None").otherwise(F.concat(fixed(F.col("upside") * 100, 1), F.lit("%"))), f") ≤ {C.MIN_UPSIDE:.1%}"))
+        .when(~F.coalesce(F.col("buy_ratio") >= C.MIN_BUY_RATIO, F.lit(False)), _reason("buy ratio (", _said(2, "buy_ratio"), f") < {C.MIN_BUY_RATIO}"))
         .when(known & (cuts > C.MAX_DOWNGRADES), _reason("", cuts.cast("string"), f" downgrades en 6w > {C.MAX_DOWNGRADES}"))
     )
 
 
 def momentum() -> Column:
-    say = lambda name, c: _reason(f"{name} sobrecomprado (", _said("%.1f", c), f" ≥ {C.OVERBOUGHT})")
+    say = lambda name, c: _reason(f"{name} sobrecomprado (", _said(1, c), f" ≥ {C.OVERBOUGHT})")
     return F.when(F.col("rsi_daily") >= C.OVERBOUGHT, say("RSI_d", "rsi_daily")).when(F.col("rsi_weekly") >= C.OVERBOUGHT, say("RSI_w", "rsi_weekly"))
 
 
@@ -70,7 +71,7 @@ def volatility() -> Column:
     """Volatility's percentile within its band; a null one is below it."""
     high = F.coalesce(F.col("hv_percentile") > C.HV_HIGH, F.lit(False))
     low = ~F.coalesce(F.col("hv_percentile") >= C.HV_LOW, F.lit(False))
-    return F.when(high, _reason("HV percentile ", _said("%.1f", "hv_percentile"), f" > {C.HV_HIGH}")).when(low, _reason("HV percentile ", _said("%.1f", "hv_percentile"), f" < {C.HV_LOW}"))
+    return F.when(high, _reason("HV percentile ", _said(1, "hv_percentile"), f" > {C.HV_HIGH}")).when(low, _reason("HV percentile ", _said(1, "hv_percentile"), f" < {C.HV_LOW}"))
 
 
 RULES: dict[str, Callable[[], Column]] = {"quality_liquidity": quality, "valuation": valuation, "momentum": momentum, "hv_percentile": volatility}

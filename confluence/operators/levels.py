@@ -84,8 +84,11 @@ def anchored_vwap(starts: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def volume_profile(bars: DataFrame) -> DataFrame:
-    """symbol, bucket, low_price, width, volume: a year's volume over 50 equal price buckets, by overlap; empty ones too."""
-    year = bars.filter(_recent(C.LEVEL_WINDOW))
+    """symbol, bucket, low_price, width, volume: a year's volume over 50 equal price buckets, by overlap; empty ones too.
+
+    Series of less than a year have no profile.
+    """
+    year = bars.filter(_recent(C.LEVEL_WINDOW) & (F.col("top") >= C.LEVEL_WINDOW - 1))
     whole = W.partitionBy("symbol")
     spread = year.withColumns({"bottom": F.min("low").over(whole), "width": (F.max("high").over(whole) - F.min("low").over(whole)) / C.HVN_BUCKETS}).filter("width > 0")
     place = lambda x: F.greatest(F.lit(0), F.least(F.lit(C.HVN_BUCKETS - 1), F.floor((x - F.col("bottom")) / F.col("width")).cast("int")))
@@ -102,7 +105,7 @@ def volume_profile(bars: DataFrame) -> DataFrame:
 
 def volume_nodes(profile: DataFrame) -> DataFrame:
     """Runs of neighbouring buckets at or above the 80th percentile; a run's price is its middle.  rn: its first bucket; detail: first-last."""
-    dense = profile.withColumn("edge", F.percentile("volume", F.lit(C.HVN_PERCENTILE)).over(W.partitionBy("symbol"))).filter((F.col("volume") >= F.col("edge")) & (F.col("volume") > 0))
+    dense = profile.withColumn("edge", F.percentile("volume", F.lit(C.HVN_PERCENTILE)).over(W.partitionBy("symbol"))).filter(F.col("volume") >= F.col("edge"))
     run = F.col("bucket") - F.row_number().over(W.partitionBy("symbol").orderBy("bucket"))
     islands = dense.withColumn("run", run).groupBy("symbol", "run", "spot", "last_atr").agg(
         F.min("low_price").alias("a"), F.max(F.col("low_price") + F.col("width")).alias("b"), F.min("bucket").alias("from"), F.max("bucket").alias("to")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from confluence import config as C
 from confluence.functions import strikes as K
+from confluence.functions.text import fixed
 from confluence.operators.report import format_price, width_word
 from confluence.operators.zones import category, weight
 
@@ -52,7 +53,7 @@ def heavy_phrases(elements: Column) -> Column:
 
 def situation() -> Column:
     """Null without a type."""
-    whole = lambda c: F.format_string("%.0f", F.bround(c, 0))
+    whole = lambda c: fixed(c, 0)
     rsi, past = F.col("rsi_daily"), F.col("rsi_daily_3_ago")
     lead = _text("<strong>Situación.</strong> ", F.col("symbol"), " está en un contexto <strong>", F.col("legacy"), "</strong> (", F.coalesce(_of(TYPES, F.col("legacy")), F.lit(OTHER_TYPE)), ").")
     return F.when(
@@ -66,7 +67,7 @@ def situation() -> Column:
 
 
 def zone() -> Column:
-    percent = lambda c: F.format_string("%.1f", F.col(c) * 100)
+    percent = lambda c: fixed(F.col(c) * 100, 1)
     phrases = heavy_phrases(F.col("elements"))
     anchored = F.when(F.size(phrases) == 1, _text("Anclada en ", F.get(phrases, F.lit(0)), ".")).when(
         F.size(phrases) > 1, _text("Anclada en ", F.size(phrases).cast("string"), " elementos heavy: ", F.array_join(phrases, "; "), ".")
@@ -82,7 +83,7 @@ def zone() -> Column:
 def watch() -> Column:
     made = K.strikes(*[F.col(c) for c in ("lower", "upper", "center", "spot", "atr")], F.col("currency"))
     earnings = F.when(F.col("earnings_near"), _text("Earnings en ", F.col("days_to_earnings").cast("string"), EARNINGS))
-    amount = F.coalesce(_text(" ($", F.format_string("%.2f", F.col("ex_div_amount")), ")"), F.lit(""))
+    amount = F.coalesce(_text(" ($", fixed(F.col("ex_div_amount"), 2), ")"), F.lit(""))
     amount = F.when(F.col("ex_div_amount").isNull(), "").otherwise(amount)
     dividend = F.when(F.col("ex_div_near"), _text("Ex-dividend en ", F.col("days_to_ex_div").cast("string"), " días", amount, EX_DIV))
     macro = F.when(F.col("macro_near"), _text("Eventos macro en ventana: ", F.col("macro_kinds"), "."))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from confluence import config as C
+from confluence.functions.text import fixed
 
 # How a currency's prices are written, currencies by country, and labels.
 CURRENCIES = {
@@ -31,7 +32,7 @@ WIDTH, HEIGHT, PAD_X, PAD_Y, POINTS, LEAST_POINTS, EXTRA = 480, 200, 28, 10, 126
 
 def format_price(value: Column, currency: Column) -> Column:
     """A price with two digits and its currency's sign; dollars for unknown ones."""
-    text = F.format_string("%.2f", value)
+    text = fixed(value, 2)
     out = F.concat(F.lit("$"), text)
     for name, (before, after) in CURRENCIES.items():
         out = F.when(currency == name, F.concat(F.lit(before), text, F.lit(after))).otherwise(out)
@@ -44,8 +45,8 @@ def currency_of(country: Column) -> Column:
 
 def short_number(value: Column) -> Column:
     """1.2B, 3.4M, 5.6K."""
-    say = lambda size, mark: F.concat(F.format_string("%.1f", value / size), F.lit(mark))
-    return F.when(value >= 1e9, say(1e9, "B")).when(value >= 1e6, say(1e6, "M")).when(value >= 1e3, say(1e3, "K")).otherwise(F.format_string("%.0f", value))
+    say = lambda size, mark: F.concat(fixed(value / size, 1), F.lit(mark))
+    return F.when(value >= 1e9, say(1e9, "B")).when(value >= 1e6, say(1e6, "M")).when(value >= 1e3, say(1e3, "K")).otherwise(fixed(value, 0))
 
 
 def stars(tier: Column) -> Column:
@@ -114,7 +115,7 @@ def chart(bars: DataFrame, rows: DataFrame) -> DataFrame:
     span = F.col("most") - F.col("least")
     bottom, height = F.col("least") - EXTRA * span, span * (1 + 2 * EXTRA)
     wide, high = WIDTH - 2.0 * PAD_X, HEIGHT - 2.0 * PAD_Y
-    one = lambda c: F.format_string("%.1f", c)
+    one = lambda c: fixed(c, 1)
     x = lambda i: PAD_X + i * F.lit(wide) / (F.col("n") - 1)
     y = lambda p: PAD_Y + (1 - (p - bottom) / height) * high
     text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from confluence import config as C
+from confluence.functions.text import fixed
 
 
 def weight(element: Column) -> Column:
@@ -67,15 +68,17 @@ def zones(members: DataFrame) -> DataFrame:
 
 
 def reasons() -> Column:
-    """Every gate that a zone fails, joined by `` | ``; empty for valid zones."""
+    """Every gate that a zone fails, joined by `` | ``; empty for valid zones.  The wording is fixed."""
     distance = F.col("distance")
+    near = F.concat(F.lit("zona muy cerca del spot ("), fixed(distance * 100, 1), F.lit(f"% < {C.MIN_DISTANCE:.0%}), no accionable para 30-45 DTE"))
+    few = F.concat(F.lit("solo "), F.col("n_heavy").cast("string"), F.lit(f" elementos peso >= {C.HEAVY_WEIGHT} (requeridos {C.MIN_HEAVY})"))
     return F.concat_ws(
         " | ",
-        F.when(F.col("score") < C.MIN_SCORE, "score below minimum"),
-        F.when(~F.col("dynamic"), "no dynamic confirmer"),
-        F.when((distance < 0) | (distance > C.MAX_DISTANCE), "distance out of range"),
-        F.when(distance < C.MIN_DISTANCE, "distance below minimum"),
-        F.when(F.col("n_heavy") < C.MIN_HEAVY, "too few heavy elements"),
+        F.when(F.col("score") < C.MIN_SCORE, f"score < {C.MIN_SCORE}"),
+        F.when(~F.col("dynamic"), "sin confirmador dinámico"),
+        F.when((distance < 0) | (distance > C.MAX_DISTANCE), "fuera de rango de proximidad (>10% o por encima del spot)"),
+        F.when(distance < C.MIN_DISTANCE, near),
+        F.when(F.col("n_heavy") < C.MIN_HEAVY, few),
     )
 
 

@@ -25,4 +25,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from confluence.plans import q_classify, q_filters, q_history, q_levels, q_series  # noqa: F401
+    from confluence.plans import q_classify, q_filters, q_history, q_levels, q_series, q_sources  # noqa: F401

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from confluence import config as C
 from confluence.functions import series as S
 from confluence.functions import strikes as K
+from confluence.operators import as_of as A
 from confluence.operators import levels as L
 from confluence.operators import pivots as P
+from confluence.operators import profile as V
 from confluence.operators import zones as Z
 from confluence.plans.catalog import query
 from confluence.plans.q_series import ATR_SQL, MACD_SQL, RSI_SQL, SMA_SQL, WITH, ewm_sql, r6
@@ -23,26 +28,36 @@ _HELD: dict = {}
 
 
 def held_of(spark, sf_dir, today=None):
-    name = (spark.sparkContext.applicationId, sf_dir, today)
+    name, now = (spark.sparkContext.applicationId, sf_dir, today), scratch.state(spark, sf_dir)
+    if name in _HELD and _HELD[name]["state"] != now:
+        _HELD.pop(name)["held"].release()
     if name not in _HELD:
         held = scratch.Held(spark)
         bars = held.written(L.context(S.with_macd(S.with_rsi(S.with_atr(S.numbered(tape.bars(spark, sf_dir), today))))))
         weeks = held.written(S.numbered(S.weekly(bars.select("symbol", "date", "open", "high", "low", "close", "volume"))))
-        _HELD[name] = {"held": held, "frames": (bars, weeks, held.written(P.pivots(bars)))}
+        _HELD[name] = {"held": held, "state": now, "frames": (bars, weeks, held.written(P.pivots(bars)))}
     return _HELD[name]
 
 
 def inputs(spark, sf_dir, today=None):
     """(bars, weeks, pivots) as of a day: everything that levels and detectors need, from one exchange by symbol.
 
-    They are written once and read by every plan, so plans stay short.  ``release`` deletes them, for instance
-    when the tables have changed.
+    They are written once and read by every plan, so plans stay short; when a table's files have changed they are written
+    anew.  ``release`` deletes them, the end of the session too.
     """
     return held_of(spark, sf_dir, today)["frames"]
 
 
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        release(spark)
+
+
 def release(spark) -> None:
     """Deletes all that this session holds; frames that read it can't run any more."""
+    scratch.release(spark)
     for name in [n for n in _HELD if n[0] == spark.sparkContext.applicationId]:
         _HELD.pop(name)["held"].release()
 
@@ -145,7 +160,7 @@ def levels_avwap(spark, sf_dir):
     return shown(L.anchored_vwap(L.anchors(found, bars, earnings(spark, sf_dir)), bars))
 
 
-PROFILE_SQL = """prof_year as (select *, min(low) over (partition by symbol) as bottom, (max(high) over (partition by symbol) - min(low) over (partition by symbol)) / 50 as width from full_bars where rn > top - 252),
+PROFILE_SQL = """prof_year as (select *, min(low) over (partition by symbol) as bottom, (max(high) over (partition by symbol) - min(low) over (partition by symbol)) / 50 as width from full_bars where rn > top - 252 and top >= 251),
 prof as (select y.symbol, k as bucket, any_value(bottom) + k * any_value(width) as low_price, any_value(width) as width,
     sum(case when high - low <= 0 then case when greatest(0, least(49, floor((close - bottom) / width))) = k then volume else 0 end
       else greatest(least(high, bottom + k * width + width) - greatest(low, bottom + k * width), 0) / (high - low) * volume end) as volume
@@ -158,7 +173,7 @@ def volume_profile(spark, sf_dir):
     return L.volume_profile(bars).select("symbol", "bucket", r6("low_price", "low_price", 5), r6("width", "width", 6), r6("volume", "volume", 3))
 
 
-HVN_SQL = f"""{PROFILE_SQL}, dense as (select p.*, bucket - row_number() over (partition by symbol order by bucket) as run from prof p join (select symbol, quantile_cont(volume, 0.8) as edge from prof group by symbol) e using (symbol) where volume >= edge and volume > 0),
+HVN_SQL = f"""{PROFILE_SQL}, dense as (select p.*, bucket - row_number() over (partition by symbol order by bucket) as run from prof p join (select symbol, quantile_cont(volume, 0.8) as edge from prof group by symbol) e using (symbol) where volume >= edge),
 l_hvn as (select symbol, 'hvn' as element, (min(low_price) + max(low_price + width)) / 2 as price, min(bucket) as rn, min(bucket) || '-' || max(bucket) as detail from dense group by symbol, run)"""
 
 
@@ -223,8 +238,8 @@ zsum as (select symbol, cluster, any_value(spot) as spot, min(price) as low, max
 zraw as (select z.*, (low + high) / 2 as center, low - 0.001 * (low + high) / 2 as lower, high + 0.001 * (low + high) / 2 as upper, (select sum(best) from zcat c where c.symbol = z.symbol and c.cluster = z.cluster) as raw,
     (select count(*) from zcat c where c.symbol = z.symbol and c.cluster = z.cluster) as n_categories from zsum z),
 zden as (select *, (upper - lower) / center as width_pct, (spot - upper) / spot as distance, raw * case when n_heavy <= 0 then 1.0 else greatest(0.85, least(1.5, 1 + (n_heavy / greatest((upper - lower) / center, 0.005) - 100.0) * 0.005)) end as score from zraw where (high - low) / center <= 0.04),
-zval as (select *, concat_ws(' | ', case when score < 5 then 'score below minimum' end, case when not dynamic then 'no dynamic confirmer' end, case when distance < 0 or distance > 0.10 then 'distance out of range' end,
-    case when distance < 0.03 then 'distance below minimum' end, case when n_heavy < 2 then 'too few heavy elements' end) as rejection_reason,
+zval as (select *, concat_ws(' | ', case when score < 5 then 'score < 5.0' end, case when not dynamic then 'sin confirmador dinámico' end, case when distance < 0 or distance > 0.10 then 'fuera de rango de proximidad (>10% o por encima del spot)' end,
+    case when distance < 0.03 then 'zona muy cerca del spot (' || format('{{:.1f}}', distance * 100) || '% < 3%), no accionable para 30-45 DTE' end, case when n_heavy < 2 then 'solo ' || cast(n_heavy as bigint) || ' elementos peso >= 2.5 (requeridos 2)' end) as rejection_reason,
     case when score >= 18 then 5 when score >= 13 then 4 when score >= 9 then 3 when score >= 6.5 then 2 else 1 end as tier from zden),
 zones as (select *, rejection_reason = '' as is_valid, row_number() over (partition by symbol order by rejection_reason = '' desc, round(score, 9) desc, round(distance, 9), n_categories desc, cluster) - 1 as zone_id from zval)"""
 
@@ -260,3 +275,56 @@ def best_zone_strikes(spark, sf_dir):
 def strike_grid(spark, sf_dir):
     rows = [("USD", 20.0), ("USD", 25.0), ("USD", 80.0), ("EUR", 100.0), ("CHF", 200.0), ("GBP", 500.0), ("GBp", 300.0), ("GBp", 9000.0), ("GBp", 30000.0), ("JPY", 1000.0), ("JPY", 2345.0)]
     return spark.createDataFrame(rows, "currency string, spot double").select("currency", "spot", K.grid(F.col("spot"), F.col("currency")).alias("grid"))
+
+
+#: Bars between the days of the queries over many days.
+STEP = 63
+_sep = ",\nweekly as ("
+#: The same SQL over every series cut at every STEP-th bar: symbol@bar is a series of its own.
+AS_OF_SQL = ZONE_SQL.replace("\nbars as (", "\nall_bars as (").replace(
+    _sep, f""",
+bars as (select a.symbol || '@' || d.rn as symbol, a.date, a.open, a.high, a.low, a.close, a.volume, a.rn from all_bars a join all_bars d on d.symbol = a.symbol and a.rn <= d.rn where d.rn % {STEP} = {STEP - 1}){_sep}"""
+).replace(EARNINGS_SQL, "earnings as (select symbol, cast(d as date) as date from (select symbol, max(date) as today from bars group by symbol), (values " + ", ".join(f"('{d}')" for d in EARNINGS) + ") as e(d) where cast(d as date) <= today)")
+
+
+def zones_on(spark, sf_dir):
+    bars, weeks, found = inputs(spark, sf_dir)
+    return A.zones(bars, weeks, found, STEP, earnings(spark, sf_dir))
+
+
+@query(f"{AS_OF_SQL} select split_part(symbol, '@', 1) as symbol, cast(split_part(symbol, '@', 2) as integer) as at, zone_id, round(lower, 5) as lower, round(upper, 5) as upper, round(score, 5) as score, tier, is_valid, elements from zones")
+def zones_as_of(spark, sf_dir):
+    """Zones as of every STEP-th bar of all series, in one pass."""
+    z = zones_on(spark, sf_dir)
+    return z.select("symbol", "at", F.col("zone_id").cast("long").alias("zone_id"), r6("lower", "lower", 5), r6("upper", "upper", 5), r6("score", "score", 5), "tier", "is_valid", F.array_join("elements", ",").alias("elements"))
+
+
+OUTCOME_SQL = f"""{AS_OF_SQL},
+proposals as (select split_part(z.symbol, '@', 1) as symbol, cast(split_part(z.symbol, '@', 2) as integer) as at, z.tier, z.spot, z.lower, s.atr from zones z join spots s using (symbol) where z.is_valid and z.zone_id = 0),
+priced as (select *, cast(case when spot <= 25 then 0.5 when spot <= 100 then 1 when spot <= 250 then 2.5 else 5 end as double) as grid from proposals),
+outcomes as (select p.symbol, p.at, p.tier, floor((p.lower - p.atr) / p.grid + 0.5) * p.grid as strike, min(b.low) as lowest
+  from priced p join all_bars b on b.symbol = p.symbol and b.rn > p.at and b.rn <= p.at + {A.HORIZON} group by p.symbol, p.at, p.tier, p.lower, p.atr, p.grid having count(*) = {A.HORIZON})"""
+
+
+@query(f"{OUTCOME_SQL} select tier, count(*) as n, count_if(lowest >= strike)::bigint as n_held, round(count_if(lowest >= strike) / count(*), 6) as rate from outcomes group by rollup (tier) having count(*) > 0")
+def zone_hold_rate(spark, sf_dir):
+    """How many of the best zones of all days held for three weeks, by tier and in all."""
+    bars, _, _ = inputs(spark, sf_dir)
+    return A.hold_rate(A.outcomes(zones_on(spark, sf_dir), bars)).select("tier", "n", "n_held", r6("rate", "rate"))
+
+
+DAILY_SQL = f"""days_of as (select symbol, rn, date, close as spot, min(low) over w as bottom, (max(high) over w - min(low) over w) / 50 as width from bars window w as (partition by symbol order by rn rows between 251 preceding and current row)),
+dealt as (select d.symbol, d.rn, d.date, d.bottom, d.width, k as bucket,
+    sum(case when high - low <= 0 then case when greatest(0, least(49, floor((close - bottom) / width))) = k then volume else 0 end
+      else greatest(least(high, bottom + k * width + width) - greatest(low, bottom + k * width), 0) / (high - low) * volume end) as volume
+  from days_of d join bars b on b.symbol = d.symbol and b.rn between d.rn - 251 and d.rn, (select unnest(range(50)) as k) where width > 0 and d.rn >= 251 group by all),
+nodes as (select p.*, bucket - row_number() over (partition by symbol, p.rn order by bucket) as run from dealt p join (select symbol, rn, quantile_cont(volume, 0.8) as edge from dealt group by symbol, rn) e using (symbol, rn) where volume >= edge),
+islands as (select symbol, rn, date, min(bucket) as a, max(bucket) as b, (min(bottom + bucket * width) + max(bottom + (bucket + 1) * width)) / 2 as price from nodes group by symbol, rn, date, run)"""
+
+
+@query(f"{WITH}, {DAILY_SQL} select symbol, date, count(*) as n_nodes, string_agg(a || '-' || b, ',' order by a) as nodes, round(min(price), 4) as lowest from islands group by symbol, date")
+def volume_nodes_daily(spark, sf_dir):
+    """The volume nodes of every day of all series."""
+    daily = V.sliding(S.numbered(tape.bars(spark, sf_dir)))
+    price = F.transform("nodes", lambda n: (n["low"] + n["high"]) / 2)
+    return daily.select("symbol", "date", F.size("nodes").cast("long").alias("n_nodes"), F.array_join(F.transform("nodes", lambda n: F.concat_ws("-", n["first"].cast("string"), n["last"].cast("string"))), ",").alias("nodes"), r6(F.array_min(price), "lowest", 4))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from confluence.functions import strikes as K
+from confluence.functions.text import fixed
 from confluence.operators import filters as R
 from confluence.operators import report as O
 from confluence.operators import zones as Z
@@ -56,7 +57,7 @@ def report_rows(rows: DataFrame) -> DataFrame:
     }
     columns = {name: F.col(c) if c in df.columns else F.lit(None).cast("string") for name, c in own.items()}
     columns |= {
-        "score_soporte": F.format_string("%.1f", F.col("score")), "elementos_score": F.array_join(F.transform("elements", O.element_label), " | "), "wheel_candidate": F.lit(0),
+        "score_soporte": fixed(F.col("score"), 1), "elementos_score": F.array_join(F.transform("elements", O.element_label), " | "), "wheel_candidate": F.lit(0),
         "momentum_signals": F.array_join("signals", "|"), "universes": F.array_join("universes", "|") if "universes" in df.columns else F.lit(""), **made,
     }
     return O.ordered(df).select(*[columns[c].alias(c) for c in CSV_COLUMNS])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +36,44 @@ class Held:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
         self.paths.clear()
+
+
+#: (application, name, data folder) -> (state of the tables, what was made, its paths).
+_ONCE: dict = {}
+
+
+def state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, lengths and times of the tables' files: what is derived from them is good while this stays the same."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def once(spark: SparkSession, name: str, sf_dir: str, make: Callable[[str], object]) -> str:
+    """The path of a folder that ``make`` fills once for a session and a state of the tables; gone when Python ends."""
+    key, now = (spark.sparkContext.applicationId, name, sf_dir), state(spark, sf_dir)
+    if key not in _ONCE or _ONCE[key][0] != now:
+        if key in _ONCE:
+            _ONCE[key][1].release()
+        held = Held(spark)
+        held.paths.append(shared_dir(spark))
+        make(held.paths[0])
+        _ONCE[key] = (now, held)
+    return _ONCE[key][1].paths[0]
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what ``once`` holds for a session."""
+    for key in [k for k in _ONCE if k[0] == spark.sparkContext.applicationId]:
+        _ONCE.pop(key)[1].release()
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        release(spark)
