@@ -91,6 +91,7 @@ def ranked(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WOR
     has a key that tells equal rows apart, so no range grows with repeated rows.
     """
     spark = rows.sparkSession
+    rows = written(rows)  # a sort by ranges reads its input twice
     may = F.col("n_words") >= least_words
     keyed = rows.withColumn("_may", may).withColumn("_own", F.monotonically_increasing_id())
     order = [F.desc("_may"), F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("_own")]
