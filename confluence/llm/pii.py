@@ -6,9 +6,16 @@ under a key within its own format, so equal values stay equal in all documents a
 * numbers and dates map to integers below a * b; Feistel rounds add a keyed hash of one half to the other,
   modulo a and modulo b in turn, which is a permutation of exactly that range;
 * strings (e-mail names, phone numbers, secrets) do the same with two halves of characters, each within its
-  own class: digits, upper-case and lower-case letters; check digits are computed anew.
+  own class: digits, upper-case and lower-case letters, and letters of other scripts (``RANGES``); check digits are
+  computed anew.
 
-The text between the values isn't touched.
+E-mail names and secrets are matched up to their last sign, however long, so no part of a found value stays.  The
+text between the values isn't touched.
+
+In scope: e-mail addresses (the name is replaced, the host stays), keys and passwords behind their usual marks, dates
+as 2024-01-31, 31.1.2024, 31/1/2024 and 1/31/2024, IPv4 addresses, IBANs, US social security numbers, phone numbers
+with a country code or as ten digits in three parts, and card numbers.  Other nations' phone numbers without a
+country code, dates with months in words and IPv6 addresses aren't looked for.
 """
 
 from __future__ import annotations
@@ -22,8 +29,19 @@ ROUNDS = 8
 FIRST_DAY, DAY_FACTORS = "1900-01-01", (200, 365)
 # Month-first dates, whose day is over 12, are permuted among such days of 1900 to 2102 (112 * 401).
 LATE_FACTORS, LATE_MONTHS = (112, 401), 203 * 12
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}\b"
-SECRET = r"\bAKIA[A-Z0-9]{16}\b|\b(?:ghp_|sk-|xox[abp]-)[A-Za-z0-9-]{16,80}|(?i:\b(?:password|passwd|pwd|token|secret|api_?key))\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_.~+/-]{5,127}[A-Za-z0-9_+/]={0,2}"
+# Letters and digits that are permuted, as (first code point, how many): each range is one class.
+ASCII = ((0x30, 10), (0x41, 26), (0x61, 26))
+# Latin with signs, combining marks, Greek, Cyrillic, Hebrew, Arabic, kana, Han and Hangul.
+RANGES = (
+    (0xC0, 23), (0xD8, 7), (0xDF, 24), (0xF8, 8), (0x100, 128), (0x300, 112), (0x391, 17), (0x3A3, 9), (0x3AC, 35), (0x410, 32), (0x430, 32), (0x450, 16),
+    (0x5D0, 27), (0x621, 26), (0x641, 10), (0x1E00, 150), (0x3041, 86), (0x30A1, 90), (0x4E00, 20992), (0xAC00, 11172),
+)
+_LETTERS = "A-Za-z0-9" + "".join(f"{chr(first)}-{chr(first + n - 1)}" for first, n in RANGES)
+# No bound lies within what is permuted.  Where a name begins is fixed by the sign before it and a run is never given back,
+# so long runs of letters without an @ are read once.
+EMAIL = rf"(?<![{_LETTERS}._%+-])[{_LETTERS}._%+-]++@[{_LETTERS}-][{_LETTERS}.-]*\.[A-Za-z]{{2,}}(?![{_LETTERS}_])"
+MARK = r"(?i:\b(?:password|passwd|pwd|token|secret|api_?key))\s{0,2}[=:]\s{0,2}[\"']?"
+SECRET = rf"\bAKIA[A-Z0-9]{{16}}\b|\b(?:ghp_|sk-|xox[abp]-)[A-Za-z0-9_-]{{16,}}|{MARK}[{_LETTERS}_.~+/-]{{5,}}[{_LETTERS}_+/]={{0,2}}"
 DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}(?=T\d{2}|(?![\w/-]))|\d{1,2}[./]\d{1,2}[./]\d{4}(?![\w/-]))"
 IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
@@ -57,19 +75,29 @@ def permuted_number(value: Column, a: int, b: int, key: str, kind: str) -> Colum
 
 def _shifted(c: Column, by: Column) -> Column:
     """A character moved on within its class; others stay."""
+    code = F.ascii(c)
     base = F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65)
-    moved = F.char(base + F.pmod(F.ascii(c) - base + by, F.when(base == 48, 10).otherwise(26)))
-    return F.when(base.isNull(), c).otherwise(moved)
+    moved = F.char(base + F.pmod(code - base + by, F.when(base == 48, 10).otherwise(26)))
+    starts, sizes = (F.lit([r[i] for r in RANGES]) for i in (0, 1))
+    place = F.size(F.filter(starts, lambda x: x <= code))
+    first, n = F.element_at(starts, F.greatest(place, F.lit(1))), F.element_at(sizes, F.greatest(place, F.lit(1)))
+    other = F.decode(F.unhex(F.lpad(F.hex(first + F.pmod(code - first + by, n)), 4, "0")), "UTF-16BE")
+    wide = (code >= F.lit(RANGES[0][0])) & (code < first + n)
+    return F.when(base.isNotNull(), moved).when(wide, other).otherwise(c)
 
 
 def permuted_string(text: Column, key: str, kind: Column) -> Column:
-    """A keyed permutation of the strings whose characters have the same classes, place by place."""
+    """A keyed permutation of the strings whose characters have the same classes, place by place.
+
+    A round hashes the other half once, and this with each place, so the time grows with the length.
+    """
     half = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substring(text, F.lit(1), half).alias("l"), F.substring(text, half + 1, F.length(text)).alias("r"))
 
     def moved(side: Column, other: Column, i: Column) -> Column:
         chars = F.filter(F.split(side, ""), lambda c: c != "")
-        return F.array_join(F.transform(chars, lambda c, at: _shifted(c, _hashed(key, kind, i, at, other))), "")
+        digest = F.array(_hashed(key, kind, i, other))
+        return F.transform(digest, lambda d: F.array_join(F.transform(chars, lambda c, at: _shifted(c, _hashed(key, at, d))), ""))[0]
 
     def step(s: Column, i: Column) -> Column:
         even = i % 2 == 0
