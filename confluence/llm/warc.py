@@ -31,6 +31,8 @@ SAMPLE, SAMPLE_BYTES = 400, 8 << 10
 ARCHIVE_BYTES = 4 << 20
 #: Shorter payloads are always stored whole.
 LEAST_REVISIT = 100
+#: A payload that over a HEAVYth of all pages have is looked up in a broadcast of fewer than HEAVY rows.
+HEAVY = 1000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMES = uuid.UUID("6f2d1e0a-5a36-4d0e-9f43-1b8f6f5f2a11")
 
@@ -157,16 +159,22 @@ def planned(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     has the payload, where it is long enough and other pages have it too."""
     pages = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     named = pages.withColumns({"digest": F.sha2(F.col("html").cast("binary"), 256), "size": F.octet_length("html")})
+    long = F.col("size") >= LEAST_REVISIT
     firsts = (
-        named.filter((F.col("size") >= LEAST_REVISIT) & F.col("page_id").isNotNull())
+        named.filter(long & F.col("page_id").isNotNull())
         .groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .filter("n > 1")
-        .drop("n")
-    )
-    # short payloads, all empty ones among them, have no key and so are no group
-    key = F.when(F.col("size") >= LEAST_REVISIT, F.col("digest"))
-    return named.withColumn("_key", key).join(firsts.withColumnRenamed("digest", "_key"), "_key", "left").drop("_key")
+    )
+    firsts = written(firsts)
+    # Short payloads, all empty ones among them, have no group, and payloads of over a HEAVYth of all pages (fewer than
+    # HEAVY) look theirs up in a broadcast: neither is sent by its digest, so no digest fills a task of the other join.
+    heavy = F.col("n") * HEAVY > pages.count()
+    large, small = (firsts.filter(x).drop("n") for x in (heavy, ~heavy))
+    common = named.filter(long).join(F.broadcast(large), "digest")
+    others = named.filter(long).join(F.broadcast(large.select("digest")), "digest", "left_anti").join(small, "digest", "left")
+    short = named.filter(~long).withColumn("first", F.lit(None).cast("long"))
+    return short.unionByName(common).unionByName(others)
 
 
 def archives(pages: DataFrame, **names: str) -> DataFrame:

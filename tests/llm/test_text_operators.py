@@ -290,3 +290,24 @@ def test_warc_round_trip_and_refusals(spark):
             warc.parsed(bad)
     with pytest.raises(warc.BadRecord):
         list(warc.frames(w.content()[:-3]))
+
+
+def test_warc_of_a_hot_payload_and_of_many_empty_ones(spark):
+    """A third of the pages equal, a third without a payload, clashing columns: the rows of plain code, and no task with a third of them."""
+    rows = [(i, "u", ("x" * 300, None, f"{i % 1500} " + "y" * 120, "")[i % 3 if i % 7 else 3], i, "d") for i in range(6000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, size int, digest string").repartition(16)
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in plain.items():
+        spark.conf.set(name, value)
+    try:
+        parts = [r["n"] for r in warc.planned(df).groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()]
+        got = {r.page_id: (r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()}
+    finally:
+        for name in plain:
+            spark.conf.unset(name)
+    first, want = {}, {}
+    for i, _, html, *_ in rows:
+        digest = hashlib.sha256((html or "").encode()).hexdigest()
+        one = first.setdefault(digest, i) if len(html or "") >= 100 else i
+        want[i] = (digest, "response" if one == i else "revisit", None if one == i else one)
+    assert got == want and sum(parts) == 6000 and max(parts) < 600
