@@ -18,18 +18,29 @@ from confluence.plans.q_series import HV_SQL, MACD_SQL, RSI_SQL, WITH, r6
 from confluence.sources import federation as S2
 from confluence.sources import projections as J
 from confluence.sources import tape
+from confluence.sources.calendar_yaml import macro_yaml, write_yaml
+from confluence.sources.scratch import once
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 COUNTS = ("strong_buy", "buy", "hold", "sell", "strong_sell")
 # Countries of the derived universe by a symbol's first letter; M has none.
 COUNTRIES = {"E": "United States", "L": "Canada", "P": "Germany", "S": "FR"}
-# Macro releases within the tape, of both engines.
-MACRO = (("2001-07-18", "fomc", "rate decision"), ("2001-09-20", "cpi", "prices"), ("2001-11-07", "fomc", "rate decision"), ("2001-11-16", "cpi", "prices"), ("2001-12-11", "fomc", "rate decision"), ("2002-03-19", "other", "outlook"))
-MACRO_SQL = "macro as (select cast(d as date) as date, kind, description from (values " + ", ".join(map(str, MACRO)) + ") as m(d, kind, description))"
+# Kinds of releases by the day of the month.
+KINDS = ("fomc", "cpi", "ppi", "nfp", "gdp", "other")
+LATER = 120
+MACRO_SQL = f"""macro as (select date, ({list(KINDS)})[day(date) % 6 + 1] as kind, 'orders: ' || n || ' "firm" # of the day' as description
+  from (select cast(o_orderdate as date) + {LATER} as date, count(*) as n from orders group by 1))"""
 
 
-def macro(spark):
-    return S2.macro_calendar(spark, [dict(zip(("date", "kind", "description"), m)) for m in MACRO])
+def macro(spark, sf_dir):
+    """A calendar in which each day of orders is followed by a release; written to YAML files once and read from them."""
+
+    def make(path):
+        days = tape.read(spark, sf_dir, "orders").groupBy(F.date_add(F.col("o_orderdate").cast("date"), LATER).alias("date")).agg(F.count("*").alias("n"))
+        kind = F.element_at(F.lit(list(KINDS)), F.dayofmonth("date") % 6 + 1)
+        write_yaml(days.select("date", kind.alias("kind"), F.format_string('orders: %d "firm" # of the day', "n").alias("description")), f"{path}/calendar")
+
+    return macro_yaml(spark, once(spark, "macro_calendar", sf_dir, make) + "/calendar")
 
 
 def fundamentals(spark, sf_dir):
@@ -173,18 +184,18 @@ TODAY = "2001-10-26"
 
 @query(f"with {MACRO_SQL} select date, kind, description, cast(date - date '{TODAY}' as integer) as days_until from macro where date - date '{TODAY}' between 0 and 45")
 def macro_window(spark, sf_dir):
-    return E.macro_window(macro(spark), F.lit(TODAY).cast("date"))
+    return E.macro_window(macro(spark, sf_dir), F.lit(TODAY).cast("date"))
 
 
 @query(f"with {MACRO_SQL} select count(*) as n, to_json(list({{'date': date, 'kind': kind, 'description': description}} order by date, kind)) as events from macro where date - date '{TODAY}' between 0 and 45")
 def macro_json(spark, sf_dir):
-    near = E.macro_window(macro(spark), F.lit(TODAY).cast("date"))
+    near = E.macro_window(macro(spark, sf_dir), F.lit(TODAY).cast("date"))
     return near.agg(F.count("*").alias("n"), E.as_json(near).alias("events"))
 
 
 @query(f"with {MACRO_SQL} select date, cast(date - date '{TODAY}' as integer) as days_until, upper(kind) as kind, case when kind = 'other' then '—' else 'US' end as jurisdiction, description from macro where date - date '{TODAY}' between 0 and 45")
 def macro_banner(spark, sf_dir):
-    return E.macro_banner(macro(spark), F.lit(TODAY).cast("date"))
+    return E.macro_banner(macro(spark, sf_dir), F.lit(TODAY).cast("date"))
 
 
 SQL_OF_EVENTS = f"""with {MACRO_SQL}, own as (select distinct p_type as symbol from part), e as (select symbol, date '{TODAY}' + case when symbol < 'M' then 10 else 60 end as earnings_date from own where symbol <> 'PROMO'), d as (select symbol, date '{TODAY}' + case when symbol > 'S' then 20 else -3 end as ex_div_date, case when symbol <> 'STANDARD' then 0.5::double end as ex_div_amount from own where symbol > 'M'),
@@ -201,7 +212,7 @@ def binary_events(spark, sf_dir):
     today = F.lit(TODAY).cast("date")
     earnings = own.filter("symbol <> 'PROMO'").select("symbol", F.date_add(today, F.when(F.col("symbol") < "M", 10).otherwise(60)).alias("date"))
     dividends = own.filter("symbol > 'M'").select("symbol", F.date_add(today, F.when(F.col("symbol") > "S", 20).otherwise(-3)).alias("date"), F.when(F.col("symbol") != "STANDARD", 0.5).alias("amount"))
-    return E.binary_events(own, earnings, dividends, macro(spark), today).select("symbol", "earnings_date", "days_to_earnings", "earnings_near", "ex_div_date", "days_to_ex_div", "ex_div_near", "macro_count", "macro_kinds", "has_events", "flags", "ex_div_amount")
+    return E.binary_events(own, earnings, dividends, macro(spark, sf_dir), today).select("symbol", "earnings_date", "days_to_earnings", "earnings_near", "ex_div_date", "days_to_ex_div", "ex_div_near", "macro_count", "macro_kinds", "has_events", "flags", "ex_div_amount")
 
 
 @query("""select symbol, string_agg(universe, ',' order by universe) as universes from (select p_brand as symbol, 'large' as universe from part where p_size >= 45 union select p_brand, 'costly' from part where p_retailprice >= 1800 union select p_brand, 'all' from part) group by symbol""")
@@ -210,10 +221,17 @@ def universe_tags(spark, sf_dir):
     return U.tagged({"large": part.filter("p_size >= 45"), "costly": part.filter("p_retailprice >= 1800"), "all": part}).select("symbol", F.array_join("universes", ",").alias("universes"))
 
 
-@query("""select * from (values ('brk.b', 'BRK-B', 'BRK.B.DE', 'BRK.B.L', null), ('VOLV B', 'VOLV B', 'VOLV-B.DE', 'VOLV-B.L', null), ('VOD LN', 'VOD LN', 'VOD-LN.DE', 'VOD-LN.L', 'VOD.L'), ('SAP GR', 'SAP GR', 'SAP-GR.DE', 'SAP-GR.L', 'SAP.DE'),
-  ('BT/A LN', 'BT/A LN', 'BT/A-LN.DE', 'BT/A-LN.L', 'BT/A.L'), ('SAP GY', 'SAP GY', 'SAP-GY.DE', 'SAP-GY.L', null), ('asml.as', 'ASML-AS', 'ASML.AS.DE', 'ASML.AS.L', 'ASML.AS'), ('x.y', 'X-Y', 'X.Y.DE', 'X.Y.L', null)) as t(symbol, dashed, german, irish, market)""")
+# Endings of the spellings of supplier symbols, by key.
+ENDINGS = (".b", " B", " LN", " GR", "/A LN", " GY", ".as", ".y")
+
+
+@query(f"""with s as (select s_suppkey, 's' || s_suppkey || ({list(ENDINGS)})[s_suppkey % 8 + 1] as symbol, upper('s' || s_suppkey) as base, s_suppkey % 8 as k from supplier)
+select symbol, replace(upper(symbol), '.', '-') as dashed, replace(upper(symbol), ' ', '-') || '.DE' as german, replace(upper(symbol), ' ', '-') || '.L' as irish,
+  case k when 2 then base || '.L' when 3 then base || '.DE' when 4 then base || '/A.L' when 6 then base || '.AS' end as market from s""")
 def normalize_symbols(spark, sf_dir):
-    df = spark.createDataFrame([("brk.b",), ("VOLV B",), ("VOD LN",), ("SAP GR",), ("BT/A LN",), ("SAP GY",), ("asml.as",), ("x.y",)], "symbol string")
+    """Suppliers as symbols in eight spellings."""
+    key = F.col("s_suppkey")
+    df = tape.read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), key.cast("string"), F.element_at(F.lit(list(ENDINGS)), (key % 8 + 1).cast("int"))).alias("symbol"))
     country = lambda c: U.by_country(F.col("symbol"), F.lit(c))
     return df.select("symbol", U.dashed(F.col("symbol")).alias("dashed"), country("Germany").alias("german"), country("Ireland").alias("irish"), U.by_market(F.col("symbol")).alias("market"))
 
@@ -246,9 +264,17 @@ def table_column_extract(spark, sf_dir):
     return U.table_column(rows.select("page_id", html.alias("html")), ("Ticker symbol", "Symbol"))
 
 
-@query("select * from (values ('AAPL', true), ('BRK.B', true), ('BAD TICKER', false), ('ÑU-1', true)) as t(symbol, valid)")
+@query("""select case c_custkey % 5 when 3 then 'Ñ' || c_custkey || ' ' || c_mktsegment else upper('c' || c_custkey || '.' || case when c_custkey % 5 = 4 then 'ñ' else '' end || left(c_mktsegment, 1)) end as symbol, c_custkey % 5 <> 3 as valid
+from customer where c_custkey % 5 not in (0, 1)""")
 def watchlist_parse(spark, sf_dir):
-    return U.watchlist(spark.createDataFrame([("# list",), (" aapl ",), ("",), ("brk.b # comment",), ("bad ticker",), ("ñu-1",)], "value string"))
+    """Customers as lines of a watchlist: comments, blank lines, symbols with comments behind, two words, signs of other scripts."""
+    key, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    name = F.concat(F.lit("c"), key.cast("string"), F.lit("."), F.when(key % 5 == 4, "ñ").otherwise(""), F.lower(F.left(segment, F.lit(1))))
+    line = (
+        F.when(key % 5 == 0, F.concat(F.lit("# "), segment)).when(key % 5 == 1, "  ").when(key % 5 == 2, F.concat(F.lit(" "), name, F.lit(" # "), segment))
+        .when(key % 5 == 3, F.concat(F.lit("ñ"), key.cast("string"), F.lit(" "), segment)).otherwise(name)
+    )
+    return U.watchlist(tape.read(spark, sf_dir, "customer").select(line.alias("value")))
 
 
 @query("""select page_id, cast(i - 1 as integer) as pos, trim(regexp_replace(raw, '<[^>]*>', '', 'g')) as cell from (select page_id, unnest(found) as raw, generate_subscripts(found, 1) as i from (select page_id, regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1) as found from pages))""")

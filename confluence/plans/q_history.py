@@ -166,12 +166,14 @@ def svg_points(spark, sf_dir):
     return P.chart_points(S.numbered(tape.bars(spark, sf_dir))).select("symbol", "pos", r6("x", "x", 4), r6("y", "y", 4))
 
 
-FILES = ("screening_2026-05-21_2218.html", "screening_2026-05-21_2218.csv", "screening_2026-05-22_0859.html", "screening_2026-05-23_0900.csv", "screening_latest.html", "notes.txt")
-
-
-@query("select * from (values ('2026-05-22', '0859', 'screening_2026-05-22_0859.html', null), ('2026-05-21', '2218', 'screening_2026-05-21_2218.html', 'screening_2026-05-21_2218.csv')) as t(date, hhmm, html, csv)")
+@query("""with f as (select distinct strftime(o_orderdate, '%Y-%m-%d') as date, printf('%02d%02d', o_custkey % 24, o_custkey % 60) as hhmm, o_orderkey % 4 as k from orders)
+select date, hhmm, 'screening_' || date || '_' || hhmm || '.html' as html, case when bool_or(k = 1) then 'screening_' || date || '_' || hhmm || '.csv' end as csv from f group by date, hhmm having bool_or(k = 0)""")
 def history_pairs(spark, sf_dir):
-    return H.report_files(spark.createDataFrame([(f,) for f in FILES], "name string"))
+    """Orders as files of reports, half of them of one kind only and some with other names."""
+    key, hour = F.col("o_orderkey"), F.format_string("%02d%02d", F.col("o_custkey") % 24, F.col("o_custkey") % 60)
+    ending = F.when(key % 4 == 0, ".html").when(key % 4 == 1, ".csv").when(key % 4 == 2, ".txt").otherwise(".html.bak")
+    name = F.concat(F.lit("screening_"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("_"), hour, ending)
+    return H.report_files(tape.read(spark, sf_dir, "orders").select(name.alias("name")))
 
 
 def selection(spark, sf_dir, today=None):

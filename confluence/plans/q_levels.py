@@ -271,10 +271,16 @@ def best_zone_strikes(spark, sf_dir):
     return first.select("symbol", "is_valid", r6("score", "score", 5), K.grid(F.col("spot"), F.lit("USD")).alias("grid"), *[c.alias(n) for n, c in made.items()])
 
 
-@query("""select currency, cast(spot as double) as spot, cast(grid as double) as grid from (values ('USD', 20, 0.5), ('USD', 25, 0.5), ('USD', 80, 1), ('EUR', 100, 1), ('CHF', 200, 2.5), ('GBP', 500, 5), ('GBp', 300, 50), ('GBp', 9000, 100), ('GBp', 30000, 500), ('JPY', 1000, 10), ('JPY', 2345, 20)) as t(currency, spot, grid)""")
+@query("""select o_orderkey, currency, spot, cast(case when currency in ('USD', 'EUR', 'CHF', 'GBP') then case when spot <= 25 then 0.5 when spot <= 100 then 1 when spot <= 250 then 2.5 else 5 end
+    when currency = 'GBp' then case when spot <= 2500 then 50 when spot <= 10000 then 100 when spot <= 25000 then 250 else 500 end when spot <= 0 then 0.01 else round_even(spot * 0.01 / pow(10, floor(log10(spot * 0.01))), 0) * pow(10, floor(log10(spot * 0.01))) end as double) as grid
+from (select o_orderkey, (['USD', 'EUR', 'CHF', 'GBP', 'GBp', 'JPY', 'SEK'])[o_orderkey % 7 + 1] as currency, case when o_orderkey % 7 < 4 then o_totalprice / 1000 when o_orderkey % 35 = 5 then 0 else round(o_totalprice / 10) end as spot from orders)""")
 def strike_grid(spark, sf_dir):
-    rows = [("USD", 20.0), ("USD", 25.0), ("USD", 80.0), ("EUR", 100.0), ("CHF", 200.0), ("GBP", 500.0), ("GBp", 300.0), ("GBp", 9000.0), ("GBp", 30000.0), ("JPY", 1000.0), ("JPY", 2345.0)]
-    return spark.createDataFrame(rows, "currency string, spot double").select("currency", "spot", K.grid(F.col("spot"), F.col("currency")).alias("grid"))
+    """Orders as prices in seven currencies, some of them zero."""
+    key = F.col("o_orderkey")
+    currency = F.element_at(F.lit(["USD", "EUR", "CHF", "GBP", "GBp", "JPY", "SEK"]), (key % 7 + 1).cast("int"))
+    spot = F.when(key % 7 < 4, F.col("o_totalprice") / 1000).when(key % 35 == 5, 0.0).otherwise(F.round(F.col("o_totalprice") / 10))
+    rows = tape.read(spark, sf_dir, "orders").select("o_orderkey", currency.alias("currency"), spot.alias("spot"))
+    return rows.withColumn("grid", K.grid(F.col("spot"), F.col("currency")))
 
 
 #: Bars between the days of the queries over many days.
