@@ -188,12 +188,14 @@ def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> np.ndarray:
 
 
 def ranked(cut: DataFrame, salts: int) -> DataFrame:
-    """Adds ``rank``, 0, 1, ... within each length, from counts by (length, salt)."""
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64(*cut.columns), F.lit(salts)).cast("int"))
+    """Adds ``rank``, 0, 1, ... within each length, from counts by (length, salt).
+
+    The salt comes from ``row``, which is a key: repeated rows are spread like others."""
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
     counted = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = counted.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    own = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")
-    return salted.withColumn("row", F.row_number().over(own)).join(before.drop("n"), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("row") - 1)
+    place = F.row_number().over(W.partitionBy("length", "salt").orderBy("row"))
+    return salted.withColumn("place", place).join(before.drop("n"), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("place") - 1)
 
 
 def packed(docs: DataFrame, sequence: int = SEQUENCE, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -202,7 +204,7 @@ def packed(docs: DataFrame, sequence: int = SEQUENCE, doc_id: str = "doc_id", te
     A null or empty text is one piece of one id, END.  Rows with null or repeated ids are packed
     like others, in any order.  An empty table gives an empty result; other columns are ignored.
     """
-    cut = written(pieces(docs, sequence, doc_id, text, path))
+    cut = written(pieces(docs, sequence, doc_id, text, path).withColumn("row", F.monotonically_increasing_id()))
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``sequence`` rows
     share = cut.sparkSession.sparkContext.broadcast(plan(histogram, sequence))
 
