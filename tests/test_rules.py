@@ -52,7 +52,7 @@ def test_reasons_tell_values(spark):
     assert candidate(spark, market_cap=5e9).reasons == ["quality_liquidity: market cap (5000000000.0) < 10000000000"]
     assert candidate(spark, avg_volume=None).reasons == ["quality_liquidity: avg daily volume (None) < 1000000"]
     assert candidate(spark, upside=-0.012).reasons == ["valuation: price target upside (-1.2%) ≤ 0.0%"]
-    assert candidate(spark, rsi_daily=71.25, hv_percentile=None).reasons == ["momentum: RSI_d sobrecomprado (71.3 ≥ 70.0)", "hv_percentile: HV percentile None < 30.0"]
+    assert candidate(spark, rsi_daily=71.25, hv_percentile=None).reasons == ["momentum: RSI_d sobrecomprado (71.2 ≥ 70.0)", "hv_percentile: HV percentile None < 30.0"]
 
 
 def test_rules_can_be_added(spark):
