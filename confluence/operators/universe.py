@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from confluence.operators import html_tables as H
+
 # Exchange suffixes by country and by the two-letter market code behind a symbol, and the quote site's countries.
 COUNTRY_SUFFIX = {
     "Austria": ".VI", "Belgium": ".BR", "Bermuda": ".L", "Denmark": ".CO", "Finland": ".HE", "France": ".PA", "Germany": ".DE", "Ireland": ".L", "Italy": ".MI",
@@ -75,24 +77,17 @@ def cells(pages: DataFrame, tag: str = "li", html: str = "html", key: str = "pag
     return pages.select(key, F.posexplode(found).alias("pos", "raw")).select(key, "pos", F.trim(F.regexp_replace("raw", "<[^>]*>", "")).alias("cell"))
 
 
-def _tags(html: Column, tags: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{tags})\b[^>]*>(.*?)</(?:{tags})\s*>"), 1)
-
-
-def _plain(cell: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(cell, "<[^>]*>", ""), r"\s+", " "))
-
-
 def table_column(pages: DataFrame, names: tuple[str, ...], html: str = "html", key: str = "page_id") -> DataFrame:
     """(key, pos, value): a column of each page's first table whose header row has one of ``names`` and whose column holds
     any text; empty cells and short rows are left out.  Pages without such a table have no rows."""
-    tables = pages.select(key, F.posexplode(_tags(F.col(html), "table")).alias("_table", "_body"))
-    rows = tables.withColumn("_rows", F.transform(_tags(F.col("_body"), "tr"), lambda r: F.transform(_tags(r, "td|th"), _plain)))
-    head = F.transform(F.get("_rows", F.lit(0)), lambda h: h.isin(*names))
-    placed = rows.withColumn("_column", F.array_position(head, True)).filter("_column > 0")
-    held = F.filter(F.transform(F.slice("_rows", F.lit(2), F.size("_rows")), lambda r: F.try_element_at(r, F.col("_column").cast("int"))), lambda v: v != "")
-    found = placed.withColumn("_held", held).filter("size(_held) > 0").groupBy(key).agg(F.min_by("_held", "_table").alias("_held"))
-    return found.select(key, F.posexplode("_held").alias("pos", "value"))
+    return H.columns(pages, {"value": names}, html, key)
+
+
+def constituents(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+    """(key, pos, ticker, country, symbol) of each page's first table with the headers ``Ticker`` and ``Country``; symbol has
+    the country's exchange suffix, and is null for countries without one."""
+    rows = H.columns(pages, {"ticker": ("Ticker",), "country": ("Country",)}, html, key, head=("th",), body=("td",), first=True)
+    return rows.withColumn("symbol", by_country(F.col("ticker"), F.col("country")))
 
 
 def chosen(text: str, known: tuple[str, ...]) -> list[str]:

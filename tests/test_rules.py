@@ -161,7 +161,7 @@ def test_text_sources(spark, tmp_path):
 def test_tables_symbols_and_universes(spark):
     page = "<table><tr><th>X</th></tr></table><table><tr><th>Name</th><td>Symbol</td></tr><tr><td>a</td><td><b>AA</b>\n B</td></tr><tr><td>short</td></tr><tr><td>c</td><td> </td></tr></table>"
     df = spark.createDataFrame([(1, page), (2, "<p>none</p>"), (3, None)], "page_id int, html string")
-    assert [tuple(r) for r in U.table_column(df, ("Ticker", "Symbol")).collect()] == [(1, 0, "AA B")]
+    assert [tuple(r) for r in U.table_column(df, ("Ticker", "Symbol")).collect()] == [(1, 0, "AAB")]
     assert U.chosen(" SP500, ,watchlist", ("sp500", "watchlist")) == ["sp500", "watchlist"]
     for bad in ("", "sp500,mars"):
         with pytest.raises(ValueError, match="unknown universes"):
