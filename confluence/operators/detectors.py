@@ -14,22 +14,36 @@ def double_bottom(bars: DataFrame, found: DataFrame) -> DataFrame:
     """symbol, l1_rn, l2_rn, l1, l2, neckline, bounce, confirmed: the newest pair of alike pivot lows with a bounce between.
 
     The neckline is the highest pivot high strictly between the lows, or else the highest high from one to the other.
+    Both are maxima of a range of bars: each low keeps the maxima of 1, 2, 4, ... bars that begin and that end there, and
+    a pair takes the larger of two that cover its range.  Lows meet within stretches as long as the widest pair.
     """
-    lows = found.filter("kind = 'low'").filter(F.col("rn") >= F.col("top") - C.DOUBLE_BOTTOM_BARS)
-    a = lows.select("symbol", F.col("rn").alias("l1_rn"), F.col("price").alias("l1"))
-    b = lows.select("symbol", F.col("rn").alias("l2_rn"), F.col("price").alias("l2"), "spot")
     least, most = C.DOUBLE_BOTTOM_GAP
-    pairs = a.join(b, "symbol").filter((F.col("l2_rn") - F.col("l1_rn")).between(least, most) & (F.abs(F.col("l2") - F.col("l1")) / F.col("l1") < C.DOUBLE_BOTTOM_TOLERANCE))
-    highs = found.filter("kind = 'high'").select("symbol", F.col("rn").alias("h_rn"), F.col("price").alias("peak"))
-    between = pairs.join(highs, "symbol").filter((F.col("h_rn") > F.col("l1_rn")) & (F.col("h_rn") < F.col("l2_rn"))).groupBy("symbol", "l1_rn", "l2_rn").agg(F.max("peak").alias("peak"))
-    inside = pairs.join(bars.select("symbol", "rn", "high"), "symbol").filter(F.col("rn").between(F.col("l1_rn"), F.col("l2_rn"))).groupBy("symbol", "l1_rn", "l2_rn").agg(F.max("high").alias("highest"))
-    keys = ["symbol", "l1_rn", "l2_rn"]
-    whole = pairs.join(inside, keys).join(between, keys, "left").withColumn("neckline", F.coalesce("peak", "highest"))
+    pivot = lambda kind, name: F.max(F.when(F.col("kind") == kind, F.col("price"))).alias(name)
+    recent = found.filter(F.col("rn") >= F.col("top") - C.DOUBLE_BOTTOM_BARS).groupBy("symbol", "rn").agg(pivot("low", "low_price"), pivot("high", "peak"), F.first("spot").alias("spot"))
+    own = bars.filter(F.col("rn") >= F.col("top") - C.DOUBLE_BOTTOM_BARS).select("symbol", "rn", "high").join(recent, ["symbol", "rn"], "left")
+    w = W.partitionBy("symbol").orderBy("rn")
+    steps = range((most + 1).bit_length())
+    own = own.withColumns({"high_0": F.col("high"), "peak_0": F.col("peak")})
+    for k in steps[1:]:  # the maximum of 2^k bars from a bar on
+        own = own.withColumns({f"{x}_{k}": F.greatest(f"{x}_{k - 1}", F.lead(f"{x}_{k - 1}", 1 << (k - 1)).over(w)) for x in ("high", "peak")})
+    own = own.select(
+        "symbol", "rn", "low_price", "spot",
+        F.array(*[f"high_{k}" for k in steps]).alias("high_from"), F.array(*[F.lag(f"high_{k}", (1 << k) - 1).over(w) for k in steps]).alias("high_to"),
+        F.array(*[F.lead(f"peak_{k}", 1).over(w) for k in steps]).alias("peak_from"), F.array(*[F.lag(f"peak_{k}", 1 << k).over(w) for k in steps]).alias("peak_to"),
+    ).filter("low_price is not null")
+    stretch = F.floor(F.col("rn") / most)
+    a = own.select("symbol", F.col("rn").alias("l1_rn"), F.col("low_price").alias("l1"), "high_from", "peak_from", F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
+    b = own.select("symbol", F.col("rn").alias("l2_rn"), F.col("low_price").alias("l2"), "spot", "high_to", "peak_to", stretch.alias("stretch"))
+    pairs = a.join(b, ["symbol", "stretch"]).filter((F.col("l2_rn") - F.col("l1_rn")).between(least, most) & (F.abs(F.col("l2") - F.col("l1")) / F.col("l1") < C.DOUBLE_BOTTOM_TOLERANCE))
+    widest = lambda n: F.length(F.bin(n)) - 1  # the largest power of two up to n
+    over = lambda x, n: F.greatest(F.get(f"{x}_from", widest(n)), F.get(f"{x}_to", widest(n)))
+    gap = F.col("l2_rn") - F.col("l1_rn")
+    whole = pairs.withColumn("neckline", F.coalesce(over("peak", gap - 1), over("high", gap + 1)))
     lower = F.least("l1", "l2")
     whole = whole.withColumn("bounce", (F.col("neckline") - lower) / lower).filter(F.col("bounce") >= C.DOUBLE_BOTTOM_BOUNCE)
     order = W.partitionBy("symbol").orderBy(F.desc("l2_rn"), "l1_rn")
     one = whole.withColumn("_pick", F.row_number().over(order)).filter("_pick = 1")
-    return one.select(*keys, "l1", "l2", "neckline", "bounce", (F.col("spot") > F.col("neckline")).alias("confirmed"))
+    return one.select("symbol", "l1_rn", "l2_rn", "l1", "l2", "neckline", "bounce", (F.col("spot") > F.col("neckline")).alias("confirmed"))
 
 
 def capitulation(bars: DataFrame, range_atr: float = C.CAPITULATION_RANGE, volume: float = C.CAPITULATION_VOLUME, close: float = C.CAPITULATION_CLOSE, drop: float = C.CAPITULATION_DROP) -> DataFrame:

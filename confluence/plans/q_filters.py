@@ -264,17 +264,19 @@ def table_column_extract(spark, sf_dir):
     return U.table_column(rows.select("page_id", html.alias("html")), ("Ticker symbol", "Symbol"))
 
 
-@query("""select n_regionkey as page_id, cast(row_number() over (partition by n_regionkey order by s_suppkey) - 1 as integer) as pos, 's&' || s_suppkey || ' b' as ticker, n_name as country,
-  'S&' || s_suppkey || '-B' || case n_name when 'FRANCE' then '.PA' when 'GERMANY' then '.DE' when 'UNITED KINGDOM' then '.L' end as symbol
-from supplier join nation on s_nationkey = n_nationkey""".replace("n_name as country", "case n_name when 'FRANCE' then 'France' when 'GERMANY' then 'Germany' when 'UNITED KINGDOM' then 'United Kingdom' else n_name end as country"))
+@query("""select n_regionkey as page_id, cast(row_number() over (partition by n_regionkey order by s_suppkey) - 1 as integer) as pos, 's&' || s_suppkey || ' b' as ticker,
+  case n_nationkey % 5 when 0 then 'France' when 1 then 'Germany' when 2 then 'United Kingdom' else n_name end as country,
+  'S&' || s_suppkey || '-B' || case n_nationkey % 5 when 0 then '.PA' when 1 then '.DE' when 2 then '.L' end as symbol
+from supplier join nation on s_nationkey = n_nationkey""")
 def constituents(spark, sf_dir):
-    """A page for each region: its suppliers as tickers with their countries, inside a layout table, with notes and entities."""
-    known = F.when(F.col("n_name").isin("FRANCE", "GERMANY", "UNITED KINGDOM"), F.initcap(F.lower("n_name"))).otherwise(F.col("n_name"))
-    row = F.concat(F.lit("<tr><td> s&amp;"), F.col("s_suppkey"), F.lit(" b<!-- note --></td><td>Co.</td><td><img alt='>'/><a>"), known, F.lit("</a></td>"))
+    """A page for each region: its suppliers as tickers with their countries, behind a table without countries, with notes and entities."""
+    place = F.col("n_nationkey") % 5
+    country = F.when(place == 0, "France").when(place == 1, "Germany").when(place == 2, "United Kingdom").otherwise(F.col("n_name"))
+    row = F.concat(F.lit("<tr><td> s&amp;"), F.col("s_suppkey"), F.lit(" b<!-- note --></td><td>Co.</td><td><img alt='>'/><a>"), country, F.lit("</a></td>"))
     rows = tape.read(spark, sf_dir, "supplier").join(tape.read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     rows = rows.groupBy(F.col("n_regionkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("row")))).alias("rows"))
-    head = "<table><tr><td><table><tr><th>Ticker</th></tr><tr><td>x</td></tr></table><table><tr><th>Ticker</th><th>Company</th><th>Country</th></tr>"
-    html = F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["row"]), "</tr>"), F.lit("</tr></table></td></tr></table>"))
+    head = "<table><tr><th>Ticker</th></tr><tr><td>x</td></tr></table><table><tr><th>Ticker</th><th>Company</th><th>Country</th></tr>"
+    html = F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["row"]), "</tr>"), F.lit("</tr></table>"))
     return U.constituents(rows.select("page_id", html.alias("html")))
 
 

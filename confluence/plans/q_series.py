@@ -6,7 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from confluence import config as C
+from confluence.functions import rolling
 from confluence.functions import series as S
+from confluence.operators import asof
 from confluence.plans.catalog import query
 from confluence.sources import tape
 
@@ -183,3 +185,42 @@ def sma_series_chart(spark, sf_dir):
     newest = F.max("date").over(W.partitionBy("symbol"))
     kept = filled.withColumn("newest", newest).filter(F.col("date") >= F.add_months("newest", -6))
     return kept.select("symbol", "date", "close", r6("sma_50d", "sma_50d", 8), r6("sma_200d", "sma_200d", 8), r6("sma_50w", "sma_50w", 8))
+
+
+@query(f"""{WITH}, {HV_SQL}, rounded as (select symbol, date, rn, round(hv, 9) as hv from hvs)
+select a.symbol, a.date, case when a.rn >= 271 then round(100.0 * count_if(b.hv <= a.hv) / 252, 6) else 50.0 end as hv_percentile
+from rounded a join rounded b on b.symbol = a.symbol and b.rn between a.rn - 251 and a.rn group by a.symbol, a.date, a.rn""")
+def hv_percentile_daily(spark, sf_dir):
+    """The volatility percentile as of every day; 50 before there are 272 bars."""
+    hv = S.with_hv(bars_of(spark, sf_dir)).withColumn("hv", F.round("hv", 9))
+    share = F.round(F.lit(100.0) * F.col("share"), 6)
+    return rolling.order_statistics(hv, "hv", C.HV_WINDOW).select("symbol", "date", F.when(F.col("rn") >= C.HV_WINDOW + C.HV_LENGTH - 1, share).otherwise(50.0).alias("hv_percentile"))
+
+
+@query(f"{WITH} select symbol, date, round(quantile_cont(volume, 0.8) over w, 6) as volume_80, round(cast(volume as double) / quantile_cont(volume, 0.8) over w, 6) as ratio from bars window w as (partition by symbol order by rn rows between 251 preceding and current row)")
+def volume_percentile_daily(spark, sf_dir):
+    """The 80th percentile of a year's volumes as of every day, and the day's volume against it."""
+    found = rolling.order_statistics(bars_of(spark, sf_dir), "volume", C.HV_WINDOW)
+    both = found.join(tape.bars(spark, sf_dir).select("symbol", "date", "volume"), ["symbol", "date"])
+    return both.select("symbol", "date", r6("percentile", "volume_80"), r6(F.col("volume") / F.col("percentile"), "ratio"))
+
+
+@query(f"""{WITH}, s50 as (select symbol, date as week, close as week_close, {SMA_SQL(50)} as sma_50w from weeks)
+select b.symbol, b.date, b.close, w.week, w.week_close, round(w.sma_50w, 8) as sma_50w from bars b asof left join s50 w on w.symbol = b.symbol and b.date >= w.week""")
+def weekly_on_daily(spark, sf_dir):
+    """Every bar with the newest week that had ended by then."""
+    bars = tape.bars(spark, sf_dir)
+    week = S.numbered(S.weekly(bars)).select("symbol", "date", F.col("date").alias("week"), F.col("close").alias("week_close"), S.sma(F.col("close"), 50).alias("sma_50w"))
+    met = asof.join(bars.select("symbol", "date", "close"), week, "symbol", "date", span=512)
+    return met.select("symbol", "date", "close", "week", "week_close", r6("sma_50w", "sma_50w", 8))
+
+
+@query(f"""{WITH}, sales as (select p_type as symbol, l_orderkey, l_linenumber, cast(l_shipdate as date) as date from lineitem join part on l_partkey = p_partkey)
+select s.l_orderkey, s.l_linenumber, s.symbol, s.date, b.date as bar, b.close as close_before from sales s asof left join bars b on b.symbol = s.symbol and s.date > b.date""")
+def price_before_shipment(spark, sf_dir):
+    """Each order line with the last close before its own day."""
+    parts = tape.read(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("symbol"))
+    lines = tape.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").cast("date").alias("date"))
+    sales = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "symbol", "date")
+    bars = tape.bars(spark, sf_dir).select("symbol", "date", F.col("date").alias("bar"), F.col("close").alias("close_before"))
+    return asof.join(sales, bars, "symbol", "date", span=365, exact=False)

@@ -13,6 +13,7 @@ NAMES = (
     "binary_events", "universe_tags", "downgrades_6w", "source_fallback", "upsert_merge", "candidates_best_zone", "history_pairs", "svg_points", "strike_grid",
     "cleaned_fields", "recommendations_latest", "upcoming_events", "table_column_extract", "run_labels", "filter_state", "filter_state_open", "quote_symbols", "macro_json", "statement_latest",
     "zones", "levels_all", "trigger_facts", "double_bottom_as_of", "step1_reasons", "narrative_text", "mini_chart",
+    "constituents", "hv_percentile_daily", "volume_percentile_daily", "weekly_on_daily", "price_before_shipment", "double_bottom",
     "macro_window", "macro_banner", "normalize_symbols", "watchlist_parse",
 )
 
