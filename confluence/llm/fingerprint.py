@@ -10,7 +10,6 @@ that agree by chance.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -85,23 +84,24 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     Null texts are empty, null ids come first, rows that share an id follow by text.  A lone row
     is its own next.  An empty table gives an empty result; other columns are ignored.
 
-    Rows go once through a shuffle, by ranges of ids; each range's first row also goes to the
-    range before it.
+    Rows go once through a shuffle, by four ranges of ids for each of its tasks; ``spark.sql.shuffle.partitions`` says how many
+    tasks there are.  Each range's first row also goes to the range before it.
     """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(doc_id).isNull().alias("nameless"))
-    parts = 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = min(parts, 2000)
+    tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = 4 * tasks
     cuts = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if x is not None})
-    if cuts:
-        # the cuts up to an id, in two steps: among every ``step``-th, then within one stretch
-        step = math.isqrt(len(cuts)) + 1
-        cut, coarse = (F.array(*[F.lit(x) for x in some]) for some in (cuts, cuts[step - 1 :: step] or cuts[-1:]))
-        up_to = lambda some: F.size(F.filter(some, lambda x: x <= F.col("doc_id")))
-        docs = docs.withColumn("_at", up_to(coarse) * step).withColumn("part", F.col("_at") + up_to(F.slice(cut, F.col("_at") + 1, F.lit(step)))).drop("_at")
-    else:
-        docs = docs.withColumn("part", F.lit(0))
-    firsts = sorted((r.part, r.least) for r in docs.groupBy("part").agg(F.min("doc_id").alias("least")).collect())  # at most ``parts`` rows
+    bounds = spark.sparkContext.broadcast(np.array(cuts, np.int64))  # eight bytes a part
+
+    def placed(source):
+        for batch in source:
+            part = np.searchsorted(bounds.value, np.asarray(batch.column(0)), side="right").astype(np.int32)
+            yield pa.record_batch([*batch.columns, pa.array(part)], [*batch.schema.names, "part"])
+
+    ids = docs.select("doc_id").mapInArrow(placed, "doc_id long, part int")
+    docs = docs.mapInArrow(placed, "doc_id long, text string, nameless boolean, part int")
+    firsts = sorted((r.part, r.least) for r in ids.groupBy("part").agg(F.min("doc_id").alias("least")).collect())  # at most ``parts`` rows
     ahead = spark.createDataFrame([(least, firsts[i - 1][0]) for i, (_, least) in enumerate(firsts)], "doc_id long, before int")
     sent = docs.join(F.broadcast(ahead), "doc_id", "left").select(
         "doc_id", "text", "nameless",
@@ -140,5 +140,5 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                 ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-    shuffled = sent.repartition(max(2, parts // 4), "part").sortWithinPartitions("part", "peek", "doc_id", "text")
+    shuffled = sent.repartition(tasks, "part").sortWithinPartitions("part", "peek", "doc_id", "text")
     return shuffled.mapInArrow(run, SCHEMA)
